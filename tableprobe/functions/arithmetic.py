@@ -1,0 +1,25 @@
+"""Guarded arithmetic: no division errors, no NaN or infinity in results."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def share(part: Column, whole: Column) -> Column:
+    """part / whole, 0 where there is nothing to share."""
+    return F.when(whole > 0, part.cast("double") / whole.cast("double")).otherwise(F.lit(0.0))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    return F.round(share(part, whole) * 100, 2)
+
+
+def finite(c: Column) -> Column:
+    """The number, or null for NaN and infinity."""
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
+
+
+def plain(c: Column, places: int) -> Column:
+    """A number as digits with fixed decimals, never in exponent form."""
+    return F.round(c, places).cast(f"decimal(38,{places})").cast("string")

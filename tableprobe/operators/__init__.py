@@ -1,0 +1 @@
+"""Report sections, each a function from DataFrames to a DataFrame."""

@@ -1,0 +1 @@
+"""Readers, the paged JSON data source and the report store."""
