@@ -6,10 +6,11 @@ from collections import Counter
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tableprobe.functions.sql import quote
+
 # Kinds of column. WHOLE and REAL are the numeric ones.
 WHOLE, REAL, DATE, BOOLEAN, TEXT, OTHER = "whole", "real", "date", "boolean", "text", "other"
 
@@ -38,19 +39,14 @@ class ColumnRef:
     data_type: T.DataType
 
     @property
-    def col(self) -> Column:
-        return F.col(quote(self.name))
+    def sql(self) -> str:
+        return quote(self.name)
 
     @property
     def numeric(self) -> bool:
         return self.kind in (WHOLE, REAL)
 
 
-def quote(name: str) -> str:
-    """Back-ticked name, so that dots and blanks in it are harmless."""
-    return "`" + name.replace("`", "``") + "`"
-
-
 def kind_of(data_type: T.DataType, decimal_as_categorical: bool = False) -> str:
     if isinstance(data_type, T.IntegralType):
         return WHOLE
@@ -69,13 +65,13 @@ def kind_of(data_type: T.DataType, decimal_as_categorical: bool = False) -> str:
     return OTHER
 
 
-def text_form(ref: ColumnRef) -> Column:
+def text_form(ref: ColumnRef) -> str:
     """The value as text; nested values as JSON, bytes as hexadecimal digits."""
     if isinstance(ref.data_type, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-        return F.to_json(ref.col)
+        return f"to_json({ref.sql})"
     if isinstance(ref.data_type, T.BinaryType):
-        return F.hex(ref.col)
-    return ref.col.cast("string")
+        return f"hex({ref.sql})"
+    return f"cast({ref.sql} AS string)"
 
 
 def column_refs(datasets: list[Dataset], decimal_as_categorical: bool = False) -> list[ColumnRef]:

@@ -1,15 +1,21 @@
-"""Value-level text tests. All are built-in expressions, so they stay in generated code."""
+"""Value-level text tests, as SQL expressions over built-in functions.
 
-from __future__ import annotations
+Every function takes and returns expression text, for use in `selectExpr`, `expr` or `spark.sql`.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from tableprobe.functions.sql import one_of
+from tableprobe.functions.wordlists import TRUTH_LETTERS, TRUTH_TOKENS
 
-from tableprobe.functions.wordlists import TRUTH_LETTERS, TRUTH_TOKENS, WHITESPACE
+# Unicode white space, as stripped from both ends of a value.
+WHITESPACE_CODES = (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+)
+WHITESPACE = "'" + "".join(f"\\u{c:04x}" for c in WHITESPACE_CODES) + "'"
+WHITESPACE_RUN = "r'[" + "".join(f"\\x{{{c:x}}}" for c in WHITESPACE_CODES) + "]+'"
 
-WHITESPACE_RUN = "[" + WHITESPACE + "]+"
 NUMBER_SHAPE = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 DAY_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}$"
 SLASH_YEAR_FIRST_SHAPE = r"^\d{4}/\d{2}/\d{2}$"
@@ -21,8 +27,8 @@ MOMENT_SHAPE = (
 )
 # A search needs only one character on the open ends of the address, which keeps it linear.
 EMAIL_SHAPE = r"[\p{L}\p{N}_.\-+]@[\p{L}\p{N}_.\-]+\.[\p{L}\p{N}_]"
-TAXPAYER_SHAPE = r"(?U)\b\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b"
-REPLACEMENT_CHARACTER = "\ufffd"
+TAXPAYER_SHAPE = r"\b\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b"
+REPLACEMENT_CHARACTER = "'\\ufffd'"
 
 # Values up to this many characters are kept as they are in frequency tables; longer ones are
 # represented by a prefix and SHA-256 digests of the whole value.
@@ -33,133 +39,128 @@ KEY_PREFIX = 80
 EMPTY, BLANK, TRUTH_NUMBER, NUMBER, DAY_NUMBER, TRUTH_WORD, TRUTH_LETTER, DAY, WORDS = range(1, 10)
 
 
-def strip(c: Column) -> Column:
+def strip(c: str) -> str:
     """Without white space at both ends. Values that start and end visibly skip the search."""
-    visible = F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")
-    return F.when(visible, c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
+    return (
+        f"(CASE WHEN substring({c}, 1, 1) BETWEEN '!' AND '~' "
+        f"AND substring({c}, -1, 1) BETWEEN '!' AND '~' THEN {c} "
+        f"ELSE btrim({c}, {WHITESPACE}) END)"
+    )
 
 
-def normalise(c: Column) -> Column:
+def normalise(c: str) -> str:
     """Strip, lower-case, and squeeze every run of white space into one blank."""
-    return F.regexp_replace(F.lower(strip(c)), WHITESPACE_RUN, " ")
-
+    return f"regexp_replace(lower({strip(c)}), {WHITESPACE_RUN}, ' ')"
 
-def is_empty(c: Column) -> Column:
-    return F.octet_length(c) == 0
 
+def is_empty(c: str) -> str:
+    return f"(octet_length({c}) = 0)"
 
-def is_blank(c: Column) -> Column:
-    return F.octet_length(F.ltrim(c, F.lit(WHITESPACE))) == 0
 
+def is_blank(c: str) -> str:
+    return f"(octet_length(ltrim({WHITESPACE} FROM {c})) = 0)"
 
-def parse_number(c: Column) -> Column:
-    """Finite double held by a text, else null."""
-    text = strip(c)
-    parsed = F.when(_numeric_shape(text), text.try_cast("double"))
-    return F.when(F.abs(parsed) < F.lit(float("inf")), parsed)
 
-
-def _numeric_shape(stripped: Column) -> Column:
+def is_number(stripped: str) -> str:
     # The one-character test spares long texts the decoding that a regular expression needs.
-    return F.substring(stripped, 1, 1).between("+", "9") & stripped.rlike(NUMBER_SHAPE)
-
-
-def is_number(stripped: Column) -> Column:
-    return _numeric_shape(stripped) & (
-        F.abs(stripped.try_cast("double")) < F.lit(float("inf"))
+    return (
+        f"(substring({stripped}, 1, 1) BETWEEN '+' AND '9' AND {stripped} RLIKE r'{NUMBER_SHAPE}' "
+        f"AND abs(try_cast({stripped} AS double)) < double('infinity'))"
     )
 
 
-def parse_day(c: Column) -> Column:
-    """Calendar day held by a text in one of the accepted formats, else null."""
-    return _day(strip(c))
+def parse_number(c: str) -> str:
+    """Finite double held by a text, else null."""
+    s = strip(c)
+    return f"(CASE WHEN {is_number(s)} THEN try_cast({s} AS double) END)"
 
 
-def _day(s: Column) -> Column:
+def _date_candidate(stripped: str) -> str:
     return (
-        F.when(~_date_candidate(s), F.lit(None).cast("date"))
-        .when(s.rlike(DAY_SHAPE), F.try_to_date(s, "yyyy-M-d"))
-        .when(s.rlike(SLASH_YEAR_LAST_SHAPE),
-              F.coalesce(F.try_to_date(s, "d/M/yyyy"), F.try_to_date(s, "M/d/yyyy")))
-        .when(s.rlike(MOMENT_SHAPE), F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
-        .when(s.rlike(SLASH_YEAR_FIRST_SHAPE), F.try_to_date(s, "yyyy/MM/dd"))
-        .when(s.rlike(COMPACT_DAY_SHAPE), F.try_to_date(s, "yyyyMMdd"))
+        f"(octet_length({stripped}) BETWEEN 8 AND 32 "
+        f"AND substring({stripped}, 1, 1) BETWEEN '0' AND '9')"
     )
 
 
-def _date_candidate(stripped: Column) -> Column:
+def _day(s: str) -> str:
     return (
-        F.octet_length(stripped).between(8, 32)
-        & F.substring(stripped, 1, 1).between("0", "9")
+        f"(CASE WHEN NOT {_date_candidate(s)} THEN NULL "
+        f"WHEN {s} RLIKE r'{DAY_SHAPE}' THEN try_to_date({s}, 'yyyy-M-d') "
+        f"WHEN {s} RLIKE r'{SLASH_YEAR_LAST_SHAPE}' "
+        f"THEN coalesce(try_to_date({s}, 'd/M/yyyy'), try_to_date({s}, 'M/d/yyyy')) "
+        f"WHEN {s} RLIKE r'{MOMENT_SHAPE}' THEN try_to_date(substring({s}, 1, 10), 'yyyy-MM-dd') "
+        f"WHEN {s} RLIKE r'{SLASH_YEAR_FIRST_SHAPE}' THEN try_to_date({s}, 'yyyy/MM/dd') "
+        f"WHEN {s} RLIKE r'{COMPACT_DAY_SHAPE}' THEN try_to_date({s}, 'yyyyMMdd') END)"
     )
 
 
-def is_day(stripped: Column) -> Column:
-    return _date_candidate(stripped) & _day(stripped).isNotNull()
+def parse_day(c: str) -> str:
+    """Calendar day held by a text in one of the accepted formats, else null."""
+    return _day(strip(c))
+
+
+def is_day(stripped: str) -> str:
+    return f"({_day(stripped)} IS NOT NULL)"
 
 
-def value_code(raw: Column, stripped: Column) -> Column:
+def value_code(raw: str, stripped: str) -> str:
     """One small integer per value, from which all type ratios are counted."""
-    low = F.lower(stripped)
-    short = F.octet_length(stripped) <= 5
+    low = f"lower({stripped})"
     return (
-        F.when(raw.isNull(), F.lit(None).cast("int"))
-        .when(is_empty(raw), EMPTY)
-        .when(is_empty(stripped), BLANK)
-        .when(is_number(stripped),
-              F.when(stripped.isin("0", "1"), TRUTH_NUMBER)
-              .when(is_day(stripped), DAY_NUMBER)
-              .otherwise(NUMBER))
-        .when(short & low.isin(*TRUTH_TOKENS, *TRUTH_LETTERS),
-              F.when(low.isin(*TRUTH_LETTERS), TRUTH_LETTER).otherwise(TRUTH_WORD))
-        .when(is_day(stripped), DAY)
-        .otherwise(WORDS)
+        f"CASE WHEN {raw} IS NULL THEN NULL WHEN {is_empty(raw)} THEN {EMPTY} "
+        f"WHEN {is_empty(stripped)} THEN {BLANK} "
+        f"WHEN {is_number(stripped)} THEN CASE WHEN {stripped} IN ('0', '1') THEN {TRUTH_NUMBER} "
+        f"WHEN {is_day(stripped)} THEN {DAY_NUMBER} ELSE {NUMBER} END "
+        f"WHEN octet_length({stripped}) <= 5 AND {one_of(low, TRUTH_TOKENS + TRUTH_LETTERS)} "
+        f"THEN CASE WHEN {one_of(low, TRUTH_LETTERS)} THEN {TRUTH_LETTER} ELSE {TRUTH_WORD} END "
+        f"WHEN {is_day(stripped)} THEN {DAY} ELSE {WORDS} END"
     )
 
 
-def is_truth_token(c: Column) -> Column:
-    return F.lower(strip(c)).isin(*TRUTH_TOKENS, *TRUTH_LETTERS)
+def is_truth_token(c: str) -> str:
+    return one_of(f"lower({strip(c)})", TRUTH_TOKENS + TRUTH_LETTERS)
 
 
-def has_personal_content(c: Column) -> Column:
+def has_personal_content(c: str) -> str:
     """An e-mail address or an eleven-digit taxpayer number anywhere in the text."""
-    return (F.contains(c, F.lit("@")) & c.rlike(EMAIL_SHAPE)) | c.rlike(TAXPAYER_SHAPE)
+    return (
+        f"((contains({c}, '@') AND {c} RLIKE r'{EMAIL_SHAPE}') "
+        f"OR {c} RLIKE r'(?U){TAXPAYER_SHAPE}')"
+    )
 
 
-def number_has_personal_content(x: Column) -> Column:
+def number_has_personal_content(x: str) -> str:
     """The same test for a number. Its digits are written out only if it has over four decimals."""
-    size = F.abs(x)
-    return ((size >= 1e10) & (size < 1e11)) | (
-        (size < 1e7) & (F.rint(x * 10000) / 10000 != x) & x.cast("string").rlike(TAXPAYER_SHAPE)
+    return (
+        f"((abs({x}) >= 1e10 AND abs({x}) < 1e11) OR (abs({x}) < 1e7 "
+        f"AND rint({x} * 10000) / 10000 != {x} AND string({x}) RLIKE r'{TAXPAYER_SHAPE}'))"
     )
 
 
-def has_bad_character(c: Column) -> Column:
-    return F.contains(c, F.lit(REPLACEMENT_CHARACTER))
+def has_bad_character(c: str) -> str:
+    return f"contains({c}, {REPLACEMENT_CHARACTER})"
 
 
-def frequency_key(c: Column) -> Column:
+def frequency_key(c: str) -> str:
     """A text of bounded size that is equal for equal values only.
 
     Up to LITERAL_LIMIT characters it is the value. Beyond, it is a prefix and the digests of
     the whole value and of its normalised form: longer than any literal, so never equal to one.
     """
-    return F.when(F.char_length(c) <= LITERAL_LIMIT, c).otherwise(
-        F.concat(F.substring(c, 1, KEY_PREFIX), F.lit("\x01"),
-                 F.sha2(c, 256), F.sha2(normalise(c), 256))
+    return (
+        f"(CASE WHEN char_length({c}) <= {LITERAL_LIMIT} THEN {c} "
+        f"ELSE concat(substring({c}, 1, {KEY_PREFIX}), '\\u0001', sha2({c}, 256), "
+        f"sha2({normalise(c)}, 256)) END)"
     )
 
 
-def key_is_digest(key: Column) -> Column:
-    return F.char_length(key) > LITERAL_LIMIT
+def key_is_digest(key: str) -> str:
+    return f"(char_length({key}) > {LITERAL_LIMIT})"
 
 
-def normalised_key(key: Column) -> Column:
+def normalised_key(key: str) -> str:
     """Digest of the normalised value, for a key made by `frequency_key`."""
-    return F.when(key_is_digest(key), F.substring(key, KEY_PREFIX + 2 + 64, 64)).otherwise(
-        F.sha2(normalise(key), 256)
+    return (
+        f"(CASE WHEN {key_is_digest(key)} THEN substring({key}, {KEY_PREFIX + 66}, 64) "
+        f"ELSE sha2({normalise(key)}, 256) END)"
     )
-
-
-def contains_any(c: Column, parts: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(p)) for p in parts])

@@ -45,10 +45,3 @@ RECORD_PATHS = ("data", "items", "results", "response.items", "response.data")
 
 # Separators tried on delimited text; earlier ones win ties.
 SEPARATORS = (",", ";", "\t", "|")
-
-# Unicode white space, as stripped from both ends of a value.
-WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
-    + "".join(chr(c) for c in range(0x2000, 0x200B))
-    + "\u2028\u2029\u202f\u205f\u3000"
-)

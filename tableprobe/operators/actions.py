@@ -2,100 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.dataset import TEXT, Dataset, column_refs, quote
+from tableprobe.dataset import TEXT, Dataset, column_refs
 from tableprobe.functions import text
-from tableprobe.operators.frequency import display_value
-from tableprobe.operators.schema import flag_array
+from tableprobe.functions.sql import literal, present, quote
+from tableprobe.operators.frequency import DISPLAY
+from tableprobe.operators.schema import FLAGS
 
 FIXED_CHECKLIST = ("keep_original_copy", "blank_strings_to_null", "confirm_target_and_drop_keys")
+COUNTED_CHECKLIST = (
+    ("decide_missing_values", "treat_missing_values"), ("drop_constants", "drop_from_modeling"),
+    ("protect_sensitive", "mask_or_exclude"), ("separate_keys", "use_as_key"),
+)
 
+IS_KEY = "(possible_primary_key OR possible_id)"
 
-def _is_key() -> Column:
-    return F.col("possible_primary_key") | F.col("possible_id")
+REASONS = present((
+    f"CASE WHEN is_target THEN 'target' WHEN {IS_KEY} THEN 'key' "
+    "WHEN is_constant THEN 'constant' WHEN possible_sensitive THEN 'sensitive' END",
+    "CASE WHEN null_count > 0 THEN 'missing_values' END",
+    "CASE WHEN high_cardinality THEN 'high_cardinality' END",
+    "CASE WHEN outlier_count IS NOT NULL THEN 'outliers' END",
+    "CASE WHEN values_classed IS NOT NULL THEN 'mixed_types' END",
+    "CASE WHEN invalid_dates IS NOT NULL THEN 'invalid_dates' END",
+))
 
 
 def with_target(quality: DataFrame, targets: DataFrame) -> DataFrame:
     """Quality rows marked with whether the column is the target of its dataset."""
-    picked = targets.where("detected").select(
-        "dataset_no", F.col("column").alias("column"), F.lit(True).alias("is_target"))
-    return quality.join(F.broadcast(picked), ["dataset_no", "column"], "left").withColumn(
-        "is_target", F.coalesce("is_target", F.lit(False))
-    )
+    picked = targets.where("detected").selectExpr("dataset_no", "column", "true AS picked")
+    return quality.join(F.broadcast(picked), ["dataset_no", "column"], "left").selectExpr(
+        "*", "coalesce(picked, false) AS is_target").drop("picked")
 
 
 def column_actions(marked: DataFrame) -> DataFrame:
-    """dataset, column, recommended_action, role, priority, reason_codes, from marked quality rows."""
-    constant, sensitive = F.col("is_constant"), F.col("possible_sensitive")
-    missing, many = F.col("null_count") > 0, F.col("high_cardinality")
-    outlying = F.col("outlier_count").isNotNull()
-    mixed, bad_dates = F.col("values_classed").isNotNull(), F.col("invalid_dates").isNotNull()
-    is_target = F.col("is_target")
-
-    action = (
-        F.when(is_target, "validate_target")
-        .when(_is_key(), "use_as_key")
-        .when(constant, "drop_from_modeling")
-        .when(sensitive, "mask_or_exclude")
-        .when(missing, "treat_missing_values")
-        .when(many, "validate_cardinality")
-        .when(mixed, "fix_type_consistency")
-        .when(bad_dates, "fix_dates")
-        .otherwise("keep")
-    )
-    role = (
-        F.when(is_target, "target_candidate")
-        .when(_is_key(), "join_or_identifier")
-        .when(constant, "feature_candidate")
-        .when(sensitive, "sensitive_candidate")
-        .otherwise("feature_candidate")
-    )
-    leading = (
-        F.when(is_target, "target").when(_is_key(), "key")
-        .when(constant, "constant").when(sensitive, "sensitive")
-    )
-    reasons = F.array_compact(F.array(
-        leading, F.when(missing, "missing_values"), F.when(many, "high_cardinality"),
-        F.when(outlying, "outliers"), F.when(mixed, "mixed_types"),
-        F.when(bad_dates, "invalid_dates"),
-    ))
-    return marked.select(
+    """What to do with each column, why, and how urgently, from marked quality rows."""
+    return marked.selectExpr(
         "dataset_no", "dataset", "ordinal", "column", "semantic_type",
-        action.alias("recommended_action"), role.alias("role"), reasons.alias("reason_codes"),
-    ).withColumn(
-        "priority", F.when(F.col("recommended_action") == "keep", "normal").otherwise("high")
-    )
+        f"""CASE WHEN is_target THEN 'validate_target'
+                 WHEN {IS_KEY} THEN 'use_as_key'
+                 WHEN is_constant THEN 'drop_from_modeling'
+                 WHEN possible_sensitive THEN 'mask_or_exclude'
+                 WHEN null_count > 0 THEN 'treat_missing_values'
+                 WHEN high_cardinality THEN 'validate_cardinality'
+                 WHEN values_classed IS NOT NULL THEN 'fix_type_consistency'
+                 WHEN invalid_dates IS NOT NULL THEN 'fix_dates'
+                 ELSE 'keep' END AS recommended_action""",
+        f"""CASE WHEN is_target THEN 'target_candidate'
+                 WHEN {IS_KEY} THEN 'join_or_identifier'
+                 WHEN possible_sensitive AND NOT is_constant THEN 'sensitive_candidate'
+                 ELSE 'feature_candidate' END AS role""",
+        f"{REASONS} AS reason_codes",
+    ).selectExpr(
+        "*", "CASE WHEN recommended_action = 'keep' THEN 'normal' ELSE 'high' END AS priority")
 
 
 def ordered_actions(actions: DataFrame) -> DataFrame:
     """High priority first, then table order."""
-    return actions.orderBy("dataset_no", F.when(F.col("priority") == "high", 0).otherwise(1), "ordinal")
+    return actions.orderBy("dataset_no", F.expr("priority != 'high'"), "ordinal")
 
 
 def cleaning_checklist(actions: DataFrame) -> DataFrame:
     """dataset, position, item, columns: three fixed items, then one per kind of work found."""
-    def number(action: str) -> Column:
-        return F.count_if(F.col("recommended_action") == action)
-
-    counted = actions.groupBy("dataset_no", "dataset").agg(
-        number("treat_missing_values").alias("missing"), number("drop_from_modeling").alias("drop"),
-        number("mask_or_exclude").alias("sensitive"), number("use_as_key").alias("key"),
-    )
-    items: list[Column] = [
-        F.struct(F.lit(i).alias("position"), F.lit(name).alias("item"),
-                 F.lit(None).cast("long").alias("columns"))
-        for i, name in enumerate(FIXED_CHECKLIST)
+    counted = actions.groupBy("dataset_no", "dataset").agg(*[
+        F.expr(f"nullif(count_if(recommended_action = '{action}'), 0) AS {item}")
+        for item, action in COUNTED_CHECKLIST
+    ])
+    items = [f"named_struct('position', {n}, 'item', '{item}', 'columns', cast(null AS bigint))"
+             for n, item in enumerate(FIXED_CHECKLIST)]
+    items += [
+        f"CASE WHEN {item} IS NOT NULL THEN "
+        f"named_struct('position', {n}, 'item', '{item}', 'columns', {item}) END"
+        for n, (item, _) in enumerate(COUNTED_CHECKLIST, start=len(FIXED_CHECKLIST))
     ]
-    for i, (name, counter) in enumerate((
-        ("decide_missing_values", "missing"), ("drop_constants", "drop"),
-        ("protect_sensitive", "sensitive"), ("separate_keys", "key"),
-    ), start=len(FIXED_CHECKLIST)):
-        items.append(F.when(F.col(counter) > 0, F.struct(
-            F.lit(i).alias("position"), F.lit(name).alias("item"),
-            F.col(counter).alias("columns"))))
-    return counted.select("dataset", F.inline(F.array_compact(F.array(*items))))
+    return counted.selectExpr("dataset", f"inline({present(items)})")
 
 
 def apply_cleaning_plan(
@@ -108,7 +90,7 @@ def apply_cleaning_plan(
     """
     plan = {
         r["column"]: r["recommended_action"]
-        for r in actions.where(F.col("dataset") == dataset.name)
+        for r in actions.where(f"dataset = {literal(dataset.name)}")
         .select("column", "recommended_action").collect()
     }
     dropped = {"drop_from_modeling"} | (set() if keep_sensitive else {"mask_or_exclude"})
@@ -116,34 +98,30 @@ def apply_cleaning_plan(
     for ref in column_refs([dataset]):
         if plan.get(ref.name) in dropped:
             continue
-        value = F.when(~text.is_blank(ref.col), ref.col) if ref.kind == TEXT else ref.col
-        columns.append(value.alias(ref.name))
+        value = ref.sql
+        if ref.kind == TEXT:
+            value = f"CASE WHEN NOT {text.is_blank(ref.sql)} THEN {ref.sql} END"
+        columns.append(f"{value} AS {ref.sql}")
         if plan.get(ref.name) == "treat_missing_values":
-            flags.append(value.isNull().alias(f"{ref.name}__is_null"))
-    return dataset.df.select(*columns, *flags)
+            flags.append(f"({value}) IS NULL AS {quote(ref.name + '__is_null')}")
+    return dataset.df.selectExpr(*columns, *flags)
 
 
 def data_dictionary(marked: DataFrame, actions: DataFrame, samples: DataFrame) -> DataFrame:
     """One row per column with its role, action, figures and up to five non-blank examples."""
-    role = (
-        F.when(F.col("is_target"), "target_candidate")
-        .when(_is_key(), "join_or_identifier")
-        .when(F.col("possible_sensitive"), "sensitive_candidate")
-        .otherwise(F.col("action_role"))
-    )
-    shown = F.coalesce(display_value(), F.lit(""))
-    examples = samples.where(~text.is_blank(shown)).groupBy("cid").agg(
-        F.sort_array(F.collect_list(F.struct("rank", shown.alias("value")))).alias("e")
-    ).select("cid", F.col("e.value").alias("examples"))
-    own = actions.select("dataset_no", "column", "recommended_action",
-                         F.col("role").alias("action_role"), "reason_codes")
-    return (
-        marked.join(own, ["dataset_no", "column"]).join(examples, "cid", "left")
-        .select(
-            "dataset", "ordinal", "column", "dtype", "semantic_type", role.alias("role"),
-            "recommended_action", "null_pct", "unique_count", "unique_rate", "possible_sensitive",
-            F.array_join(flag_array(), ",").alias("flags"),
-            F.coalesce("examples", F.array().cast("array<string>")).alias("examples"),
-            F.slice("reason_codes", 1, 2).alias("notes"),
-        )
+    shown = samples.selectExpr("cid", "rank", f"{DISPLAY} AS value").where(
+        f"NOT {text.is_blank('value')}")
+    examples = shown.groupBy("cid").agg(F.expr(
+        "transform(sort_array(collect_list(named_struct('rank', rank, 'value', value))), "
+        "e -> e.value) AS examples"))
+    own = actions.selectExpr(
+        "dataset_no", "column", "recommended_action", "role AS action_role", "reason_codes")
+    return marked.join(own, ["dataset_no", "column"]).join(examples, "cid", "left").selectExpr(
+        "dataset", "ordinal", "column", "dtype", "semantic_type",
+        f"CASE WHEN is_target THEN 'target_candidate' WHEN {IS_KEY} THEN 'join_or_identifier' "
+        "WHEN possible_sensitive THEN 'sensitive_candidate' ELSE action_role END AS role",
+        "recommended_action", "null_pct", "unique_count", "unique_rate", "possible_sensitive",
+        f"array_join({FLAGS}, ',') AS flags",
+        "coalesce(examples, cast(array() AS array<string>)) AS examples",
+        "slice(reason_codes, 1, 2) AS notes",
     )

@@ -2,46 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.functions.arithmetic import share
+from tableprobe.functions.sql import literal, present, records, share
 from tableprobe.plans.catalogs import DEFAULT_RULE, SENSITIVE_EXTRA
 
 MERGED_RULES = 4
 
+_CATEGORICAL = "(categorical_columns + boolean_columns)"
+_TEXTS = "(text_columns + long_text_columns)"
 
-def signal_flags() -> dict[str, Column]:
-    """Conditions over the drivers of a dataset, by signal name, in their fixed order."""
-    rows, columns = F.col("row_count"), F.col("column_count")
-    categorical = F.col("categorical_columns") + F.col("boolean_columns")
-    texts = F.col("text_columns") + F.col("long_text_columns")
-    source = F.col("source_type")
-    return {
-        "multi_dataset": F.col("dataset_count") > 1,
-        "has_relationship_candidates": F.col("possible_join_count") > 0,
-        "tabular": (columns > 0) & (
-            F.col("numeric_columns") + categorical
-            >= F.greatest(F.lit(1), F.floor(columns / 2))),
-        "small_dataset": rows <= 100_000,
-        "large_dataset": rows > 100_000,
-        "clean": (F.col("max_null_pct") < 10) & (F.col("duplicate_pct") < 5)
-        & (F.col("problem_count") <= F.greatest(F.lit(3), columns)),
-        "many_nulls_or_inconsistencies": (F.col("max_null_pct") >= 20)
-        | (F.col("null_pct") >= 10) | (F.col("type_problems") > 0),
-        "has_target": F.col("has_target"),
-        "no_target": ~F.col("has_target"),
-        "target_imbalanced": F.col("target_imbalanced"),
-        "many_categorical": (columns > 0) & (share(categorical, columns) >= 0.35),
-        "short_text": F.col("text_columns") > 0,
-        "long_text": F.col("long_text_columns") > 0,
-        "api_source": source == "api",
-        "sql_source": source == "sql",
-        "large_sql": (source == "sql") & (rows >= 50_000),
-        "json_or_documental": (source == "api") & (texts > 0),
-        "sensitive_data": F.col("sensitive_columns") > 0,
-        "natural_language_questions": F.col("mentions_natural_language"),
-    }
+# Condition of each signal over the drivers of a dataset, in their fixed order.
+SIGNALS = {
+    "multi_dataset": "dataset_count > 1",
+    "has_relationship_candidates": "possible_join_count > 0",
+    "tabular": "column_count > 0 AND "
+               f"numeric_columns + {_CATEGORICAL} >= greatest(1, floor(column_count / 2))",
+    "small_dataset": "row_count <= 100000",
+    "large_dataset": "row_count > 100000",
+    "clean": "max_null_pct < 10 AND duplicate_pct < 5 "
+             "AND problem_count <= greatest(3, column_count)",
+    "many_nulls_or_inconsistencies": "max_null_pct >= 20 OR null_pct >= 10 OR type_problems > 0",
+    "has_target": "has_target",
+    "no_target": "NOT has_target",
+    "target_imbalanced": "target_imbalanced",
+    "many_categorical": f"column_count > 0 AND {share(_CATEGORICAL, 'column_count')} >= 0.35",
+    "short_text": "text_columns > 0",
+    "long_text": "long_text_columns > 0",
+    "api_source": "source_type = 'api'",
+    "sql_source": "source_type = 'sql'",
+    "large_sql": "source_type = 'sql' AND row_count >= 50000",
+    "json_or_documental": f"source_type = 'api' AND {_TEXTS} > 0",
+    "sensitive_data": "sensitive_columns > 0",
+    "natural_language_questions": "mentions_natural_language",
+}
 
 
 def signals(drivers: DataFrame) -> DataFrame:
@@ -49,50 +44,42 @@ def signals(drivers: DataFrame) -> DataFrame:
 
     Drivers of a single table may lack dataset_count and possible_join_count.
     """
-    for name, default in (("dataset_count", 1), ("possible_join_count", 0)):
-        if name not in drivers.columns:
-            drivers = drivers.withColumn(name, F.lit(default))
-    held = [F.when(flag, F.lit(name)) for name, flag in signal_flags().items()]
-    return drivers.select("dataset", F.array_compact(F.array(*held)).alias("signals"))
+    given = ["*"]
+    given += [f"{default} AS {name}"
+              for name, default in (("dataset_count", 1), ("possible_join_count", 0))
+              if name not in drivers.columns]
+    held = present(f"CASE WHEN {test} THEN '{name}' END" for name, test in SIGNALS.items())
+    return drivers.selectExpr(*given).selectExpr("dataset", f"{held} AS signals")
 
 
 def rule_matches(signalled: DataFrame, rules: DataFrame) -> DataFrame:
     """dataset, rule_id, rank: rules whose signals all hold; the default where none does."""
-    default = F.col("rule_id") == DEFAULT_RULE
-    fits = (F.size(F.array_except("must", "signals")) == 0) & ~F.arrays_overlap("must_not", "signals")
-    matched = signalled.join(F.broadcast(rules), fits)
+    fits = F.expr(
+        "size(array_except(must, signals)) = 0 AND NOT arrays_overlap(must_not, signals)")
     # The default has the lowest priority and always fits: it counts only when it comes first.
-    order = Window.partitionBy("dataset").orderBy(F.col("priority").desc(), "rule_id")
-    return (
-        matched.withColumn("rank", F.row_number().over(order))
-        .where(~default | (F.col("rank") == 1))
-        .select("dataset", "rule_id", "rank", "priority", "confidence")
-    )
+    return signalled.join(F.broadcast(rules), fits).selectExpr(
+        "dataset", "rule_id", "priority", "confidence",
+        "row_number() OVER (PARTITION BY dataset ORDER BY priority DESC, rule_id) AS rank",
+    ).where(f"rule_id != '{DEFAULT_RULE}' OR rank = 1")
 
 
 def recommendation(matches: DataFrame, signalled: DataFrame, advice: DataFrame) -> DataFrame:
     """dataset, field, position, item: advice of the leading rules, repeats dropped."""
-    spark = matches.sparkSession
-    leading = matches.where(F.col("rank") <= MERGED_RULES)
+    leading = matches.where(f"rank <= {MERGED_RULES}")
     items = leading.join(F.broadcast(advice), "rule_id").where(
-        (F.col("field") != "approach") | (F.col("rank") == 1)
-    ).select("dataset", "field", "rank", F.col("position").alias("place"), "item")
-    confidence = matches.where(F.col("rank") == 1).select(
-        "dataset", F.lit("confidence").alias("field"), "rank", F.lit(1).alias("place"),
-        F.col("confidence").alias("item"),
-    )
-    extra = signalled.where(F.array_contains("signals", "sensitive_data")).select(
-        "dataset",
-        F.inline(F.array(*[
-            F.struct(F.lit(field).alias("field"), F.lit(MERGED_RULES + 1).alias("rank"),
-                     F.lit(1).alias("place"), F.lit(item).alias("item"))
-            for field, item in SENSITIVE_EXTRA
-        ])),
-    )
-    first = items.unionByName(confidence).unionByName(extra).groupBy("dataset", "field", "item").agg(
-        F.min(F.struct("rank", "place")).alias("at")
+        "field != 'approach' OR rank = 1"
+    ).selectExpr("dataset", "field", "rank", "position AS place", "item")
+    confidence = matches.where("rank = 1").selectExpr(
+        "dataset", "'confidence' AS field", "rank", "1 AS place", "confidence AS item")
+    extra = records(
+        {"field": literal(field), "rank": str(MERGED_RULES + 1), "place": "1", "item": literal(item)}
+        for field, item in SENSITIVE_EXTRA
     )
-    order = Window.partitionBy("dataset", "field").orderBy("at")
-    return first.select(
-        "dataset", "field", F.row_number().over(order).alias("position"), "item"
+    warned = signalled.where("array_contains(signals, 'sensitive_data')").selectExpr(
+        "dataset", f"inline({extra})")
+    first = items.union(confidence).union(warned).groupBy("dataset", "field", "item").agg(
+        F.expr("min(named_struct('rank', rank, 'place', place)) AS first_at"))
+    return first.selectExpr(
+        "dataset", "field",
+        "row_number() OVER (PARTITION BY dataset, field ORDER BY first_at) AS position", "item",
     )

@@ -2,47 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.operators.frequency import display_value, ranked_values
+from tableprobe.operators.frequency import DISPLAY, ranked_values
 from tableprobe.operators.statistics import categorical_columns
 
 
-def _first(df: DataFrame, limit: int, *order) -> DataFrame:
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy("dataset").orderBy(*order)))
-    return ranked.where(F.col("rank") <= limit)
+def _first(df: DataFrame, limit: int, order: str) -> DataFrame:
+    return df.selectExpr(
+        "*", f"row_number() OVER (PARTITION BY dataset ORDER BY {order}) AS rank"
+    ).where(f"rank <= {limit}")
 
 
 def nulls_by_column(facts: DataFrame, limit: int = 20) -> DataFrame:
-    return _first(facts, limit, F.col("null_pct").desc(), "ordinal").select(
+    return _first(facts, limit, "null_pct DESC, ordinal").select(
         "dataset", "rank", "column", "null_pct")
 
 
 def problems_by_column(problems: DataFrame, limit: int = 15) -> DataFrame:
-    counted = problems.groupBy("dataset", "ordinal", "column").agg(F.count(F.lit(1)).alias("problems"))
-    return _first(counted, limit, F.col("problems").desc(), "ordinal").select(
+    counted = problems.groupBy("dataset", "ordinal", "column").agg(F.expr("count(1) AS problems"))
+    return _first(counted, limit, "problems DESC, ordinal").select(
         "dataset", "rank", "column", "problems")
 
 
 def outliers_by_column(quality: DataFrame) -> DataFrame:
-    return quality.where(F.col("outlier_count").isNotNull()).select(
+    return quality.where("outlier_count IS NOT NULL").select(
         "dataset", "ordinal", "column", "outlier_count")
 
 
-def categories(facts: DataFrame, frequencies: DataFrame, columns: int = 3, top: int = 10) -> DataFrame:
+def categories(
+    facts: DataFrame, frequencies: DataFrame, columns: int = 3, top: int = 10
+) -> DataFrame:
     """Top values of the first categorical columns."""
     chosen = _first(categorical_columns(facts), columns, "ordinal").select(
         "cid", "dataset", "ordinal", "column")
-    own = frequencies.join(F.broadcast(chosen.select("cid")), "cid", "left_semi")
-    return ranked_values(own, top).join(F.broadcast(chosen), "cid").select(
-        "dataset", "ordinal", "column", "rank", display_value().alias("value"), "cnt")
+    own = frequencies.join(F.broadcast(chosen), "cid")
+    return ranked_values(own, top).selectExpr(
+        "dataset", "ordinal", "column", "rank", f"{DISPLAY} AS value", "cnt")
 
 
 def datasets(summary: DataFrame, problems: DataFrame) -> DataFrame:
-    counted = problems.groupBy("dataset_no").agg(F.count(F.lit(1)).alias("problems"))
-    return summary.join(counted, "dataset_no", "left").select(
-        "dataset", "row_count", "null_pct", F.coalesce("problems", F.lit(0)).alias("problems"))
+    counted = problems.groupBy("dataset_no").agg(F.expr("count(1) AS n"))
+    return summary.join(counted, "dataset_no", "left").selectExpr(
+        "dataset", "row_count", "null_pct", "coalesce(n, 0L) AS problems")
 
 
 def shared_columns(common: DataFrame, limit: int = 20) -> DataFrame:

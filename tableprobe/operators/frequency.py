@@ -1,8 +1,8 @@
 """Value frequencies: the one intermediate that is shuffled by value.
 
-Columns of one physical type share a scan and a group-by with a typed key, so the map side
-collapses repeats before the shuffle and hot values cost one row per task. Long texts travel as
-keys of bounded size.
+Columns of one physical type are grouped together with a typed key, so the map side collapses
+repeats before the shuffle and hot values cost one row per task. Long texts travel as keys of
+bounded size.
 """
 
 from __future__ import annotations
@@ -10,13 +10,19 @@ from __future__ import annotations
 from collections import defaultdict
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.dataset import OTHER, REAL, TEXT, WHOLE, ColumnRef, Dataset, text_form
 from tableprobe.functions import text
+from tableprobe.functions.sql import listed
 from tableprobe.operators.metrics import long_form
 
+# Text to show for a row of the frequency table.
+DISPLAY = "coalesce(txt, string(whole), string(num))"
+
+VALUE_ORDER = "whole, num, txt"
+
 
 def value_frequencies(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame:
     """cid, num, whole, txt, cnt: how often each distinct non-null value occurs.
@@ -25,11 +31,9 @@ def value_frequencies(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFra
     """
     by_type: dict[tuple[str, str], list[ColumnRef]] = defaultdict(list)
     for ref in refs:
-        if ref.dtype != "void":
-            by_type[_branch(ref)].append(ref)
-    return reduce(DataFrame.unionByName, [
-        _count(datasets, kind, key_type, group) for (kind, key_type), group in by_type.items()
-    ])
+        by_type[_branch(ref)].append(ref)
+    counted = [_count(datasets, *branch, group) for branch, group in by_type.items()]
+    return reduce(DataFrame.union, [c for c in counted if c is not None])
 
 
 def _branch(ref: ColumnRef) -> tuple[str, str]:
@@ -42,49 +46,39 @@ def _branch(ref: ColumnRef) -> tuple[str, str]:
     return ref.kind, ref.dtype
 
 
-def _key(ref: ColumnRef, kind: str, key_type: str) -> Column:
-    if kind == TEXT:
-        return text.frequency_key(text_form(ref))
-    return ref.col.cast(key_type)
-
-
 def _count(
     datasets: list[Dataset], kind: str, key_type: str, refs: list[ColumnRef]
-) -> DataFrame:
-    values = long_form(datasets, refs, lambda r: _key(r, kind, key_type))
-    counted = values.groupBy("cid", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    v = F.col("v")
-    no_text = F.lit(None).cast("string")
-    no_whole = F.lit(None).cast("long")
-    if kind == WHOLE:
-        columns = [v.cast("double").alias("num"), v.alias("whole"), no_text.alias("txt")]
-    elif kind == REAL:
-        exact = v.cast("string") if key_type.startswith("decimal") else no_text
-        columns = [v.cast("double").alias("num"), no_whole.alias("whole"), exact.alias("txt")]
-    else:
-        columns = [F.lit(None).cast("double").alias("num"), no_whole.alias("whole"),
-                   v.cast("string").alias("txt")]
-    return counted.select("cid", *columns, "cnt")
-
-
-def display_value() -> Column:
-    """Text to show for a row of the frequency table."""
-    return F.coalesce("txt", F.col("whole").cast("string"), F.col("num").cast("string"))
+) -> DataFrame | None:
+    def key(ref: ColumnRef) -> str:
+        if kind == TEXT:
+            return text.frequency_key(text_form(ref))
+        return f"cast({ref.sql} AS {key_type})"
+
+    values = long_form(datasets, refs, key)
+    if values is None:
+        return None
+    counted = values.groupBy("cid", "v").agg(F.expr("count(1) AS cnt"))
+    number = "double(v)" if kind in (WHOLE, REAL) else "cast(null AS double)"
+    whole = "v" if kind == WHOLE else "cast(null AS bigint)"
+    shown = kind not in (WHOLE, REAL) or key_type.startswith("decimal")
+    return counted.selectExpr(
+        "cid", f"{number} AS num", f"{whole} AS whole",
+        f"{'string(v)' if shown else 'cast(null AS string)'} AS txt", "cnt",
+    )
 
 
 def distinct_counts(frequencies: DataFrame) -> DataFrame:
     """cid, distinct_values, top_count."""
     return frequencies.groupBy("cid").agg(
-        F.count(F.lit(1)).alias("distinct_values"), F.max("cnt").alias("top_count"),
-    )
+        F.expr("count(1) AS distinct_values"), F.expr("max(cnt) AS top_count"))
 
 
 def normalised_counts(frequencies: DataFrame, text_cids: list[int]) -> DataFrame:
     """cid, distinct_normalised: distinct values once case and white space are ignored."""
+    own = frequencies.where(f"cid IN ({listed(text_cids)})" if text_cids else "false")
     return (
-        frequencies.where(F.col("cid").isin(text_cids) if text_cids else F.lit(False))
-        .groupBy("cid", text.normalised_key(F.col("txt")).alias("norm")).agg(F.lit(1).alias("one"))
-        .groupBy("cid").agg(F.count(F.lit(1)).alias("distinct_normalised"))
+        own.selectExpr("cid", f"{text.normalised_key('txt')} AS norm").distinct()
+        .groupBy("cid").agg(F.expr("count(1) AS distinct_normalised"))
     )
 
 
@@ -94,38 +88,27 @@ def ranked_values(frequencies: DataFrame, limit: int, by_count: bool = True) ->
     The rank filter is applied before the shuffle too, so a task gets a few rows per column and
     map partition, however many distinct values there are.
     """
-    order = [F.col("whole"), F.col("num"), F.col("txt")]
-    if by_count:
-        order = [F.col("cnt").desc(), *order]
-    ranked = frequencies.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("cid").orderBy(*order))
-    )
-    return ranked.where(F.col("rank") <= limit)
+    order = f"cnt DESC, {VALUE_ORDER}" if by_count else VALUE_ORDER
+    return frequencies.selectExpr(
+        "*", f"row_number() OVER (PARTITION BY cid ORDER BY {order}) AS rank"
+    ).where(f"rank <= {limit}")
 
 
-def with_whole_texts(ranked: DataFrame, datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame:
+def with_whole_texts(
+    ranked: DataFrame, datasets: list[Dataset], refs: list[ColumnRef]
+) -> DataFrame:
     """Replace the keys of long texts in a few ranked rows by the texts themselves.
 
     One more pass over the text columns, joined to the few keys that were picked.
     """
-    keys = ranked.where(text.key_is_digest(F.col("txt"))).select("cid", "txt").distinct()
-    parts = []
-    for number, dataset in enumerate(datasets):
-        own = [r for r in refs if r.dataset_no == number and r.kind in (TEXT, OTHER)
-               and r.dtype != "void"]
-        if not own:
-            continue
-        long_texts = (
-            dataset.df.select(*[text_form(r).alias(str(r.cid)) for r in own])
-            .unpivot([], [str(r.cid) for r in own], "cid", "whole_text")
-            .where(F.char_length("whole_text") > text.LITERAL_LIMIT)
-            .select(F.col("cid").cast("int").alias("cid"), "whole_text",
-                    text.frequency_key(F.col("whole_text")).alias("txt"))
-        )
-        parts.append(
-            long_texts.join(F.broadcast(keys), ["cid", "txt"])
-            .dropDuplicates(["cid", "txt"])
-        )
-    if not parts:
-        return ranked.withColumn("whole_text", F.lit(None).cast("string"))
-    return ranked.join(reduce(DataFrame.unionByName, parts), ["cid", "txt"], "left")
+    texts = long_form(datasets, [r for r in refs if r.kind in (TEXT, OTHER)], text_form)
+    if texts is None:
+        return ranked
+    keys = ranked.where(text.key_is_digest("txt")).select("cid", "txt").distinct()
+    found = (
+        texts.where(f"char_length(v) > {text.LITERAL_LIMIT}")
+        .selectExpr("cid", "v AS whole_text", f"{text.frequency_key('v')} AS txt")
+        .join(F.broadcast(keys), ["cid", "txt"]).dropDuplicates(["cid", "txt"])
+    )
+    return ranked.join(found, ["cid", "txt"], "left").withColumn(
+        "txt", F.coalesce("whole_text", "txt")).drop("whole_text")

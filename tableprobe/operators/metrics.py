@@ -10,11 +10,12 @@ from __future__ import annotations
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableprobe.dataset import DATE, OTHER, TEXT, ColumnRef, Dataset, text_form
 from tableprobe.functions import text
+from tableprobe.functions.sql import listed, records
 from tableprobe.functions.wordlists import DATE_NAME_PARTS, SENSITIVE_NAME_PARTS
 
 # So many columns are turned into rows by one scan; wider tables take a pruned scan per batch.
@@ -56,9 +57,9 @@ def long_form(datasets: list[Dataset], refs: list[ColumnRef], value) -> DataFram
             batch = own[start:start + BATCH]
             names = [str(r.cid) for r in batch]
             parts.append(
-                dataset.df.select(*[value(r).alias(str(r.cid)) for r in batch])
-                .unpivot([], names, "cid", "v").where(F.col("v").isNotNull())
-                .select(F.col("cid").cast("int").alias("cid"), "v")
+                dataset.df.selectExpr(*[f"{value(r)} AS `{r.cid}`" for r in batch])
+                .unpivot([], names, "cid", "v").where("v IS NOT NULL")
+                .selectExpr("int(cid) AS cid", "v")
             )
     return reduce(DataFrame.union, parts) if parts else None
 
@@ -70,40 +71,36 @@ def text_metrics(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame |
     if values is None:
         return None
     judged_by_name = [r.cid for r in read if named_sensitive(r.name) or r.numeric]
-    v, code, length = F.col("v"), F.col("code"), F.col("length")
-    personal = text.has_personal_content(v)
+    personal = text.has_personal_content("v")
     if judged_by_name:
-        personal = ~F.col("cid").isin(judged_by_name) & personal
-    coded = (
-        values.withColumn("stripped", text.strip(v))
-        .select("cid", "v", F.char_length(v).alias("length"),
-                text.value_code(v, F.col("stripped")).alias("code"))
-    )
-    return coded.groupBy("cid").agg(
-        F.count(F.lit(1)).alias("texts"),
-        *[F.count_if(code == k).alias(f"code{k}") for k in CODES],
-        F.sum(length).alias("length_all"),
-        F.sum(F.when(code > text.BLANK, length)).alias("length_filled"),
-        F.bool_or(text.has_bad_character(v)).alias("bad_character"),
-        F.bool_or(personal).alias("personal_text"),
-    )
+        personal = f"cid NOT IN ({listed(judged_by_name)}) AND {personal}"
+    coded = values.selectExpr("cid", "v", f"{text.strip('v')} AS stripped").selectExpr(
+        "cid", "v", "char_length(v) AS length", f"{text.value_code('v', 'stripped')} AS code")
+    return coded.groupBy("cid").agg(*[F.expr(e) for e in (
+        "count(1) AS texts",
+        *[f"count_if(code = {k}) AS code{k}" for k in CODES],
+        "sum(length) AS length_all",
+        f"coalesce(sum(CASE WHEN code > {text.BLANK} THEN length END), 0) AS length_filled",
+        f"bool_or({text.has_bad_character('v')}) AS bad_character",
+        f"bool_or({personal}) AS personal_text",
+    )])
 
 
 def number_metrics(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame | None:
     """Count, moments and range of numbers; NaN is left out of the range."""
-    values = long_form(datasets, [r for r in refs if r.numeric], lambda r: r.col.cast("double"))
+    numeric = [r for r in refs if r.numeric]
+    values = long_form(datasets, numeric, lambda r: f"cast({r.sql} AS double)")
     if values is None:
         return None
-    x = F.col("v")
-    number = F.when(~F.isnan(x), x)
-    finite = F.when(F.abs(x) < F.lit(float("inf")), x)
-    return values.groupBy("cid").agg(
-        F.count(F.lit(1)).alias("numbers"),
-        F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.skewness(x).alias("skew"),
-        F.min(number).alias("min"), F.max(number).alias("max"),
-        F.min(finite).alias("finite_min"), F.max(finite).alias("finite_max"),
-        F.bool_or(text.number_has_personal_content(x)).alias("personal_number"),
-    )
+    number = "CASE WHEN NOT isnan(v) THEN v END"
+    finite = "CASE WHEN abs(v) < double('infinity') THEN v END"
+    return values.groupBy("cid").agg(*[F.expr(e) for e in (
+        "count(1) AS numbers",
+        "avg(v) AS mean", "stddev_samp(v) AS std", "skewness(v) AS skew",
+        f"min({number}) AS min", f"max({number}) AS max",
+        f"min({finite}) AS finite_min", f"max({finite}) AS finite_max",
+        f"bool_or({text.number_has_personal_content('v')}) AS personal_number",
+    )])
 
 
 def row_counts(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame:
@@ -111,17 +108,17 @@ def row_counts(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame:
     parts = []
     for number, dataset in enumerate(datasets):
         own = [r for r in refs if r.dataset_no == number]
-        counted = [r for r in own if not r.numeric and r.kind not in (TEXT, OTHER)]
-        names = {r.cid: f"c{r.cid}" for r in counted}
-        row = dataset.df.agg(
-            F.count(F.lit(1)).alias("rows"), *[F.count(r.col).alias(names[r.cid]) for r in counted])
-        parts.append(row.select(F.inline(F.array(*[
-            F.struct(
-                F.lit(r.cid).alias("cid"), F.col("rows").alias("row_count"),
-                (F.col(names[r.cid]) if r.cid in names else F.lit(None).cast("long"))
-                .alias("present"),
-            ) for r in own
-        ]))))
+        counted = {
+            r.cid: f"count({r.sql}) AS c{r.cid}"
+            for r in own if not r.numeric and r.kind not in (TEXT, OTHER)
+        }
+        row = dataset.df.agg(*[F.expr(e) for e in ("count(1) AS n", *counted.values())])
+        cells = records(
+            {"cid": str(r.cid), "row_count": "n",
+             "present": f"c{r.cid}" if r.cid in counted else "cast(null AS bigint)"}
+            for r in own
+        )
+        parts.append(row.selectExpr(f"inline({cells})"))
     return reduce(DataFrame.union, parts)
 
 
@@ -129,27 +126,22 @@ def column_metrics(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame:
     """One row per column of every dataset. All joined sides have one row per column."""
     spark = datasets[0].df.sparkSession
     joined = column_dimension(spark, refs).join(row_counts(datasets, refs), "cid")
-    zero = F.lit(0).cast("long")
-
-    texts = text_metrics(datasets, refs)
-    counts = ("texts", *[f"code{k}" for k in CODES], "length_all", "length_filled")
-    if texts is not None:
-        joined = joined.join(texts, "cid", "left")
-    numbers = number_metrics(datasets, refs)
-    if numbers is not None:
-        joined = joined.join(numbers, "cid", "left")
+    for part in (text_metrics(datasets, refs), number_metrics(datasets, refs)):
+        if part is not None:
+            joined = joined.join(part, "cid", "left")
 
-    def known(name: str, default: Column) -> Column:
-        return F.coalesce(F.col(name), default) if name in joined.columns else default
+    def known(name: str, default: str) -> str:
+        return f"coalesce({name}, {default})" if name in joined.columns else default
 
-    return joined.select(
+    return joined.selectExpr(
         "cid", "dataset_no", "dataset", "ordinal", "column", "dtype", "kind", "named_date",
         "named_sensitive", "row_count",
-        F.coalesce(F.col("present"), F.when(F.col("kind").isin("whole", "real"), known("numbers", zero))
-                   .otherwise(known("texts", zero))).alias("non_null"),
-        *[known(c, zero).alias(c) for c in counts[1:]],
-        known("bad_character", F.lit(False)).alias("bad_character"),
-        (known("personal_text", F.lit(False)) | known("personal_number", F.lit(False)))
-        .alias("personal_content"),
-        *[known(c, F.lit(None).cast("double")).alias(c) for c in MOMENTS],
+        "coalesce(present, CASE WHEN kind IN ('whole', 'real') "
+        f"THEN {known('numbers', '0L')} ELSE {known('texts', '0L')} END) AS non_null",
+        *[f"{known(c, '0L')} AS {c}"
+          for c in (*[f"code{k}" for k in CODES], "length_all", "length_filled")],
+        f"{known('bad_character', 'false')} AS bad_character",
+        f"{known('personal_text', 'false')} OR {known('personal_number', 'false')} "
+        "AS personal_content",
+        *[f"{c if c in joined.columns else 'cast(null AS double)'} AS {c}" for c in MOMENTS],
     )

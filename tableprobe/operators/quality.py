@@ -2,37 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.dataset import DATE, TEXT
 from tableprobe.functions import text
-from tableprobe.functions.arithmetic import percent, plain, share
-from tableprobe.operators.schema import codes, days, exact_unique_rate, filled
+from tableprobe.functions.sql import listed, percent, plain, share
+from tableprobe.operators.schema import DAYS, EXACT_UNIQUE_RATE, FILLED, codes
 
 WARNINGS = ("missing_values", "mixed_types", "invalid_dates", "possible_encoding_issue")
 
 MIXED_CLASSES = {
-    "numeric_like": (text.TRUTH_NUMBER, text.NUMBER, text.DAY_NUMBER),
-    "boolean_like": (text.TRUTH_WORD,),
-    "date_like": (text.DAY,),
-    "text_like": (text.TRUTH_LETTER, text.WORDS),
+    "numeric_like": codes(text.TRUTH_NUMBER, text.NUMBER, text.DAY_NUMBER),
+    "boolean_like": codes(text.TRUTH_WORD),
+    "date_like": codes(text.DAY),
+    "text_like": codes(text.TRUTH_LETTER, text.WORDS),
 }
 
 
 def key_flags(facts: DataFrame) -> DataFrame:
     """Facts with possible_id and possible_primary_key."""
-    rows, unique = F.col("row_count"), F.col("unique_count")
-    name = F.lower("column")
     # A name ending in _id also ends in id.
-    id_name = name.endswith("id") | name.contains("codigo") | name.contains("uuid")
-    complete = F.col("null_count") == 0
-    return facts.select(
+    id_name = "(lower(column) LIKE '%id' OR lower(column) LIKE '%codigo%' OR lower(column) LIKE '%uuid%')"
+    return facts.selectExpr(
         "*",
-        (complete & (exact_unique_rate() > 0.9)
-         & (id_name | F.col("semantic_type").isin("numeric", "text", "categorical")))
-        .alias("possible_id"),
-        ((rows > 0) & complete & (unique == rows)).alias("possible_primary_key"),
+        f"null_count = 0 AND {EXACT_UNIQUE_RATE} > 0.9 AND ({id_name} "
+        "OR semantic_type IN ('numeric', 'text', 'categorical')) AS possible_id",
+        "row_count > 0 AND null_count = 0 AND unique_count = row_count AS possible_primary_key",
     )
 
 
@@ -40,101 +35,88 @@ def quality_checks(
     facts: DataFrame, normalised: DataFrame, outliers: DataFrame
 ) -> DataFrame:
     """One row per column with every check; the figures of a check that found nothing are null."""
-    rows, nulls, unique = F.col("row_count"), F.col("null_count"), F.col("unique_count")
-    is_text = F.col("kind") == TEXT
-
-    unique_rate = exact_unique_rate()
-
-    invalid = filled() - days()
-    bad_dates = (
-        F.col("named_date") & (F.col("kind") != DATE) & (filled() > 0)
-        & (share(invalid, filled()) >= 0.05)
-    )
-    inconsistent = is_text & (F.col("non_null") >= 5) & (
-        F.col("distinct_values") > F.col("distinct_normalised")
-    )
+    invalid = f"({FILLED} - {DAYS})"
     kept = {
-        label: F.when(share(codes(*members), filled()) >= 0.1, codes(*members)).otherwise(0)
-        for label, members in MIXED_CLASSES.items()
+        label: f"CASE WHEN {share(count, FILLED)} >= 0.1 THEN {count} ELSE 0L END"
+        for label, count in MIXED_CLASSES.items()
     }
-    kinds_kept = sum((F.when(c > 0, 1).otherwise(0) for c in kept.values()), F.lit(0))
-    mixed = is_text & (filled() >= 10) & (kinds_kept > 1)
-
     joined = key_flags(facts).join(normalised, "cid", "left").join(outliers, "cid", "left")
-    return joined.select(
+    judged = joined.selectExpr(
         "*",
-        F.when(is_text, F.col(f"code{text.EMPTY}") + nulls).otherwise(0).alias("empty_strings"),
-        F.when(is_text, F.col(f"code{text.BLANK}")).otherwise(0).alias("whitespace_strings"),
-        ((rows > 0) & (unique <= 1)).alias("is_constant"),
-        ((rows > 0) & (unique > 1) & (share(F.col("top_count"), F.col("non_null")) >= 0.95))
-        .alias("near_constant"),
-        ((rows > 10) & (unique_rate >= 0.75) & ~F.col("semantic_type").isin("numeric", "date"))
-        .alias("high_cardinality"),
-        F.when(bad_dates, invalid).alias("invalid_dates"),
-        F.when(bad_dates, filled()).alias("dates_checked"),
-        F.when(bad_dates, percent(invalid, filled())).alias("invalid_pct"),
-        F.when(inconsistent, F.col("distinct_values")).alias("raw_unique"),
-        F.when(inconsistent, F.col("distinct_normalised")).alias("normalised_unique"),
-        percent(F.col("outlier_count"), F.col("non_null")).alias("outlier_pct"),
-        *[F.when(mixed, c).alias(label) for label, c in kept.items()],
-        F.when(mixed, filled()).alias("values_classed"),
-        F.col("bad_character").alias("encoding_issue_hint"),
-    ).withColumn("outlier_pct", F.when(F.col("outlier_count").isNotNull(), F.col("outlier_pct")))
-
-
-def _json(**fields: Column) -> Column:
-    parts: list[Column] = []
-    for name, value in fields.items():
-        parts.append(F.concat(F.lit(f'"{name}":'), value.cast("string")))
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
-
-
-def problem_array() -> Column:
-    """The problems of a column as (position, type, details), in their fixed order."""
-    mixed_counts = F.concat(
-        F.lit('{"counts":{'),
-        F.concat_ws(",", *[
-            F.when(F.col(label) > 0, F.concat(F.lit(f'"{label}":'), F.col(label).cast("string")))
-            for label in MIXED_CLASSES
-        ]),
-        F.lit('},"values":'), F.col("values_classed").cast("string"), F.lit("}"),
+        f"named_date AND kind != 'date' AND {FILLED} > 0 "
+        f"AND {share(invalid, FILLED)} >= 0.05 AS bad_dates",
+        "kind = 'text' AND non_null >= 5 AND distinct_values > distinct_normalised AS inconsistent",
+        f"kind = 'text' AND {FILLED} >= 10 AND "
+        + " + ".join(f"int({c} > 0)" for c in kept.values()) + " > 1 AS mixed",
     )
-    yes = F.lit("true")
-    checks = (
-        ("missing_values", F.col("null_count") > 0, F.col("null_count").cast("string")),
-        ("empty_strings", F.col("empty_strings") > 0, F.col("empty_strings").cast("string")),
-        ("whitespace_only_strings", F.col("whitespace_strings") > 0,
-         F.col("whitespace_strings").cast("string")),
-        ("constant_column", F.col("is_constant"), yes),
-        ("near_constant_column", F.col("near_constant"), yes),
-        ("high_cardinality", F.col("high_cardinality"), yes),
-        ("possible_id", F.col("possible_id"), yes),
-        ("possible_primary_key", F.col("possible_primary_key"), yes),
-        ("invalid_dates", F.col("invalid_dates").isNotNull(),
-         _json(invalid=F.col("invalid_dates"), checked=F.col("dates_checked"),
-               pct=plain(F.col("invalid_pct"), 2))),
-        ("inconsistent_values", F.col("raw_unique").isNotNull(),
-         _json(raw=F.col("raw_unique"), normalised=F.col("normalised_unique"))),
-        ("numeric_outliers", F.col("outlier_count").isNotNull(),
-         _json(count=F.col("outlier_count"), pct=plain(F.col("outlier_pct"), 2),
-               lower=plain(F.col("lower_bound"), 4), upper=plain(F.col("upper_bound"), 4))),
-        ("mixed_types", F.col("values_classed").isNotNull(), mixed_counts),
-        ("possible_encoding_issue", F.col("encoding_issue_hint"), yes),
+    return judged.selectExpr(
+        "*",
+        f"CASE WHEN kind = 'text' THEN code{text.EMPTY} + null_count ELSE 0L END AS empty_strings",
+        f"CASE WHEN kind = 'text' THEN code{text.BLANK} ELSE 0L END AS whitespace_strings",
+        "row_count > 0 AND unique_count <= 1 AS is_constant",
+        f"row_count > 0 AND unique_count > 1 AND {share('top_count', 'non_null')} >= 0.95 "
+        "AS near_constant",
+        f"row_count > 10 AND {EXACT_UNIQUE_RATE} >= 0.75 "
+        "AND semantic_type NOT IN ('numeric', 'date') AS high_cardinality",
+        f"CASE WHEN bad_dates THEN {invalid} END AS invalid_dates",
+        f"CASE WHEN bad_dates THEN {FILLED} END AS dates_checked",
+        f"CASE WHEN bad_dates THEN {percent(invalid, FILLED)} END AS invalid_pct",
+        "CASE WHEN inconsistent THEN distinct_values END AS raw_unique",
+        "CASE WHEN inconsistent THEN distinct_normalised END AS normalised_unique",
+        "CASE WHEN outlier_count IS NOT NULL THEN "
+        f"{percent('outlier_count', 'non_null')} END AS outlier_pct",
+        *[f"CASE WHEN mixed THEN {c} END AS {label}" for label, c in kept.items()],
+        f"CASE WHEN mixed THEN {FILLED} END AS values_classed",
+        "bad_character AS encoding_issue_hint",
     )
-    return F.array_compact(F.array(*[
-        F.when(found, F.struct(F.lit(i).alias("position"), F.lit(label).alias("type"),
-                               details.alias("details")))
-        for i, (label, found, details) in enumerate(checks)
-    ]))
+
+
+def _json(**fields: str) -> str:
+    parts = ", ',', ".join(f"""'"{name}":', {value}""" for name, value in fields.items())
+    return "concat('{', " + parts + ", '}')"
+
+
+_MIXED_DETAILS = (
+    """concat('{"counts":{', concat_ws(',', """
+    + ", ".join(
+        f"""CASE WHEN {label} > 0 THEN concat('"{label}":', {label}) END"""
+        for label in MIXED_CLASSES)
+    + """), '},"values":', values_classed, '}')"""
+)
+
+# Type, condition and details of each problem, in their fixed order.
+CHECKS = (
+    ("missing_values", "null_count > 0", "string(null_count)"),
+    ("empty_strings", "empty_strings > 0", "string(empty_strings)"),
+    ("whitespace_only_strings", "whitespace_strings > 0", "string(whitespace_strings)"),
+    ("constant_column", "is_constant", "'true'"),
+    ("near_constant_column", "near_constant", "'true'"),
+    ("high_cardinality", "high_cardinality", "'true'"),
+    ("possible_id", "possible_id", "'true'"),
+    ("possible_primary_key", "possible_primary_key", "'true'"),
+    ("invalid_dates", "invalid_dates IS NOT NULL",
+     _json(invalid="invalid_dates", checked="dates_checked", pct=plain("invalid_pct", 2))),
+    ("inconsistent_values", "raw_unique IS NOT NULL",
+     _json(raw="raw_unique", normalised="normalised_unique")),
+    ("numeric_outliers", "outlier_count IS NOT NULL",
+     _json(count="outlier_count", pct=plain("outlier_pct", 2),
+           lower=plain("lower_bound", 4), upper=plain("upper_bound", 4))),
+    ("mixed_types", "values_classed IS NOT NULL", _MIXED_DETAILS),
+    ("possible_encoding_issue", "encoding_issue_hint", "'true'"),
+)
 
 
 def problems(quality: DataFrame) -> DataFrame:
-    """dataset, ordinal, column, position, type, severity, details."""
-    return quality.select(
-        "dataset_no", "dataset", "ordinal", "column", F.inline(problem_array())
-    ).withColumn(
-        "severity", F.when(F.col("type").isin(*WARNINGS), "warning").otherwise("info")
+    """dataset_no, dataset, ordinal, column, position, type, details, severity."""
+    found = ", ".join(
+        f"CASE WHEN {condition} THEN named_struct('position', {position}, 'type', '{name}', "
+        f"'details', {details}) END"
+        for position, (name, condition, details) in enumerate(CHECKS)
     )
+    return quality.selectExpr(
+        "dataset_no", "dataset", "ordinal", "column", f"inline(array_compact(array({found})))"
+    ).selectExpr(
+        "*", f"CASE WHEN type IN ({listed(WARNINGS)}) THEN 'warning' ELSE 'info' END AS severity")
 
 
 def explained(found: DataFrame, issue_catalog: DataFrame) -> DataFrame:

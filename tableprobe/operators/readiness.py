@@ -2,148 +2,120 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.functions.text import contains_any
+from tableprobe.functions.sql import contains_any, records
 from tableprobe.functions.wordlists import (
     OBJECTIVE_LANGUAGE, OBJECTIVE_PREDICTION, OBJECTIVE_RISK,
 )
 
 
-def label(score: Column) -> Column:
+def label(score: str) -> str:
     return (
-        F.when(score >= 80, "ready").when(score >= 55, "needs_review")
-        .when(score.isNotNull(), "not_ready")
+        f"CASE WHEN {score} >= 80 THEN 'ready' WHEN {score} >= 55 THEN 'needs_review' "
+        f"WHEN {score} IS NOT NULL THEN 'not_ready' END"
     )
 
 
 def drivers(summary: DataFrame, problems: DataFrame, targets: DataFrame) -> DataFrame:
     """The figures that the scores are made of, per dataset."""
-    counted = problems.groupBy("dataset_no").agg(
-        F.count(F.lit(1)).alias("problem_count"),
-        F.count_if(F.col("severity") == "warning").alias("warning_count"),
-        F.count_if(F.col("type") == "high_cardinality").alias("cardinality_problems"),
-        F.count_if(F.col("type").isin("mixed_types", "invalid_dates")).alias("type_problems"),
-    )
-    zero = F.lit(0)
-    return (
-        summary.join(counted, "dataset_no", "left")
-        .join(targets.select("dataset_no", "detected", "imbalanced"), "dataset_no", "left")
-        .select(
-            *summary.columns,
-            *[F.coalesce(c, zero).alias(c) for c in
-              ("problem_count", "warning_count", "cardinality_problems", "type_problems")],
-            F.coalesce("detected", F.lit(False)).alias("has_target"),
-            F.coalesce("imbalanced", F.lit(False)).alias("target_imbalanced"),
-        )
+    counted = problems.groupBy("dataset_no").agg(*[F.expr(e) for e in (
+        "count(1) AS problem_count",
+        "count_if(severity = 'warning') AS warning_count",
+        "count_if(type = 'high_cardinality') AS cardinality_problems",
+        "count_if(type IN ('mixed_types', 'invalid_dates')) AS type_problems",
+    )])
+    picked = targets.select("dataset_no", "detected", "imbalanced")
+    return summary.join(counted, "dataset_no", "left").join(picked, "dataset_no", "left").selectExpr(
+        *summary.columns,
+        *[f"coalesce({c}, 0L) AS {c}" for c in
+          ("problem_count", "warning_count", "cardinality_problems", "type_problems")],
+        "coalesce(detected, false) AS has_target",
+        "coalesce(imbalanced, false) AS target_imbalanced",
     )
 
 
 def scored(driven: DataFrame) -> DataFrame:
-    """Penalties and scores. Join readiness needs the columns of `with_relations`, else is null."""
-    infos = F.col("problem_count") - F.col("warning_count")
-    penalties = {
-        "null_penalty": (F.col("null_pct") * 1.2, 30),
-        "duplicate_penalty": (F.col("duplicate_pct") * 1.5, 20),
-        "problem_penalty": (F.col("warning_count") * 3 + infos * 1.2, 30),
-        "sensitive_penalty": (F.col("sensitive_columns") * 4, 16),
-        "cardinality_penalty": (F.col("cardinality_problems") * 2, 10),
-    }
-    df = driven.select("*", *[
-        F.least(value.cast("double"), F.lit(float(most))).alias(name)
-        for name, (value, most) in penalties.items()
-    ])
-    quality = F.greatest(F.lit(0.0), F.bround(
-        100 - F.col("null_penalty") - F.col("duplicate_penalty")
-        - F.col("problem_penalty") - F.col("sensitive_penalty"), 0))
-    df = df.withColumn("data_quality_score", quality.cast("int"))
-    df = df.select(
+    """Penalties and scores. The join score needs the counts of relations, else it is null."""
+    joins = "cast(null AS int)"
+    if "common_column_count" in driven.columns:
+        joins = """least(100, 35 + CASE WHEN common_column_count > 0 THEN 25 ELSE 0 END
+            + CASE WHEN possible_join_count > 0 THEN 25 ELSE 0 END
+            + CASE WHEN compatible_group_count > 0 THEN 10 ELSE 0 END)"""
+    return driven.selectExpr(
         "*",
-        F.when(F.col("has_target"), 12).otherwise(-25).alias("target_impact"),
-        F.when(F.col("target_imbalanced"), 10).otherwise(0).alias("imbalance_penalty"),
-    )
-    modelling = (
-        F.col("data_quality_score") + F.col("target_impact") - F.col("imbalance_penalty")
-        - F.col("cardinality_penalty")
-    )
-    df = df.withColumn(
-        "modelling_score",
-        F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(modelling, 0))).cast("int"),
+        "least(null_pct * 1.2D, 30D) AS null_penalty",
+        "least(duplicate_pct * 1.5D, 20D) AS duplicate_penalty",
+        "least(warning_count * 3 + (problem_count - warning_count) * 1.2D, 30D) AS problem_penalty",
+        "least(double(sensitive_columns * 4), 16D) AS sensitive_penalty",
+        "least(double(cardinality_problems * 2), 10D) AS cardinality_penalty",
+        "CASE WHEN has_target THEN 12 ELSE -25 END AS target_impact",
+        "CASE WHEN target_imbalanced THEN 10 ELSE 0 END AS imbalance_penalty",
+        f"{joins} AS join_score",
+    ).selectExpr(
+        "*",
+        "int(greatest(0D, bround(100 - null_penalty - duplicate_penalty - problem_penalty "
+        "- sensitive_penalty, 0))) AS data_quality_score",
+    ).selectExpr(
+        "*",
+        "int(greatest(0D, least(100D, bround(data_quality_score + target_impact "
+        "- imbalance_penalty - cardinality_penalty, 0)))) AS modelling_score",
     )
-    if "common_column_count" in df.columns:
-        joins = (
-            35 + F.when(F.col("common_column_count") > 0, 25).otherwise(0)
-            + F.when(F.col("possible_join_count") > 0, 25).otherwise(0)
-            + F.when(F.col("compatible_group_count") > 0, 10).otherwise(0)
-        )
-        df = df.withColumn("join_score", F.least(F.lit(100), joins))
-    else:
-        df = df.withColumn("join_score", F.lit(None).cast("int"))
-    return df
 
 
 def readiness(scores: DataFrame) -> DataFrame:
-    return scores.select(
-        "dataset",
-        *[c for name in ("data_quality", "modelling", "join")
-          for c in (F.col(f"{name}_score"), label(F.col(f"{name}_score")).alias(f"{name}_label"))],
-    )
+    return scores.selectExpr("dataset", *[
+        e for name in ("data_quality", "modelling", "join")
+        for e in (f"{name}_score", f"{label(name + '_score')} AS {name}_label")
+    ])
 
 
 def score_parts(scores: DataFrame) -> DataFrame:
     """dataset, score, position, part, impact: how each score came about."""
-    def minus(name: str) -> Column:
-        return -F.round(F.col(name), 1)
-
-    joins = F.col("join_score").isNotNull()
     parts = [
-        ("data_quality", "base", F.lit(100.0), None),
-        ("data_quality", "nulls", minus("null_penalty"), None),
-        ("data_quality", "duplicates", minus("duplicate_penalty"), None),
-        ("data_quality", "problems", minus("problem_penalty"), None),
-        ("data_quality", "sensitive_columns", minus("sensitive_penalty"), None),
-        ("modelling", "data_quality", F.col("data_quality_score"), None),
-        ("modelling", "target", F.col("target_impact"), None),
-        ("modelling", "imbalance", -F.col("imbalance_penalty"), None),
-        ("modelling", "high_cardinality", -F.col("cardinality_penalty"), None),
-        ("join", "base", F.lit(35.0), joins),
+        ("data_quality", "base", "100D"),
+        ("data_quality", "nulls", "-round(null_penalty, 1)"),
+        ("data_quality", "duplicates", "-round(duplicate_penalty, 1)"),
+        ("data_quality", "problems", "-round(problem_penalty, 1)"),
+        ("data_quality", "sensitive_columns", "-round(sensitive_penalty, 1)"),
+        ("modelling", "data_quality", "double(data_quality_score)"),
+        ("modelling", "target", "double(target_impact)"),
+        ("modelling", "imbalance", "-double(imbalance_penalty)"),
+        ("modelling", "high_cardinality", "-cardinality_penalty"),
     ]
     if "common_column_count" in scores.columns:
-        def bonus(name: str, points: int) -> Column:
-            return F.when(F.col(name) > 0, points).otherwise(0)
-
+        bonus = "CASE WHEN {} > 0 THEN {}D ELSE 0D END".format
         parts += [
-            ("join", "common_columns", bonus("common_column_count", 25), joins),
-            ("join", "join_candidates", bonus("possible_join_count", 25), joins),
-            ("join", "compatible_schemas", bonus("compatible_group_count", 10),
-             joins & (F.col("compatible_group_count") > 0)),
+            ("join", "base", "35D"),
+            ("join", "common_columns", bonus("common_column_count", 25)),
+            ("join", "join_candidates", bonus("possible_join_count", 25)),
+            ("join", "compatible_schemas",
+             "CASE WHEN compatible_group_count > 0 THEN 10D END"),
         ]
-    rows = []
-    for position, (score, part, impact, shown) in enumerate(parts):
-        row = F.struct(
-            F.lit(score).alias("score"), F.lit(position).alias("position"),
-            F.lit(part).alias("part"), (impact.cast("double") + F.lit(0.0)).alias("impact"),
-        )
-        rows.append(row if shown is None else F.when(shown, row))
-    return scores.select("dataset", F.inline(F.array_compact(F.array(*rows))))
+    rows = records(
+        {"score": f"'{score}'", "position": str(n), "part": f"'{part}'", "impact": f"{impact} + 0D"}
+        for n, (score, part, impact) in enumerate(parts)
+    )
+    return scores.selectExpr("dataset", f"inline({rows})").where("impact IS NOT NULL")
 
 
 def top_problem_types(problems: DataFrame, limit: int = 3) -> DataFrame:
     """The most frequent problem types per dataset; ties by name."""
-    counted = problems.groupBy("dataset_no", "dataset", "type").agg(F.count(F.lit(1)).alias("cnt"))
-    order = Window.partitionBy("dataset_no").orderBy(F.col("cnt").desc(), "type")
-    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    counted = problems.groupBy("dataset_no", "dataset", "type").agg(F.expr("count(1) AS cnt"))
+    return counted.selectExpr(
+        "*", "row_number() OVER (PARTITION BY dataset_no ORDER BY cnt DESC, type) AS rank"
+    ).where(f"rank <= {limit}")
 
 
 def objective_signals(objectives: DataFrame) -> DataFrame:
     """Flags for what a stated objective mentions. Input has the column `objective`."""
-    text = F.lower(F.coalesce("objective", F.lit("")))
-    return objectives.select(
+    text = "lower(coalesce(objective, ''))"
+    return objectives.selectExpr(
         "*",
-        contains_any(text, OBJECTIVE_LANGUAGE).alias("mentions_natural_language"),
-        contains_any(text, OBJECTIVE_PREDICTION).alias("mentions_prediction"),
-        contains_any(text, OBJECTIVE_RISK).alias("mentions_risk"),
+        f"{contains_any(text, OBJECTIVE_LANGUAGE)} AS mentions_natural_language",
+        f"{contains_any(text, OBJECTIVE_PREDICTION)} AS mentions_prediction",
+        f"{contains_any(text, OBJECTIVE_RISK)} AS mentions_risk",
     )
 
 
@@ -151,30 +123,22 @@ def decisions(
     scores: DataFrame, targets: DataFrame, top_types: DataFrame, recommendation: DataFrame
 ) -> DataFrame:
     """One row of codes per dataset: may it be modelled, what to do first, the main risk."""
-    modelling = label(F.col("modelling_score"))
-    types = (
-        top_types.groupBy("dataset_no")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "type"))).alias("t"))
-        .select("dataset_no", F.array_join(F.col("t.type"), ",").alias("top_problem_types"))
-    )
-    first = recommendation.where(F.col("position") == 1).groupBy("dataset").agg(
-        F.max(F.when(F.col("field") == "risks", F.col("item"))).alias("main_risk"),
-        F.max(F.when(F.col("field") == "next_steps", F.col("item"))).alias("first_step"),
-        F.max(F.when(F.col("field") == "approach", F.col("item"))).alias("approach"),
+    types = top_types.groupBy("dataset_no").agg(F.expr(
+        "array_join(transform(sort_array(collect_list(named_struct('rank', rank, 'type', type))), "
+        "t -> t.type), ',') AS types"))
+    first = "max(CASE WHEN field = '{}' THEN item END)".format
+    advice = recommendation.where("position = 1").groupBy("dataset").agg(
+        F.expr(f"{first('risks')} AS risk"), F.expr(f"{first('next_steps')} AS step"),
+        F.expr(f"{first('approach')} AS approach"),
     )
-    return (
-        scores.join(types, "dataset_no", "left").join(first, "dataset", "left")
-        .join(targets.select("dataset_no", F.col("column").alias("target")), "dataset_no", "left")
-        .select(
-            "dataset",
-            F.when(modelling == "not_ready", "blocked")
-            .when(modelling == "needs_review", "needs_validation")
-            .otherwise("ready_for_baseline").alias("status"),
-            F.when(~F.col("has_target"), "confirm_target")
-            .when(F.col("problem_count") > 0, "treat_problems")
-            .otherwise(F.coalesce("first_step", F.lit("review_summary"))).alias("primary_action"),
-            F.coalesce("main_risk", F.lit("none_found")).alias("main_risk"),
-            "target", F.coalesce("top_problem_types", F.lit("")).alias("top_problem_types"),
-            "approach",
-        )
+    joined = scores.join(types, "dataset_no", "left").join(advice, "dataset", "left").join(
+        targets.selectExpr("dataset_no", "column AS target"), "dataset_no", "left")
+    return joined.selectExpr(
+        "dataset",
+        "CASE WHEN modelling_score < 55 THEN 'blocked' WHEN modelling_score < 80 "
+        "THEN 'needs_validation' ELSE 'ready_for_baseline' END AS status",
+        "CASE WHEN NOT has_target THEN 'confirm_target' WHEN problem_count > 0 "
+        "THEN 'treat_problems' ELSE coalesce(step, 'review_summary') END AS primary_action",
+        "coalesce(risk, 'none_found') AS main_risk", "target",
+        "coalesce(types, '') AS top_problem_types", "approach",
     )

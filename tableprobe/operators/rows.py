@@ -1,26 +1,27 @@
-"""Row-level checks: duplicates, previews and example rows."""
+"""Row-level checks: duplicates, empty rows, previews and example rows."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableprobe.dataset import TEXT, ColumnRef, Dataset, quote
+from tableprobe.dataset import TEXT, ColumnRef, Dataset
 from tableprobe.functions import text
+from tableprobe.functions.sql import literal, quote, records
 
 ISSUE_EXAMPLES = 5
 
 
-def _hashable(df: DataFrame) -> list[Column]:
+def _hashable(df: DataFrame) -> list[str]:
     """Columns to fingerprint; maps become sorted entries since they have no hash."""
-    columns = []
-    for f in df.schema.fields:
-        c = F.col(quote(f.name))
-        columns.append(F.array_sort(F.map_entries(c)) if isinstance(f.dataType, T.MapType) else c)
-    return columns
+    return [
+        f"array_sort(map_entries({quote(f.name)}))" if isinstance(f.dataType, T.MapType)
+        else quote(f.name)
+        for f in df.schema.fields
+    ]
 
 
 def repeated_rows(df: DataFrame) -> DataFrame:
@@ -29,25 +30,20 @@ def repeated_rows(df: DataFrame) -> DataFrame:
     First only 64-bit fingerprints are shuffled. Whole rows are then grouped just for the
     fingerprints seen twice, which both confirms them and leaves unique rows where they are.
     """
-    if not df.columns:
-        return df.sparkSession.range(0).select(F.col("id").alias("copies"))
-    hashed = df.select("*", F.xxhash64(*_hashable(df)).alias("row_print"))
-    suspects = (
-        hashed.select("row_print").groupBy("row_print").count().where("count > 1").select("row_print")
-    )
-    groups = [F.col(quote(c)) for c in df.columns]
+    hashed = df.selectExpr("*", f"xxhash64({', '.join(_hashable(df))}) AS row_print")
+    suspects = hashed.groupBy("row_print").agg(F.expr("count(1) AS n")).where("n > 1")
     return (
-        hashed.join(suspects, "row_print", "left_semi")
-        .groupBy(*groups).agg(F.count(F.lit(1)).alias("copies"))
+        hashed.join(suspects.select("row_print"), "row_print", "left_semi")
+        .groupBy(*[quote(c) for c in df.columns]).agg(F.expr("count(1) AS copies"))
         .where("copies > 1").select("copies")
     )
 
 
 def duplicate_counts(datasets: list[Dataset]) -> DataFrame:
     """dataset_no, duplicate_rows: every member of a group of equal rows counts."""
-    return reduce(DataFrame.unionByName, [
-        repeated_rows(d.df).agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("duplicate_rows"))
-        .select(F.lit(n).alias("dataset_no"), "duplicate_rows")
+    return reduce(DataFrame.union, [
+        repeated_rows(d.df).agg(F.expr("coalesce(sum(copies), 0L) AS duplicate_rows"))
+        .selectExpr(f"{n} AS dataset_no", "duplicate_rows")
         for n, d in enumerate(datasets)
     ])
 
@@ -59,33 +55,37 @@ def empty_rows(datasets: list[Dataset], refs: list[ColumnRef], metrics: DataFram
     table, decide which tables are read at all.
     """
     spark = metrics.sparkSession
-    gaps = F.col("row_count") - F.col("non_null") + F.when(
-        F.col("kind") == TEXT, F.col(f"code{text.EMPTY}") + F.col(f"code{text.BLANK}")
-    ).otherwise(0)
+    gaps = f"""row_count - non_null
+        + CASE WHEN kind = 'text' THEN code{text.EMPTY} + code{text.BLANK} ELSE 0 END"""
     suspects = {
-        r["dataset_no"] for r in metrics.groupBy("dataset_no").agg(F.min(gaps).alias("gaps"))
-        .where("gaps > 0").collect()
+        r["dataset_no"] for r in metrics.groupBy("dataset_no")
+        .agg(F.expr(f"min({gaps}) AS gaps")).where("gaps > 0").collect()
     }
     parts = []
     for number, dataset in enumerate(datasets):
         if number in suspects:
-            own = [r for r in refs if r.dataset_no == number]
-            own.sort(key=lambda r: r.kind == TEXT)
-            tests = [
-                F.coalesce(text.is_blank(r.col), F.lit(True)) if r.kind == TEXT else r.col.isNull()
-                for r in own
-            ]
-            counted = dataset.df.where(reduce(lambda a, b: a & b, tests)).agg(
-                F.count(F.lit(1)).alias("rows_fully_empty"))
+            own = sorted((r for r in refs if r.dataset_no == number), key=lambda r: r.kind == TEXT)
+            tests = (
+                f"coalesce({text.is_blank(r.sql)}, true)" if r.kind == TEXT
+                else f"{r.sql} IS NULL" for r in own
+            )
+            counted = dataset.df.where(" AND ".join(tests)).agg(
+                F.expr("count(1) AS rows_fully_empty"))
         else:
-            counted = spark.range(1).select(F.lit(0).cast("long").alias("rows_fully_empty"))
-        parts.append(counted.select(F.lit(number).alias("dataset_no"), "rows_fully_empty"))
-    return reduce(DataFrame.unionByName, parts)
+            counted = spark.range(1).selectExpr("0L AS rows_fully_empty")
+        parts.append(counted.selectExpr(f"{number} AS dataset_no", "rows_fully_empty"))
+    return reduce(DataFrame.union, parts)
 
 
 def sample_rows(dataset: Dataset, order_by: list[str], limit: int = 8) -> DataFrame:
     """The first rows by a key, which must be given since a table has no order of its own."""
-    return dataset.df.orderBy(*[F.col(quote(c)) for c in order_by]).limit(limit)
+    return dataset.df.orderBy(*[quote(c) for c in order_by]).limit(limit)
+
+
+def head_sample(dataset: Dataset, order_by: list[str], limit: int) -> Dataset:
+    """The dataset cut to its first rows by a key, for a quick look. Figures then cover only these."""
+    return Dataset(
+        dataset.name, sample_rows(dataset, order_by, limit), dataset.source, dataset.metadata)
 
 
 def issue_examples(
@@ -93,31 +93,26 @@ def issue_examples(
     limit: int = ISSUE_EXAMPLES,
 ) -> DataFrame:
     """dataset, column, type, rank, row_key, value: the first rows by key that show an issue."""
-    cells = []
-    for r in refs:
-        text_value = r.col.cast("string") if r.kind == TEXT else F.lit(None).cast("string")
-        number = r.col.cast("double") if r.numeric else F.lit(None).cast("double")
-        cells.append(F.struct(
-            F.lit(r.cid).alias("cid"), F.lit(r.name).alias("column"),
-            r.col.isNull().alias("missing"), text_value.alias("text_value"),
-            number.alias("number"),
-        ))
-    long_form = dataset.df.select(F.col(quote(key)).alias("row_key"), F.inline(F.array(*cells)))
-    bounds = bounds.select("cid", "lower_bound", "upper_bound")
-    outside = (F.col("number") < F.col("lower_bound")) | (F.col("number") > F.col("upper_bound"))
+    cells = records(
+        {
+            "cid": str(r.cid), "column": literal(r.name), "missing": f"{r.sql} IS NULL",
+            "text_value": f"string({r.sql})" if r.kind == TEXT else "cast(null AS string)",
+            "number": f"double({r.sql})" if r.numeric else "cast(null AS double)",
+        }
+        for r in refs
+    )
     found = (
-        long_form.join(F.broadcast(bounds), "cid", "left")
-        .withColumn(
-            "type",
-            F.when(F.col("missing"), "missing_values")
-            .when(text.is_blank(F.col("text_value")), "blank_strings")
-            .when(outside, "numeric_outliers"),
+        dataset.df.selectExpr(f"{quote(key)} AS row_key", f"inline({cells})")
+        .join(F.broadcast(bounds.select("cid", "lower_bound", "upper_bound")), "cid", "left")
+        .selectExpr(
+            "row_key", "column", "coalesce(text_value, string(number)) AS value",
+            f"CASE WHEN missing THEN 'missing_values' WHEN {text.is_blank('text_value')} "
+            "THEN 'blank_strings' WHEN number < lower_bound OR number > upper_bound "
+            "THEN 'numeric_outliers' END AS type",
         )
-        .where(F.col("type").isNotNull())
-    )
-    by_key = Window.partitionBy("cid", "column", "type").orderBy("row_key")
-    return (
-        found.withColumn("rank", F.row_number().over(by_key)).where(F.col("rank") <= limit)
-        .select(F.lit(dataset.name).alias("dataset"), "column", "type", "rank", "row_key",
-                F.coalesce("text_value", F.col("number").cast("string")).alias("value"))
+        .where("type IS NOT NULL")
     )
+    return found.selectExpr(
+        f"{literal(dataset.name)} AS dataset", "column", "type",
+        "row_number() OVER (PARTITION BY column, type ORDER BY row_key) AS rank", "row_key", "value",
+    ).where(f"rank <= {limit}")

@@ -2,56 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.dataset import BOOLEAN, DATE, REAL, TEXT, WHOLE
 from tableprobe.functions import text
-from tableprobe.functions.arithmetic import percent, share
+from tableprobe.functions.sql import percent, present, share
 
 PROFILE_COLUMNS = (
     "dataset", "ordinal", "column", "dtype", "semantic_type", "row_count", "null_count",
     "null_pct", "non_null_count", "unique_count", "unique_rate", "possible_sensitive",
 )
+SEMANTIC_TYPES = ("numeric", "date", "boolean", "categorical", "text", "long_text")
 
 
-def codes(*wanted: int) -> Column:
-    total = F.col(f"code{wanted[0]}")
-    for code in wanted[1:]:
-        total = total + F.col(f"code{code}")
-    return total
+def codes(*wanted: int) -> str:
+    return "(" + " + ".join(f"code{code}" for code in wanted) + ")"
 
 
-def truths() -> Column:
-    return codes(text.TRUTH_NUMBER, text.TRUTH_WORD, text.TRUTH_LETTER)
+TRUTHS = codes(text.TRUTH_NUMBER, text.TRUTH_WORD, text.TRUTH_LETTER)
+DAYS = codes(text.DAY_NUMBER, text.DAY)
+# Values that are neither null, empty nor white space.
+FILLED = codes(*range(text.TRUTH_NUMBER, text.WORDS + 1))
 
+EXACT_UNIQUE_RATE = share("unique_count", "row_count")
+MEAN_LENGTH = share("length_filled", FILLED)
 
-def days() -> Column:
-    return codes(text.DAY_NUMBER, text.DAY)
+SEMANTIC_TYPE = f"""
+    CASE WHEN kind IN ('boolean', 'date') THEN kind
+         WHEN kind IN ('whole', 'real') THEN 'numeric'
+         WHEN kind != 'text' THEN 'categorical'
+         WHEN {share(TRUTHS, 'non_null')} >= 0.95 THEN 'boolean'
+         WHEN {share(DAYS, 'non_null')} >= 0.8 THEN 'date'
+         WHEN {MEAN_LENGTH} > 60 THEN 'long_text'
+         WHEN {MEAN_LENGTH} > 24 OR {EXACT_UNIQUE_RATE} > 0.5 THEN 'text'
+         ELSE 'categorical' END"""
 
-
-def filled() -> Column:
-    """Number of values that are neither null, empty nor white space."""
-    return codes(*range(text.TRUTH_NUMBER, text.WORDS + 1))
-
-
-def exact_unique_rate() -> Column:
-    return share(F.col("unique_count"), F.col("row_count"))
-
-
-def semantic_type() -> Column:
-    mean_length = share(F.col("length_filled"), filled())
-    return (
-        F.when(F.col("kind") == BOOLEAN, "boolean")
-        .when(F.col("kind") == DATE, "date")
-        .when(F.col("kind").isin(WHOLE, REAL), "numeric")
-        .when(F.col("kind") != TEXT, "categorical")
-        .when(share(truths(), F.col("non_null")) >= 0.95, "boolean")
-        .when(share(days(), F.col("non_null")) >= 0.8, "date")
-        .when(mean_length > 60, "long_text")
-        .when((mean_length > 24) | (exact_unique_rate() > 0.5), "text")
-        .otherwise("categorical")
-    )
+# Schema flags of a column, in their fixed order.
+FLAGS = present((
+    "CASE WHEN null_count > 0 THEN 'missing_values' END",
+    "CASE WHEN row_count > 0 AND unique_count <= 1 THEN 'constant' END",
+    f"CASE WHEN row_count > 5 AND {EXACT_UNIQUE_RATE} > 0.9 THEN 'high_cardinality' END",
+    "CASE WHEN possible_sensitive THEN 'possible_sensitive_field' END",
+))
 
 
 def column_facts(metrics: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -59,19 +51,17 @@ def column_facts(metrics: DataFrame, distinct: DataFrame) -> DataFrame:
 
     Null counts as one more distinct value.
     """
-    joined = metrics.join(distinct, "cid", "left").withColumn(
-        "null_count", F.col("row_count") - F.col("non_null")
-    ).withColumn(
-        "unique_count",
-        F.coalesce("distinct_values", F.lit(0)) + F.when(F.col("null_count") > 0, 1).otherwise(0),
+    counted = metrics.join(distinct, "cid", "left").selectExpr(
+        "*", "row_count - non_null AS null_count",
+        "coalesce(distinct_values, 0L) + int(row_count > non_null) AS unique_count",
     )
-    return joined.select(
+    return counted.selectExpr(
         "*",
-        semantic_type().alias("semantic_type"),
-        (F.col("named_sensitive") | F.col("personal_content")).alias("possible_sensitive"),
-        percent(F.col("null_count"), F.col("row_count")).alias("null_pct"),
-        F.col("non_null").alias("non_null_count"),
-        F.round(exact_unique_rate(), 4).alias("unique_rate"),
+        f"{SEMANTIC_TYPE} AS semantic_type",
+        "named_sensitive OR personal_content AS possible_sensitive",
+        f"{percent('null_count', 'row_count')} AS null_pct",
+        "non_null AS non_null_count",
+        f"round({EXACT_UNIQUE_RATE}, 4) AS unique_rate",
     )
 
 
@@ -79,44 +69,28 @@ def column_profile(facts: DataFrame) -> DataFrame:
     return facts.select(*PROFILE_COLUMNS)
 
 
-def flag_array() -> Column:
-    """Schema flags of a column, in their fixed order."""
-    rows = F.col("row_count")
-    return F.array_compact(F.array(
-        F.when(F.col("null_count") > 0, "missing_values"),
-        F.when((rows > 0) & (F.col("unique_count") <= 1), "constant"),
-        F.when((rows > 5) & (exact_unique_rate() > 0.9), "high_cardinality"),
-        F.when(F.col("possible_sensitive"), "possible_sensitive_field"),
-    ))
-
-
 def column_flags(facts: DataFrame) -> DataFrame:
-    return facts.select("dataset", "column", F.explode(flag_array()).alias("flag"))
+    return facts.selectExpr("dataset", "column", f"explode({FLAGS}) AS flag")
 
 
 def type_counts(facts: DataFrame) -> DataFrame:
     """Columns per semantic type, and their share of the columns of the dataset."""
-    counted = facts.groupBy("dataset", "semantic_type").agg(F.count(F.lit(1)).alias("columns"))
-    total = F.sum("columns").over(Window.partitionBy("dataset"))
-    return counted.withColumn("pct", percent(F.col("columns"), total))
+    counted = facts.groupBy("dataset", "semantic_type").agg(F.expr("count(1) AS columns"))
+    return counted.selectExpr(
+        "*", f"{percent('columns', 'sum(columns) OVER (PARTITION BY dataset)')} AS pct")
 
 
 def dataset_summary(facts: DataFrame, duplicates: DataFrame, empty: DataFrame) -> DataFrame:
     """Rows, cells, nulls, duplicates, empty rows and the mix of types, per dataset."""
-    def typed(name: str) -> Column:
-        return F.count_if(F.col("semantic_type") == name).alias(f"{name}_columns")
-
-    grouped = facts.groupBy("dataset_no", "dataset").agg(
-        F.max("row_count").alias("row_count"),
-        F.count(F.lit(1)).alias("column_count"),
-        F.sum("row_count").alias("total_cells"),
-        F.sum("null_count").alias("null_cells"),
-        F.max("null_pct").alias("max_null_pct"),
-        F.count_if("possible_sensitive").alias("sensitive_columns"),
-        *[typed(t) for t in ("numeric", "date", "boolean", "categorical", "text", "long_text")],
-    )
-    return grouped.join(duplicates, "dataset_no", "left").join(empty, "dataset_no", "left").select(
-        "*",
-        percent(F.col("null_cells"), F.col("total_cells")).alias("null_pct"),
-        percent(F.col("duplicate_rows"), F.col("row_count")).alias("duplicate_pct"),
+    grouped = facts.groupBy("dataset_no", "dataset").agg(*[F.expr(e) for e in (
+        "max(row_count) AS row_count", "count(1) AS column_count",
+        "sum(row_count) AS total_cells", "sum(null_count) AS null_cells",
+        "max(null_pct) AS max_null_pct",
+        "count_if(possible_sensitive) AS sensitive_columns",
+        *[f"count_if(semantic_type = '{t}') AS {t}_columns" for t in SEMANTIC_TYPES],
+    )])
+    joined = grouped.join(duplicates, "dataset_no", "left").join(empty, "dataset_no", "left")
+    return joined.selectExpr(
+        "*", f"{percent('null_cells', 'total_cells')} AS null_pct",
+        f"{percent('duplicate_rows', 'row_count')} AS duplicate_pct",
     )

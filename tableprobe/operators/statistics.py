@@ -8,20 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.dataset import REAL, ColumnRef, Dataset
-from tableprobe.functions.arithmetic import finite
-from tableprobe.operators.frequency import display_value, ranked_values
+from tableprobe.functions.sql import finite, literal, records
+from tableprobe.operators.frequency import DISPLAY, ranked_values
 
 BINS = 12
 
 
 def numeric_stats(facts: DataFrame, quarters: DataFrame) -> DataFrame:
     """Count, moments, range and quartiles per numeric column; an all-null column has no row."""
-    joined = facts.where(F.col("kind").isin("whole", "real") & (F.col("non_null") > 0)).join(
-        quarters, "cid", "left"
-    )
-    return joined.select(
-        "dataset", "ordinal", "column", F.col("non_null").alias("count"),
-        *[finite(F.col(c)).alias(c)
+    joined = facts.where("kind IN ('whole', 'real') AND non_null > 0").join(quarters, "cid", "left")
+    return joined.selectExpr(
+        "dataset", "ordinal", "column", "non_null AS count",
+        *[f"{finite(c)} AS {c}"
           for c in ("mean", "median", "min", "max", "std", "q1", "q3", "skew")],
     )
 
@@ -29,30 +27,29 @@ def numeric_stats(facts: DataFrame, quarters: DataFrame) -> DataFrame:
 def described(ranked: DataFrame, facts: DataFrame) -> DataFrame:
     """Ranked values with the names of their columns."""
     names = F.broadcast(facts.select("cid", "dataset", "ordinal", "column"))
-    return ranked.join(names, "cid").select(
-        "dataset", "ordinal", "column", "rank", display_value().alias("value"), "cnt"
-    )
+    return ranked.join(names, "cid").selectExpr(
+        "dataset", "ordinal", "column", "rank", f"{DISPLAY} AS value", "cnt")
 
 
 def categorical_columns(facts: DataFrame) -> DataFrame:
     return facts.where(
-        F.col("semantic_type").isin("categorical", "boolean", "text", "long_text")
-        & ~F.col("kind").isin("whole", "real")
+        "semantic_type IN ('categorical', 'boolean', 'text', 'long_text') "
+        "AND kind NOT IN ('whole', 'real')"
     )
 
 
-def categorical_stats(facts: DataFrame, frequencies: DataFrame, top: int = 10, samples: int = 5) -> DataFrame:
-    """dataset, column, part, rank, value, cnt, unique_count, unique_rate; part is top or sample."""
-    chosen = categorical_columns(facts).select(
-        "cid", "dataset", "ordinal", "column", "unique_count", "unique_rate"
-    )
-    own = frequencies.join(F.broadcast(chosen.select("cid")), "cid", "left_semi")
-    parts = ranked_values(own, top).withColumn("part", F.lit("top")).unionByName(
-        ranked_values(own, samples, by_count=False).withColumn("part", F.lit("sample"))
-    )
-    return parts.join(F.broadcast(chosen), "cid").select(
+def categorical_stats(
+    facts: DataFrame, frequencies: DataFrame, top: int = 10, samples: int = 5
+) -> DataFrame:
+    """dataset, column, unique figures, and ranked values; part says top or sample."""
+    chosen = F.broadcast(categorical_columns(facts).select(
+        "cid", "dataset", "ordinal", "column", "unique_count", "unique_rate"))
+    own = frequencies.join(chosen, "cid")
+    parts = ranked_values(own, top).selectExpr("*", "'top' AS part").union(
+        ranked_values(own, samples, by_count=False).selectExpr("*", "'sample' AS part"))
+    return parts.selectExpr(
         "dataset", "ordinal", "column", "unique_count", "unique_rate", "part", "rank",
-        display_value().alias("value"), "cnt",
+        f"{DISPLAY} AS value", "cnt",
     )
 
 
@@ -67,72 +64,61 @@ def correlations(datasets: list[Dataset], refs: list[ColumnRef], limit: int = 10
         if len(columns) < 2:
             continue
         values = [
-            (F.nanvl(r.col.cast("double"), F.lit(None).cast("double")) if r.kind == REAL
-             else r.col.cast("double")).alias(f"v{r.cid}")
+            f"nanvl(double({r.sql}), cast(null AS double)) AS v{r.cid}" if r.kind == REAL
+            else f"double({r.sql}) AS v{r.cid}"
             for r in columns
         ]
         aggregates, cells = [], []
         for i, a in enumerate(columns):
             for b in columns[i:]:
-                x, y = F.col(f"v{a.cid}"), F.col(f"v{b.cid}")
-                key = f"{a.cid}_{b.cid}"
+                x, y, key = f"v{a.cid}", f"v{b.cid}", f"{a.cid}_{b.cid}"
+                # `corr` fails on a constant column, so its parts are divided with care here.
                 aggregates += [
-                    F.covar_pop(x, y).alias(f"c{key}"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{key}"),
-                    F.regr_sxx(y, x).alias(f"x{key}"), F.regr_syy(y, x).alias(f"y{key}"),
+                    f"covar_pop({x}, {y}) * regr_count({y}, {x}) AS c{key}",
+                    f"sqrt(regr_sxx({y}, {x})) * sqrt(regr_syy({y}, {x})) AS s{key}",
                 ]
-                spread = F.sqrt(F.col(f"x{key}")) * F.sqrt(F.col(f"y{key}"))
-                r = F.coalesce(F.try_divide(F.col(f"c{key}") * F.col(f"n{key}"), spread), F.lit(0.0))
-                for left, right in {(a.cid, b.cid): (a, b), (b.cid, a.cid): (b, a)}.values():
-                    cells.append(F.struct(
-                        F.lit(left.ordinal).alias("x_ordinal"), F.lit(left.name).alias("x"),
-                        F.lit(right.ordinal).alias("y_ordinal"), F.lit(right.name).alias("y"),
-                        F.round(F.nanvl(r, F.lit(0.0)), 4).alias("r"),
-                    ))
+                r = f"round(nanvl(coalesce(try_divide(c{key}, s{key}), 0D), 0D), 4)"
+                for left, right in ((a, b),) if a is b else ((a, b), (b, a)):
+                    cells.append({
+                        "x_ordinal": str(left.ordinal), "x": literal(left.name),
+                        "y_ordinal": str(right.ordinal), "y": literal(right.name), "r": r,
+                    })
         parts.append(
-            dataset.df.select(*values).agg(*aggregates)
-            .select(F.lit(dataset.name).alias("dataset"), F.inline(F.array(*cells)))
+            dataset.df.selectExpr(*values).agg(*[F.expr(e) for e in aggregates])
+            .selectExpr(f"{literal(dataset.name)} AS dataset", f"inline({records(cells)})")
         )
     if not parts:
         return datasets[0].df.sparkSession.createDataFrame(
             [], "dataset string, x_ordinal int, x string, y_ordinal int, y string, r double")
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.union, parts)
 
 
-def histograms(facts: DataFrame, ranged: DataFrame, limit: int | None = 3, bins: int = BINS) -> DataFrame:
+def histograms(
+    metrics: DataFrame, ranged: DataFrame, limit: int | None = 3, bins: int = BINS
+) -> DataFrame:
     """dataset, column, bin, bin_start, bin_end, cnt over the finite numbers; empty bins kept.
 
     Bins are counted from the distinct numbers and their frequencies, not from the rows again.
     `limit` keeps the first numeric columns of each dataset.
     """
-    numeric = facts.where(F.col("kind").isin("whole", "real"))
-    if limit is not None:
-        position = F.expr("row_number() over (partition by dataset_no order by ordinal)")
-        numeric = numeric.withColumn("position", position).where(F.col("position") <= limit)
-    numeric = numeric.where(F.col("finite_min").isNotNull()).select(
-        "cid", "dataset", "ordinal", "column",
-        F.col("finite_min").alias("low"), F.col("finite_max").alias("high"),
-        ((F.col("finite_max") - F.col("finite_min")) / bins).alias("step"),
-    )
-    flat = F.col("low") == F.col("high")
-    frame = numeric.select(
-        "cid", "dataset", "ordinal", "column",
-        F.explode(F.sequence(F.lit(0), F.when(flat, 0).otherwise(bins - 1))).alias("bin"),
-        "low", "high", "step",
-    ).select(
-        "cid", "dataset", "ordinal", "column", "bin",
-        (F.col("low") + F.col("bin") * F.col("step")).alias("bin_start"),
-        F.when(flat, F.col("high")).otherwise(F.col("low") + (F.col("bin") + 1) * F.col("step"))
-        .alias("bin_end"),
-    )
-    place = F.when(flat, 0).otherwise(
-        F.least(F.floor((F.col("num") - F.col("low")) / F.when(~flat, F.col("step"))), F.lit(bins - 1))
+    numeric = metrics.where("kind IN ('whole', 'real')").selectExpr(
+        "cid", "dataset", "ordinal", "column", "finite_min AS low", "finite_max AS high",
+        f"(finite_max - finite_min) / {bins} AS step",
+        "row_number() OVER (PARTITION BY dataset_no ORDER BY ordinal) AS place",
+    ).where("low IS NOT NULL" + ("" if limit is None else f" AND place <= {limit}"))
+    frame = numeric.selectExpr(
+        "*", f"explode(sequence(0, CASE WHEN low = high THEN 0 ELSE {bins - 1} END)) AS bin"
+    ).selectExpr(
+        "cid", "dataset", "ordinal", "column", "bin", "low + bin * step AS bin_start",
+        "CASE WHEN low = high THEN high ELSE low + (bin + 1) * step END AS bin_end",
     )
     counted = (
-        ranged.where(F.abs("num") < F.lit(float("inf")))
-        .join(F.broadcast(numeric), "cid")
-        .groupBy("cid", place.cast("int").alias("bin")).agg(F.sum("cnt").alias("cnt"))
-    )
-    return frame.join(counted, ["cid", "bin"], "left").select(
-        "dataset", "ordinal", "column", "bin", "bin_start", "bin_end",
-        F.coalesce("cnt", F.lit(0)).alias("cnt"),
+        ranged.where("abs(num) < double('infinity')")
+        .join(F.broadcast(numeric.select("cid", "low", "high", "step")), "cid")
+        .groupBy("cid", F.expr(
+            "CASE WHEN low = high THEN 0 "
+            f"ELSE int(least(floor(try_divide(num - low, step)), {bins - 1})) END AS bin"))
+        .agg(F.expr("sum(cnt) AS cnt"))
     )
+    return frame.join(counted, ["cid", "bin"], "left").selectExpr(
+        "dataset", "ordinal", "column", "bin", "bin_start", "bin_end", "coalesce(cnt, 0L) AS cnt")

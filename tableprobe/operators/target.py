@@ -2,76 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.functions.arithmetic import percent, share
-from tableprobe.functions.text import contains_any
+from tableprobe.functions.sql import contains_any, one_of, percent, share
 from tableprobe.functions.wordlists import STRONG_TARGET_NAMES, TARGET_HINTS
-from tableprobe.operators.frequency import display_value, ranked_values
+from tableprobe.operators.frequency import DISPLAY, ranked_values
 
 THRESHOLD = 2.5
 CLASSES = 30
 CANDIDATES = 5
 
-
-def _points(test: Column, points: float) -> Column:
-    return F.when(test, float(points)).otherwise(0.0)
-
-
-def candidate_score() -> Column:
-    name = F.lower("column")
-    semantic, unique, rate = F.col("semantic_type"), F.col("unique_count"), F.col("unique_rate")
-    by_name = (
-        F.when(name.isin(*STRONG_TARGET_NAMES), 9.0)
-        .when(name.isin(*TARGET_HINTS), 5.0)
-        .when(contains_any(name, TARGET_HINTS), 4.0)
-        .otherwise(0.0)
-    )
-    return (
-        by_name
-        + _points(semantic.isin("boolean", "categorical") & unique.between(2, 20), 2)
-        + _points((semantic == "numeric") & (unique <= 20) & (rate < 0.5), 1.5)
-        + _points(F.col("ordinal") == F.col("last_ordinal"), 0.5)
-        + _points(F.col("possible_sensitive"), -1)
-        + _points(rate > 0.8, -3)
-        + _points(unique <= 1, -2)
-    )
-
-
-def problem_type() -> Column:
-    unique = F.col("unique_count")
-    mean_length = share(F.col("length_all"), F.col("non_null"))
-    return (
-        F.when(F.col("semantic_type").isin("text", "long_text"),
-               F.when(mean_length > 60, "text").otherwise("classification"))
-        .when(F.col("kind").isin("whole", "real")
-              & (unique > F.greatest(F.lit(20.0), F.col("row_count") * 0.05)), "regression")
-        .when(unique == 2, "binary_classification")
-        .when(unique > 2, "multiclass_classification")
-        .otherwise("unknown")
-    )
+CANDIDATE_SCORE = f"""
+    CASE WHEN {one_of('lower(column)', STRONG_TARGET_NAMES)} THEN 9D
+         WHEN {one_of('lower(column)', TARGET_HINTS)} THEN 5D
+         WHEN {contains_any('lower(column)', TARGET_HINTS)} THEN 4D ELSE 0D END
+    + CASE WHEN semantic_type IN ('boolean', 'categorical') AND unique_count BETWEEN 2 AND 20
+           THEN 2D ELSE 0D END
+    + CASE WHEN semantic_type = 'numeric' AND unique_count <= 20 AND unique_rate < 0.5
+           THEN 1.5D ELSE 0D END
+    + CASE WHEN ordinal = max(ordinal) OVER (PARTITION BY dataset_no) THEN 0.5D ELSE 0D END
+    - CASE WHEN possible_sensitive THEN 1D ELSE 0D END
+    - CASE WHEN unique_rate > 0.8 THEN 3D ELSE 0D END
+    - CASE WHEN unique_count <= 1 THEN 2D ELSE 0D END"""
+
+PROBLEM_TYPE = f"""
+    CASE WHEN semantic_type IN ('text', 'long_text')
+              THEN CASE WHEN {share('length_all', 'non_null')} > 60 THEN 'text'
+                        ELSE 'classification' END
+         WHEN kind IN ('whole', 'real') AND unique_count > greatest(20D, row_count * 0.05D)
+              THEN 'regression'
+         WHEN unique_count = 2 THEN 'binary_classification'
+         WHEN unique_count > 2 THEN 'multiclass_classification'
+         ELSE 'unknown' END"""
 
 
 def target_candidates(facts: DataFrame) -> DataFrame:
     """Every column with its score and rank; ties go to the earlier column."""
-    per_dataset = Window.partitionBy("dataset_no")
-    scored = facts.withColumn("last_ordinal", F.max("ordinal").over(per_dataset)).withColumn(
-        "score", F.round(candidate_score(), 2)
-    )
-    order = per_dataset.orderBy(F.col("score").desc(), "ordinal")
-    return scored.withColumn("rank", F.row_number().over(order))
+    scored = facts.selectExpr("*", f"round({CANDIDATE_SCORE}, 2) AS score")
+    return scored.selectExpr(
+        "*", "row_number() OVER (PARTITION BY dataset_no ORDER BY score DESC, ordinal) AS rank")
 
 
 def top_candidates(facts: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    return target_candidates(facts).where(F.col("rank") <= limit).select(
-        "dataset", "rank", "column", "score"
-    )
+    return target_candidates(facts).where(f"rank <= {limit}").select(
+        "dataset", "rank", "column", "score")
 
 
 def chosen_columns(facts: DataFrame) -> DataFrame:
     """The best column of each dataset, where it is good enough."""
-    return target_candidates(facts).where((F.col("rank") == 1) & (F.col("score") >= THRESHOLD))
+    return target_candidates(facts).where(f"rank = 1 AND score >= {THRESHOLD}")
 
 
 def class_counts(chosen: DataFrame, frequencies: DataFrame, limit: int = CLASSES) -> DataFrame:
@@ -82,31 +62,24 @@ def class_counts(chosen: DataFrame, frequencies: DataFrame, limit: int = CLASSES
 
 def targets(facts: DataFrame, chosen: DataFrame, classes: DataFrame) -> DataFrame:
     """One row per dataset: the target, its problem type and the balance of its classes."""
-    balance = classes.groupBy("cid").agg(F.max("cnt").alias("most"), F.min("cnt").alias("least"))
-    non_null = F.greatest(F.col("non_null"), F.lit(1))
-    kind = problem_type()
-    described = (
-        chosen.join(balance, "cid", "left")
-        .select(
-            "dataset_no", "column", "score", kind.alias("problem_type"),
-            percent(F.coalesce("most", F.lit(0)), non_null).alias("majority_class_pct"),
-            percent(F.coalesce("least", F.lit(0)), non_null).alias("minority_class_pct"),
-        )
-        .withColumn(
-            "imbalanced",
-            F.col("problem_type").isin("binary_classification", "multiclass_classification")
-            & (F.col("majority_class_pct") >= 75),
-        )
+    balance = classes.groupBy("cid").agg(
+        F.expr("max(cnt) AS most"), F.expr("min(cnt) AS least"))
+    described = chosen.join(balance, "cid", "left").selectExpr(
+        "dataset_no", "column", "score", f"{PROBLEM_TYPE} AS problem_type",
+        f"{percent('coalesce(most, 0)', 'greatest(non_null, 1)')} AS majority_class_pct",
+        f"{percent('coalesce(least, 0)', 'greatest(non_null, 1)')} AS minority_class_pct",
     )
-    return facts.select("dataset_no", "dataset").distinct().join(described, "dataset_no", "left").select(
-        "dataset_no", "dataset", F.col("column").isNotNull().alias("detected"), "column", "score",
+    return facts.select("dataset_no", "dataset").distinct().join(
+        described, "dataset_no", "left"
+    ).selectExpr(
+        "dataset_no", "dataset", "column IS NOT NULL AS detected", "column", "score",
         "problem_type", "majority_class_pct", "minority_class_pct",
-        F.coalesce("imbalanced", F.lit(False)).alias("imbalanced"),
+        "coalesce(problem_type IN ('binary_classification', 'multiclass_classification') "
+        "AND majority_class_pct >= 75, false) AS imbalanced",
     )
 
 
 def class_distribution(classes: DataFrame, facts: DataFrame) -> DataFrame:
     names = F.broadcast(facts.select("cid", "dataset", "column"))
-    return classes.join(names, "cid").select(
-        "dataset", "column", "rank", display_value().alias("value"), "cnt"
-    )
+    return classes.join(names, "cid").selectExpr(
+        "dataset", "column", "rank", f"{DISPLAY} AS value", "cnt")

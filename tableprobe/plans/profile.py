@@ -44,67 +44,67 @@ class Profile:
             raise ValueError("the tables have no columns")
         self.stage = Stage(self.spark)
 
-    # Staged intermediates.
-
-    def _metrics(self) -> DataFrame:
-        return metrics.column_metrics(self.datasets, self.refs)
-
-    def _frequencies(self) -> DataFrame:
-        return frequency.value_frequencies(self.datasets, self.refs)
-
-    def _duplicates(self) -> DataFrame:
-        return rows.duplicate_counts(self.datasets)
-
-    def prepare(self, *names: str) -> "Profile":
-        """Write several of metrics, frequencies and duplicates as concurrent jobs."""
-        builders = {"metrics": self._metrics, "frequencies": self._frequencies,
-                    "duplicates": self._duplicates}
-        self.stage.together({n: builders[n] for n in names or builders})
-        return self
+    # Intermediates. Those that grow with the data are staged on shared storage; those with a
+    # row per column or dataset become local relations.
 
     @property
     def metrics(self) -> DataFrame:
-        return self.stage.table("metrics", self._metrics)
+        return self.stage.small(
+            "metrics", lambda: metrics.column_metrics(self.datasets, self.refs))
 
     @property
     def value_freq(self) -> DataFrame:
         """cid, num, whole, txt, cnt for every distinct non-null value."""
-        return self.stage.table("frequencies", self._frequencies)
+        return self.stage.table(
+            "frequencies", lambda: frequency.value_frequencies(self.datasets, self.refs))
+
+    @property
+    def numbers(self) -> DataFrame:
+        return self.stage.table("numbers", lambda: ranks.ranged_numbers(self.value_freq))
 
     @property
     def duplicates(self) -> DataFrame:
-        return self.stage.table("duplicates", self._duplicates)
+        return self.stage.small("duplicates", lambda: rows.duplicate_counts(self.datasets))
 
     @property
     def empty_rows(self) -> DataFrame:
-        return self.stage.table(
+        return self.stage.small(
             "empty_rows", lambda: rows.empty_rows(self.datasets, self.refs, self.metrics))
 
-    @property
-    def numbers(self) -> DataFrame:
-        return self.stage.table("numbers", lambda: ranks.ranged_numbers(self.value_freq))
+    def prepare(self, duplicates: bool = False, ranks: bool = False) -> "Profile":
+        """Run the jobs that read the data concurrently."""
+        self.stage.together(
+            lambda: self.metrics,
+            lambda: self.numbers if ranks else self.value_freq,
+            *([lambda: self.duplicates] if duplicates else []),
+        )
+        return self
 
     @property
     def facts(self) -> DataFrame:
         """Everything known per column before the quality checks."""
         def build():
-            self.prepare("metrics", "frequencies")
+            self.prepare()
             return schema.column_facts(self.metrics, frequency.distinct_counts(self.value_freq))
-        return self.stage.table("facts", build)
+        return self.stage.small("facts", build)
 
     @property
     def quarters(self) -> DataFrame:
-        return self.stage.table("quarters", lambda: ranks.quartiles(self.numbers))
+        def build():
+            totals = self.stage.small("slices", lambda: ranks.slice_totals(self.numbers))
+            return ranks.quartiles(self.numbers, totals)
+        return self.stage.small("quarters", build)
 
     @property
     def quality(self) -> DataFrame:
         def build():
+            self.prepare(ranks=True)
             texts = [r.cid for r in self.refs if r.kind == TEXT]
             return quality.quality_checks(
                 self.facts, frequency.normalised_counts(self.value_freq, texts),
                 ranks.outliers(self.numbers, self.quarters),
             )
-        return self.stage.table("quality", build)
+        return self.stage.small("quality", build)
 
     # Schema and statistics.
 
@@ -123,16 +123,15 @@ class Profile:
     @property
     def summary(self) -> DataFrame:
         def build():
-            self.prepare()
+            self.prepare(duplicates=True)
             return schema.dataset_summary(self.facts, self.duplicates, self.empty_rows)
-        return self.stage.table("summary", build)
+        return self.stage.small("summary", build)
 
     def top_values(self, limit: int = 5, whole_texts: bool = False) -> DataFrame:
         """Most frequent values per column; long texts as keys unless asked for whole."""
         ranked = frequency.ranked_values(self.value_freq, limit)
         if whole_texts:
-            ranked = frequency.with_whole_texts(ranked, self.datasets, self.refs).withColumn(
-                "txt", F.coalesce("whole_text", "txt"))
+            ranked = frequency.with_whole_texts(ranked, self.datasets, self.refs)
         return statistics.described(ranked, self.metrics)
 
     def sample_values(self, limit: int = 5) -> DataFrame:
@@ -172,7 +171,7 @@ class Profile:
         number = [d.name for d in self.datasets].index(dataset)
         return rows.issue_examples(
             self.datasets[number], [r for r in self.refs if r.dataset_no == number],
-            self.quality.where(F.col("outlier_count").isNotNull()), key)
+            self.quality.where("outlier_count IS NOT NULL"), key)
 
     # Target, scores, actions.
 
@@ -182,12 +181,12 @@ class Profile:
 
     @property
     def _target_classes(self) -> DataFrame:
-        return self.stage.table("classes", lambda: target.class_counts(
+        return self.stage.small("classes", lambda: target.class_counts(
             target.chosen_columns(self.facts), self.value_freq))
 
     @property
     def targets(self) -> DataFrame:
-        return self.stage.table("targets", lambda: target.targets(
+        return self.stage.small("targets", lambda: target.targets(
             self.facts, target.chosen_columns(self.facts), self._target_classes))
 
     @cached_property
@@ -199,7 +198,7 @@ class Profile:
         def build():
             known = readiness.drivers(self.summary, self.problems, self.targets)
             return known.join(F.broadcast(self._context()), "dataset_no")
-        return self.stage.table("drivers", build)
+        return self.stage.small("drivers", build)
 
     def _context(self) -> DataFrame:
         """Source type and stated objective of every table."""
@@ -291,7 +290,7 @@ class Profile:
 
     @property
     def named(self) -> DataFrame:
-        return self.stage.table("named", lambda: relations.named_columns(self.key_flags))
+        return self.stage.small("named", lambda: relations.named_columns(self.key_flags))
 
     @property
     def key_flags(self) -> DataFrame:
@@ -365,7 +364,7 @@ class Profile:
             found = self.problems.withColumn("dataset_no", F.lit(0))
             known = readiness.drivers(self.combined_summary, found, self.combined_target)
             return known.join(F.broadcast(one.drop("dataset_no")))
-        return self.stage.table("combined_drivers", build)
+        return self.stage.small("combined_drivers", build)
 
     @cached_property
     def combined_scores(self) -> DataFrame:
@@ -404,11 +403,9 @@ class Profile:
     @cached_property
     def combined_actions(self) -> DataFrame:
         """Actions of the combined report: only the combined target counts as a target."""
-        one = self.combined_target.where("detected").select(
-            F.split("column", r"\.", 2).alias("p"))
-        picked = one.select(F.col("p")[0].alias("dataset"), F.col("p")[1].alias("column")).join(
-            F.broadcast(self.summary.select("dataset_no", "dataset")), "dataset").select(
-            "dataset_no", "column", F.lit(True).alias("detected"))
+        numbers = self.summary.selectExpr("dataset_no", "dataset AS target_dataset")
+        picked = self.combined_target.drop("dataset_no").join(numbers, "target_dataset").selectExpr(
+            "dataset_no", "target_column AS column", "detected")
         return relations.qualified(
             actions.column_actions(actions.with_target(self.quality, picked)))
 

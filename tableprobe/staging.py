@@ -48,17 +48,17 @@ class Stage:
             self._tables[name] = self.spark.read.schema(df.schema).parquet(path)
         return self._tables[name]
 
-    def together(self, builders: dict) -> None:
-        """Write independent tables as concurrent jobs, so that one fills the gaps of another."""
-        missing = {n: b for n, b in builders.items() if n not in self._tables}
-        if len(missing) < 2:
-            for name, build in missing.items():
-                self.table(name, build)
-            return
-        with ThreadPoolExecutor(len(missing)) as pool:
-            jobs = [
-                pool.submit(inheritable_thread_target(self.table), name, build)
-                for name, build in missing.items()
-            ]
-            for job in jobs:
+    def small(self, name: str, build) -> DataFrame:
+        """A table of about one row per column or dataset, kept as a local relation.
+
+        Its size follows from the schemas, which the driver holds anyway, never from the data.
+        """
+        if name not in self._tables:
+            self._tables[name] = self.spark.createDataFrame(build().toArrow())
+        return self._tables[name]
+
+    def together(self, *makers) -> None:
+        """Run independent jobs concurrently, so that one fills the gaps of another."""
+        with ThreadPoolExecutor(len(makers)) as pool:
+            for job in [pool.submit(inheritable_thread_target(make)) for make in makers]:
                 job.result()
