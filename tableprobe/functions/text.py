@@ -58,7 +58,7 @@ def is_empty(c: str) -> str:
 
 
 def is_blank(c: str) -> str:
-    return f"(octet_length(ltrim({WHITESPACE} FROM {c})) = 0)"
+    return f"(octet_length(trim(LEADING {WHITESPACE} FROM {c})) = 0)"
 
 
 def is_number(stripped: str) -> str:

@@ -60,5 +60,5 @@ class Stage:
     def together(self, *makers) -> None:
         """Run independent jobs concurrently, so that one fills the gaps of another."""
         with ThreadPoolExecutor(len(makers)) as pool:
-            for job in [pool.submit(inheritable_thread_target(make)) for make in makers]:
+            for job in [pool.submit(inheritable_thread_target(self.spark)(make)) for make in makers]:
                 job.result()
