@@ -240,7 +240,8 @@ def class_sql(names) -> str:
             parts.append(
                 f"SELECT {number} AS dataset_no, {ordinal} AS ordinal, c.\"{column}\"::VARCHAR AS value, "
                 f"count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, c.\"{column}\") AS rank "
-                f"FROM src_{name} c, picked p WHERE p.dataset_no = {number} AND p.ordinal = {ordinal} "
+                f"FROM src_{name} c WHERE (SELECT count(*) FROM picked p WHERE p.dataset_no = {number} "
+                f"AND p.ordinal = {ordinal}) > 0 "
                 f"AND c.\"{column}\" IS NOT NULL GROUP BY c.\"{column}\" QUALIFY rank <= 30"
             )
     return " UNION ALL ".join(parts)
@@ -397,8 +398,8 @@ def recommendation_sql(matches: str, signals: str) -> str:
         f"SELECT dataset, {text(f)}, 5, 1, {text(i)} FROM {signals} WHERE signal = 'sensitive_data'"
         for f, i in catalogs.SENSITIVE_EXTRA)
     return f"""
-SELECT dataset, field, row_number() OVER (PARTITION BY dataset, field ORDER BY at) AS position, item
-FROM (SELECT dataset, field, item, min(rank * 1000 + place) AS at FROM (
+SELECT dataset, field, row_number() OVER (PARTITION BY dataset, field ORDER BY first_at) AS position, item
+FROM (SELECT dataset, field, item, min(rank * 1000 + place) AS first_at FROM (
     SELECT m.dataset, a.field, m.rank, a.place, a.item FROM {matches} m JOIN advice a ON a.rule_id = m.rule_id
     WHERE m.rank <= 4 AND (a.field <> 'approach' OR m.rank = 1)
     UNION ALL SELECT dataset, 'confidence', 1, 1, confidence FROM {matches} WHERE rank = 1
@@ -497,8 +498,8 @@ SELECT t.dataset_no, t.dataset, CASE WHEN place = 1 THEN 'primary_candidate'
 FROM (SELECT d.*, (SELECT count(*) FROM keys k WHERE k.dataset_no = d.dataset_no
         AND (possible_id OR possible_primary_key)) AS candidate_keys,
         row_number() OVER (ORDER BY has_target DESC, row_count DESC, dataset_no) AS place FROM drivers d) t"""
-PAIR_KEYS = """SELECT *, list_sort(list_filter(shared_columns,
-  x -> list_contains((SELECT list(name) FROM common WHERE has_key), x))) AS candidate_keys FROM overlap"""
+PAIR_KEYS = """SELECT o.*, list_sort(list_intersect(shared_columns, coalesce(join_names, []))) AS candidate_keys
+FROM overlap o, (SELECT list(name) AS join_names FROM common WHERE has_key) j"""
 
 
 def ctes(names) -> dict[str, str]:
@@ -549,4 +550,4 @@ def over(names, final: str) -> str:
     need(final)
     body = ",\n".join(
         f"{name} AS MATERIALIZED ({steps[name]})" for name in steps if name in needed)
-    return f"WITH {body}\n{final}"
+    return f"WITH {body}\n{final}" if needed else final

@@ -655,7 +655,7 @@ def _(spark, folder):
 
 
 # The addresses of the pages, given a secret parameter so that there is one to mask.
-KEYED_URL = ("concat(url, CASE WHEN contains(url, '?') THEN '&' ELSE '?' END, "
+KEYED_URL = ("concat(regexp_replace(url, '#.*$', ''), CASE WHEN contains(url, '?') THEN '&' ELSE '?' END, "
              "'api-key=', 'k', page_id, 'abcdefgh')")
 
 
@@ -669,11 +669,11 @@ def _(spark, folder):
 
 
 @table_query("masked_connection", """
-SELECT c_custkey, 'postgresql://' || c_name || ':***@db.example.com:5432/' || c_mktsegment AS address
+SELECT c_custkey, 'postgresql://' || replace(c_name, '#', '_') || ':***@db.example.com:5432/' || c_mktsegment AS address
 FROM customer""")
 def _(spark, folder):
     return read(spark, folder, "customer").selectExpr(
-        "c_custkey", "concat('postgresql://', c_name, ':pw', c_custkey, '@db.example.com:5432/', "
+        "c_custkey", "concat('postgresql://', replace(c_name, '#', '_'), ':pw', c_custkey, '@db.example.com:5432/', "
         "c_mktsegment) AS address").selectExpr(
         "c_custkey", f"{masking.redact_connection('address')} AS address")
 
