@@ -103,30 +103,25 @@ def number_metrics(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame
     )])
 
 
-def row_counts(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame:
-    """cid, row_count, present: rows of the table, and non-null values where not counted above."""
-    parts = []
-    for number, dataset in enumerate(datasets):
-        own = [r for r in refs if r.dataset_no == number]
-        counted = {
-            r.cid: f"count({r.sql}) AS c{r.cid}"
-            for r in own if not r.numeric and r.kind not in (TEXT, OTHER)
-        }
-        row = dataset.df.agg(*[F.expr(e) for e in ("count(1) AS n", *counted.values())])
-        cells = records(
-            {"cid": str(r.cid), "row_count": "n",
-             "present": f"c{r.cid}" if r.cid in counted else "cast(null AS bigint)"}
-            for r in own
-        )
-        parts.append(row.selectExpr(f"inline({cells})"))
-    return reduce(DataFrame.union, parts)
+def row_counts(datasets: list[Dataset]) -> DataFrame:
+    """dataset_no, row_count. Reads no column."""
+    return reduce(DataFrame.union, [
+        d.df.selectExpr(f"{n} AS dataset_no") for n, d in enumerate(datasets)
+    ]).groupBy("dataset_no").agg(F.expr("count(1) AS row_count"))
+
+
+def presence(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame | None:
+    """cid, present: non-null values of the columns that are neither texts nor numbers."""
+    others = [r for r in refs if not r.numeric and r.kind not in (TEXT, OTHER)]
+    values = long_form(datasets, others, lambda r: f"CASE WHEN {r.sql} IS NOT NULL THEN 1 END")
+    return None if values is None else values.groupBy("cid").agg(F.expr("count(1) AS present"))
 
 
 def column_metrics(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame:
     """One row per column of every dataset. All joined sides have one row per column."""
     spark = datasets[0].df.sparkSession
-    joined = column_dimension(spark, refs).join(row_counts(datasets, refs), "cid")
-    for part in (text_metrics(datasets, refs), number_metrics(datasets, refs)):
+    joined = column_dimension(spark, refs).join(row_counts(datasets), "dataset_no", "left")
+    for part in (presence(datasets, refs), text_metrics(datasets, refs), number_metrics(datasets, refs)):
         if part is not None:
             joined = joined.join(part, "cid", "left")
 
@@ -135,9 +130,10 @@ def column_metrics(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame:
 
     return joined.selectExpr(
         "cid", "dataset_no", "dataset", "ordinal", "column", "dtype", "kind", "named_date",
-        "named_sensitive", "row_count",
-        "coalesce(present, CASE WHEN kind IN ('whole', 'real') "
-        f"THEN {known('numbers', '0L')} ELSE {known('texts', '0L')} END) AS non_null",
+        "named_sensitive", "coalesce(row_count, 0L) AS row_count",
+        f"CASE WHEN kind IN ('whole', 'real') THEN {known('numbers', '0L')} "
+        f"WHEN kind IN ('text', 'other') THEN {known('texts', '0L')} "
+        f"ELSE {known('present', '0L')} END AS non_null",
         *[f"{known(c, '0L')} AS {c}"
           for c in (*[f"code{k}" for k in CODES], "length_all", "length_filled")],
         f"{known('bad_character', 'false')} AS bad_character",

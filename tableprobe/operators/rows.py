@@ -24,28 +24,46 @@ def _hashable(df: DataFrame) -> list[str]:
     ]
 
 
-def repeated_rows(df: DataFrame) -> DataFrame:
-    """copies: one row per distinct row that occurs more than once, nulls being equal.
+def _with_print(df: DataFrame, number: int) -> DataFrame:
+    return df.selectExpr(
+        "*", f"{number} AS dataset_no", f"xxhash64({', '.join(_hashable(df))}) AS row_print")
 
-    First only 64-bit fingerprints are shuffled. Whole rows are then grouped just for the
-    fingerprints seen twice, which both confirms them and leaves unique rows where they are.
-    """
-    hashed = df.selectExpr("*", f"xxhash64({', '.join(_hashable(df))}) AS row_print")
-    suspects = hashed.groupBy("row_print").agg(F.expr("count(1) AS n")).where("n > 1")
-    return (
-        hashed.join(suspects.select("row_print"), "row_print", "left_semi")
-        .groupBy(*[quote(c) for c in df.columns]).agg(F.expr("count(1) AS copies"))
-        .where("copies > 1").select("copies")
-    )
 
+def repeated_prints(datasets: list[Dataset]) -> DataFrame:
+    """dataset_no, row_print: 64-bit fingerprints of rows that occur more than once.
 
-def duplicate_counts(datasets: list[Dataset]) -> DataFrame:
-    """dataset_no, duplicate_rows: every member of a group of equal rows counts."""
+    All that is shuffled of a row is its fingerprint.
+    """
     return reduce(DataFrame.union, [
-        repeated_rows(d.df).agg(F.expr("coalesce(sum(copies), 0L) AS duplicate_rows"))
-        .selectExpr(f"{n} AS dataset_no", "duplicate_rows")
-        for n, d in enumerate(datasets)
-    ])
+        _with_print(d.df, n).select("dataset_no", "row_print") for n, d in enumerate(datasets)
+        if d.df.columns
+    ]).groupBy("dataset_no", "row_print").agg(F.expr("count(1) AS n")).where("n > 1").select(
+        "dataset_no", "row_print")
+
+
+def duplicate_counts(datasets: list[Dataset], prints: DataFrame) -> DataFrame:
+    """dataset_no, duplicate_rows: every member of a group of equal rows counts, nulls are equal.
+
+    Fingerprints seen twice are confirmed by grouping the whole rows that have them, which leaves
+    unique rows where they are. A table without such fingerprints is not read again; which tables
+    those are, one number each, is decided here.
+    """
+    spark = prints.sparkSession
+    suspected = {r["dataset_no"] for r in prints.select("dataset_no").distinct().collect()}
+    parts = []
+    for number, dataset in enumerate(datasets):
+        if number not in suspected:
+            parts.append(spark.range(1).selectExpr(f"{number} AS dataset_no", "0L AS duplicate_rows"))
+            continue
+        own = prints.where(f"dataset_no = {number}").select("row_print")
+        groups = (
+            _with_print(dataset.df, number).join(own, "row_print", "left_semi")
+            .groupBy(*[quote(c) for c in dataset.df.columns]).agg(F.expr("count(1) AS copies"))
+        )
+        parts.append(groups.where("copies > 1").agg(
+            F.expr("coalesce(sum(copies), 0L) AS duplicate_rows")
+        ).selectExpr(f"{number} AS dataset_no", "duplicate_rows"))
+    return reduce(DataFrame.union, parts)
 
 
 def empty_rows(datasets: list[Dataset], refs: list[ColumnRef], metrics: DataFrame) -> DataFrame:

@@ -64,7 +64,8 @@ class Profile:
 
     @property
     def duplicates(self) -> DataFrame:
-        return self.stage.small("duplicates", lambda: rows.duplicate_counts(self.datasets))
+        prints = self.stage.table("prints", lambda: rows.repeated_prints(self.datasets))
+        return self.stage.small("duplicates", lambda: rows.duplicate_counts(self.datasets, prints))
 
     @property
     def empty_rows(self) -> DataFrame:
@@ -196,6 +197,9 @@ class Profile:
     @property
     def drivers(self) -> DataFrame:
         def build():
+            self.prepare(duplicates=True, ranks=True).facts
+            self.stage.together(
+                lambda: self.summary, lambda: self.quality, lambda: self.targets)
             known = readiness.drivers(self.summary, self.problems, self.targets)
             return known.join(F.broadcast(self._context()), "dataset_no")
         return self.stage.small("drivers", build)
