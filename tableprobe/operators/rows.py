@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableprobe.dataset import TEXT, ColumnRef, Dataset
+from tableprobe.dataset import TEXT, ColumnRef, Dataset, text_form
 from tableprobe.functions import text
 from tableprobe.functions.sql import literal, quote, records
 
@@ -100,10 +100,19 @@ def sample_rows(dataset: Dataset, order_by: list[str], limit: int = 8) -> DataFr
     return dataset.df.orderBy(*[quote(c) for c in order_by]).limit(limit)
 
 
-def head_sample(dataset: Dataset, order_by: list[str], limit: int) -> Dataset:
-    """The dataset cut to its first rows by a key, for a quick look. Figures then cover only these."""
-    return Dataset(
-        dataset.name, sample_rows(dataset, order_by, limit), dataset.source, dataset.metadata)
+def head_values(
+    dataset: Dataset, refs: list[ColumnRef], order_by: str, limit: int
+) -> DataFrame:
+    """column, rank, value: the first non-null values of every column as texts, by a key.
+
+    The rank filter works before the shuffle, so only a few rows per task travel.
+    """
+    cells = records(
+        {"column": literal(r.name), "value": text_form(r)} for r in refs if r.dtype != "void")
+    values = dataset.df.selectExpr(f"{quote(order_by)} AS row_key", f"inline({cells})")
+    return values.where("value IS NOT NULL").selectExpr(
+        "column", "row_number() OVER (PARTITION BY column ORDER BY row_key, value) AS rank", "value"
+    ).where(f"rank <= {limit}")
 
 
 def issue_examples(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tableprobe.dataset import TEXT, Dataset, column_refs, unique_names
 from tableprobe.operators import (
     actions, advice, chartdata, frequency, metrics, quality, ranks, readiness, relations, rows,
-    schema, statistics, target,
+    schema, sketches, statistics, target,
 )
 from tableprobe.plans import catalogs
 from tableprobe.staging import Stage
@@ -22,14 +22,15 @@ COMBINED = "all tables"
 class Profile:
     """Sections of the report over the given tables, each a DataFrame keyed by `dataset`.
 
-    Data is read for four staged tables only: column metrics (one scan), value frequencies
-    (one shuffle), range-partitioned numbers, and duplicate counts. All sections are joins and
-    expressions over these, built on first use.
+    Data is read for a few intermediates only: column metrics, value frequencies, range-partitioned
+    numbers, and duplicate counts. All sections are joins and expressions over these, built on
+    first use. With `approximate`, sketches stand in for the frequencies wherever a section does
+    not show values, so that no value is shuffled.
     """
 
     def __init__(
         self, datasets: list[Dataset], objective: str | None = None,
-        decimal_as_categorical: bool = False,
+        decimal_as_categorical: bool = False, approximate: bool = False,
     ):
         if not datasets:
             raise ValueError("nothing to profile")
@@ -38,6 +39,7 @@ class Profile:
             Dataset(n, d.df, d.source, d.metadata) for n, d in zip(names, datasets)
         ]
         self.objective = objective
+        self.approximate = approximate
         self.spark: SparkSession = datasets[0].df.sparkSession
         self.refs = column_refs(self.datasets, decimal_as_categorical)
         if not self.refs:
@@ -74,24 +76,41 @@ class Profile:
 
     def prepare(self, duplicates: bool = False, ranks: bool = False) -> "Profile":
         """Run the jobs that read the data concurrently."""
-        self.stage.together(
-            lambda: self.metrics,
-            lambda: self.numbers if ranks else self.value_freq,
-            *([lambda: self.duplicates] if duplicates else []),
+        values = (
+            (lambda: self.sketches) if self.approximate
+            else (lambda: self.numbers) if ranks else (lambda: self.value_freq)
         )
+        more = [lambda: self.duplicates] if duplicates else []
+        self.stage.together(lambda: self.metrics, values, *more)
         return self
 
+    @property
+    def sketches(self) -> DataFrame:
+        return self.stage.small(
+            "sketches", lambda: sketches.sketched_values(self.datasets, self.refs))
+
+    @property
+    def _distinct(self) -> DataFrame:
+        if self.approximate:
+            # A sketch may overshoot, but never are there more values than rows.
+            present = self.metrics.select("cid", "non_null")
+            return self.sketches.join(present, "cid").selectExpr(
+                "cid", "least(distinct_values, non_null) AS distinct_values", "top_count")
+        return frequency.distinct_counts(self.value_freq)
+
     @property
     def facts(self) -> DataFrame:
         """Everything known per column before the quality checks."""
         def build():
             self.prepare()
-            return schema.column_facts(self.metrics, frequency.distinct_counts(self.value_freq))
+            return schema.column_facts(self.metrics, self._distinct)
         return self.stage.small("facts", build)
 
     @property
     def quarters(self) -> DataFrame:
         def build():
+            if self.approximate:
+                return self.sketches.where("q1 IS NOT NULL").select("cid", "q1", "median", "q3")
             totals = self.stage.small("slices", lambda: ranks.slice_totals(self.numbers))
             return ranks.quartiles(self.numbers, totals)
         return self.stage.small("quarters", build)
@@ -100,11 +119,14 @@ class Profile:
     def quality(self) -> DataFrame:
         def build():
             self.prepare(ranks=True)
-            texts = [r.cid for r in self.refs if r.kind == TEXT]
-            return quality.quality_checks(
-                self.facts, frequency.normalised_counts(self.value_freq, texts),
-                ranks.outliers(self.numbers, self.quarters),
-            )
+            if self.approximate:
+                normalised = self.sketches.select("cid", "distinct_normalised")
+                outside = sketches.outliers(self.datasets, self.refs, self.quarters)
+            else:
+                texts = [r.cid for r in self.refs if r.kind == TEXT]
+                normalised = frequency.normalised_counts(self.value_freq, texts)
+                outside = ranks.outliers(self.numbers, self.quarters)
+            return quality.quality_checks(self.facts, normalised, outside)
         return self.stage.small("quality", build)
 
     # Schema and statistics.

@@ -14,6 +14,7 @@ from urllib.parse import urljoin
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tableprobe.dataset import Dataset
@@ -150,12 +151,13 @@ def read_pages(
     """page, record: the records of all pages up to the first short one, as JSON texts."""
     spark.dataSource.register(PagedSource)
     setup = cloudpickle.dumps((url, paging, data_path, fetch)).hex()
-    pages = spark.read.format("paged_json").option("setup", setup).load()
+    # Staged, so that every page is fetched once however often its rows are read.
+    pages = Stage(spark).table(
+        "pages", lambda: spark.read.format("paged_json").option("setup", setup).load())
     if paging.mode in ("page_limit", "offset_limit"):
         # Later pages were fetched too; a short page is where the source ends.
-        pages = pages.selectExpr(
-            "*", f"min(CASE WHEN found < {paging.limit} THEN page END) OVER () AS last_page"
-        ).where("last_page IS NULL OR page <= last_page")
+        end = pages.where(f"found < {paging.limit}").agg(F.expr("min(page) AS last_page"))
+        pages = pages.join(F.broadcast(end)).where("last_page IS NULL OR page <= last_page")
     return pages.where("record IS NOT NULL").select("page", "record")
 
 
@@ -164,8 +166,8 @@ def load_pages(
     data_path: str | None = None,
 ) -> Dataset:
     """Dataset of a paged source: records united to one schema and flattened."""
-    # Fetched once and staged as lines of JSON, since the schema is read off the same records.
-    path = f"{Stage(spark).path}/pages"
+    # Written as lines of JSON, from which one schema for all records is read off.
+    path = f"{Stage(spark).path}/records"
     read_pages(spark, url, fetch, paging, data_path).select("record").write.text(path)
     df = flatten(spark.read.json(path))
     return Dataset(url, df, {"type": "api", "url": url}, {"data_path": data_path})

@@ -27,59 +27,59 @@ def at_path(schema: T.DataType, path: str) -> str:
     return ".".join(quote(p) for p in path.split("."))
 
 
-def _holds_records(data_type: T.DataType | None) -> bool:
-    """A list of objects. A list that is empty or all null is typed as a list of texts by the
-    reader, so it is told from a list of texts by its values."""
+def _is_object_list(data_type: T.DataType | None) -> bool:
     return isinstance(data_type, T.ArrayType) and isinstance(data_type.elementType, T.StructType)
 
 
-def _all_null_list(document: DataFrame, path: str, data_type: T.DataType | None) -> bool:
-    if not isinstance(data_type, T.ArrayType) or _holds_records(data_type):
-        return False
-    p = at_path(document.schema, path)
-    return document.where(f"exists({p}, x -> x IS NOT NULL)").limit(1).count() == 0 and (
-        document.where(f"{p} IS NOT NULL").limit(1).count() > 0)
+def record_path(document: DataFrame, data_path: str | None = None) -> tuple[str | None, bool]:
+    """Where the records are, and whether that is a list without any item.
 
-
-def _present(document: DataFrame, path: str) -> bool:
-    p = at_path(document.schema, path)
-    return document.where(f"{p} IS NOT NULL").limit(1).count() > 0
-
-
-def record_path(document: DataFrame, data_path: str | None = None) -> str | None:
-    """Where the records are: the given path, else the first default path that holds a list of
-    objects, else whatever the last default path holds, else None for the document itself."""
+    It is the given path, else the first default path that holds a list of objects, else whatever
+    the last default path holds, else None for the document itself. A list that is empty or all
+    null counts as a list of objects; the schema cannot tell it, so one pass looks at the values.
+    """
     schema = document.schema
-    if data_path and type_at(schema, data_path) is not None and _present(document, data_path):
-        return data_path
+    paths = [p for p in dict.fromkeys((data_path, *RECORD_PATHS)) if p and type_at(schema, p)]
+    if not paths:
+        return None, False
+    tests = []
+    for i, path in enumerate(paths):
+        value = at_path(schema, path)
+        tests.append(f"bool_or({value} IS NOT NULL) AS there{i}")
+        has_item = (f"exists({value}, x -> x IS NOT NULL)"
+                    if isinstance(type_at(schema, path), T.ArrayType) else "true")
+        tests.append(f"coalesce(bool_or({has_item}), false) AS item{i}")
+    seen = document.agg(*[F.expr(t) for t in tests]).first()
+    there = {path: bool(seen[f"there{i}"]) for i, path in enumerate(paths)}
+    hollow = {
+        path: isinstance(type_at(schema, path), T.ArrayType) and not seen[f"item{i}"]
+        for i, path in enumerate(paths)
+    }
+    if data_path and there.get(data_path):
+        return data_path, hollow[data_path]
     for path in RECORD_PATHS:
-        found = type_at(schema, path)
-        if _holds_records(found) and _present(document, path):
-            return path
-        if _all_null_list(document, path, found):
-            return path
+        if there.get(path) and (hollow[path] or _is_object_list(type_at(schema, path))):
+            return path, hollow[path]
     last = RECORD_PATHS[-1]
-    if type_at(schema, last) is not None and _present(document, last):
-        return last
-    return None
+    return (last, False) if there.get(last) else (None, False)
 
 
 def extract_records(document: DataFrame, data_path: str | None = None) -> DataFrame:
     """One row per record. Objects become rows, scalars rows with the column `value`."""
-    path = record_path(document, data_path)
+    path, hollow = record_path(document, data_path)
     if path is None:
         return document
+    if hollow:
+        return document.sparkSession.createDataFrame([], T.StructType([]))
     found = type_at(document.schema, path)
-    p = at_path(document.schema, path)
+    value = at_path(document.schema, path)
     if isinstance(found, T.StructType):
-        return document.selectExpr(f"{p} AS r").where("r IS NOT NULL").select("r.*")
-    if _holds_records(found):
-        return document.selectExpr(f"explode({p}) AS r").where("r IS NOT NULL").select("r.*")
-    if _all_null_list(document, path, found):
-        return document.sparkSession.createDataFrame([], T.StructType([]))
+        return document.selectExpr(f"{value} AS r").where("r IS NOT NULL").select("r.*")
+    if _is_object_list(found):
+        return document.selectExpr(f"explode({value}) AS r").where("r IS NOT NULL").select("r.*")
     if isinstance(found, T.ArrayType):
-        return document.selectExpr(f"explode({p}) AS value")
-    return document.selectExpr(f"{p} AS value")
+        return document.selectExpr(f"explode({value}) AS value")
+    return document.selectExpr(f"{value} AS value")
 
 
 def flatten(records: DataFrame) -> DataFrame:

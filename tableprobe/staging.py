@@ -51,7 +51,7 @@ class Stage:
     def small(self, name: str, build) -> DataFrame:
         """A table of about one row per column or dataset, kept as a local relation.
 
-        Its size follows from the schemas, which the driver holds anyway, never from the data.
+        Its size follows from the schemas and the number of partitions, never from the data.
         """
         if name not in self._tables:
             self._tables[name] = self.spark.createDataFrame(build().toArrow())

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe import Profile
-from tableprobe.dataset import TEXT, WHOLE
+from tableprobe import Dataset, Profile
+from tableprobe.dataset import TEXT, WHOLE, column_refs
 from tableprobe.functions import masking, text
-from tableprobe.operators import actions, readiness
+from tableprobe.operators import actions, readiness, rows
 from tableprobe.sources import files, records, sql
 from tableprobe.staging import Stage
 from workload import oracle
@@ -22,7 +22,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 EVERYTHING = (*ALL, "dirty", "dirty_dup", "dirty_empty")
-SCORED = (*ALL, "dirty", "dirty_dup")
+SOME = ("customer", "lineitem", "events", "documents", "labels", "dirty", "dirty_empty")
+SCORED = ("customer", "part", "events", "documents", "labels", "dirty", "dirty_dup")
 
 
 def profile_query(name: str, inputs: tuple[str, ...], twin: str | None):
@@ -66,7 +67,7 @@ def _(p):
     return p.column_profile
 
 
-@profile_query("type_counts", EVERYTHING, """
+@profile_query("type_counts", SOME, """
 SELECT dataset, semantic_type, count(*) AS columns,
   round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY dataset), 2) AS pct
 FROM profile GROUP BY dataset, semantic_type""")
@@ -74,7 +75,7 @@ def _(p):
     return p.type_counts
 
 
-@profile_query("column_flags", EVERYTHING, f"""
+@profile_query("column_flags", SOME, f"""
 SELECT dataset, "column", flag FROM (SELECT dataset, "column",
   unnest(string_split({oracle.FLAGS}, ',')) AS flag FROM profile) WHERE flag <> ''""")
 def _(p):
@@ -162,21 +163,21 @@ def _(p):
 
 # Quality.
 
-@profile_query("blank_counts", EVERYTHING, """
+@profile_query("blank_counts", SOME, """
 SELECT dataset, "column", null_count, null_pct, empty_strings, whitespace_strings FROM quality""")
 def _(p):
     return p.quality.select(
         "dataset", "column", "null_count", "null_pct", "empty_strings", "whitespace_strings")
 
 
-@profile_query("constant_columns", EVERYTHING, """
+@profile_query("constant_columns", SOME, """
 SELECT dataset, "column", is_constant, near_constant, high_cardinality FROM quality""")
 def _(p):
     return p.quality.select(
         "dataset", "column", "is_constant", "near_constant", "high_cardinality")
 
 
-@profile_query("key_candidates", EVERYTHING, """
+@profile_query("key_candidates", SOME, """
 SELECT dataset, "column", possible_id, possible_primary_key FROM keys
 WHERE possible_id OR possible_primary_key""")
 def _(p):
@@ -213,13 +214,13 @@ def _(p):
         "text_like")
 
 
-@profile_query("encoding_hint", EVERYTHING, """
+@profile_query("encoding_hint", SOME, """
 SELECT dataset, "column", bad_character AS encoding_issue_hint, possible_sensitive FROM quality""")
 def _(p):
     return p.quality.select("dataset", "column", "encoding_issue_hint", "possible_sensitive")
 
 
-@profile_query("outliers", EVERYTHING, """
+@profile_query("outliers", SOME, """
 SELECT dataset, "column", outlier_count, outlier_pct, round(lower_bound, 4) AS lower_bound,
   round(upper_bound, 4) AS upper_bound FROM quality WHERE outlier_count IS NOT NULL""")
 def _(p):
@@ -288,6 +289,25 @@ def _(p):
     return p.problem_legend
 
 
+def head_twin() -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", row_number() OVER (ORDER BY c_custkey) AS rank, {c}::VARCHAR AS value
+        FROM customer WHERE {c} IS NOT NULL QUALIFY rank <= 100"""
+        for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+
+
+@table_query("head_values", head_twin())
+def _(spark, folder):
+    columns = ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    d = Dataset("customer", read(spark, folder, "customer").select(*columns))
+    return rows.head_values(d, column_refs([d]), "c_custkey", 100)
+
+
+@table_query("preview_rows", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 8")
+def _(spark, folder):
+    return rows.sample_rows(Dataset("orders", read(spark, folder, "orders")), ["o_orderkey"])
+
+
 # Statistics and chart tables.
 
 STATS = ("mean", "median", "min", "max", "std", "q1", "q3", "skew")
@@ -344,14 +364,14 @@ def _(p):
         "round(bin_end, 4) AS bin_end", "cnt")
 
 
-@profile_query("chart_nulls", EVERYTHING, """
+@profile_query("chart_nulls", SOME, """
 SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY null_pct DESC, ordinal) AS rank,
   "column", null_pct FROM profile QUALIFY rank <= 20""")
 def _(p):
     return p.chart_nulls()
 
 
-@profile_query("chart_problems", EVERYTHING, """
+@profile_query("chart_problems", SOME, """
 SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY count(*) DESC, ordinal) AS rank,
   "column", count(*) AS problems FROM problems GROUP BY dataset, ordinal, "column" QUALIFY rank <= 15""")
 def _(p):
@@ -398,7 +418,7 @@ def _(p):
 
 # Target, scores, actions.
 
-@profile_query("target_candidates", EVERYTHING, """
+@profile_query("target_candidates", SOME, """
 SELECT dataset, rank, "column", score FROM scored_columns WHERE rank <= 5""")
 def _(p):
     return p.target_candidates
