@@ -58,8 +58,16 @@ def share(part: str, whole: str) -> str:
     return f"(CASE WHEN {whole} > 0 THEN double({part}) / double({whole}) ELSE 0D END)"
 
 
+def rounded(number: str, places: int) -> str:
+    """A number that is not negative, rounded on its binary value.
+
+    `round` works on the shortest decimal form instead, and takes 0.00015 up to 0.0002.
+    """
+    return f"(floor({number} * {10 ** places}D + 0.5D) / {10 ** places}D)"
+
+
 def percent(part: str, whole: str) -> str:
-    return f"round({share(part, whole)} * 100, 2)"
+    return rounded(f"{share(part, whole)} * 100D", 2)
 
 
 def finite(number: str) -> str:

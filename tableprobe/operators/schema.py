@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.functions import text
-from tableprobe.functions.sql import percent, present, share
+from tableprobe.functions.sql import percent, present, rounded, share
 
 PROFILE_COLUMNS = (
     "dataset", "ordinal", "column", "dtype", "semantic_type", "row_count", "null_count",
@@ -61,7 +61,7 @@ def column_facts(metrics: DataFrame, distinct: DataFrame) -> DataFrame:
         "named_sensitive OR personal_content AS possible_sensitive",
         f"{percent('null_count', 'row_count')} AS null_pct",
         "non_null AS non_null_count",
-        f"round({EXACT_UNIQUE_RATE}, 4) AS unique_rate",
+        f"{rounded(EXACT_UNIQUE_RATE, 4)} AS unique_rate",
     )
 
 

@@ -119,7 +119,7 @@ SENTINEL = "all tables"
 
 PROFILE = """
 SELECT *, named_or_personal AS possible_sensitive, row_count - non_null AS null_count,
-  CASE WHEN row_count > 0 THEN round((row_count - non_null) * 100.0::DOUBLE / row_count, 2) ELSE 0 END AS null_pct,
+  CASE WHEN row_count > 0 THEN round(((row_count - non_null))::DOUBLE / (row_count) * 100, 2) ELSE 0 END AS null_pct,
   round(rate, 4) AS unique_rate,
   CASE WHEN grp = 'date' THEN 'date' WHEN grp = 'number' THEN 'numeric'
     WHEN grp = 'other' THEN 'categorical'
@@ -162,7 +162,7 @@ def outlier_sql(names) -> str:
 
 QUALITY = """
 SELECT k.*, o.lo AS lower_bound, o.hi AS upper_bound, CASE WHEN o.n_out > 0 THEN o.n_out END AS outlier_count,
-  CASE WHEN o.n_out > 0 THEN round(o.n_out * 100.0::DOUBLE / k.non_null, 2) END AS outlier_pct,
+  CASE WHEN o.n_out > 0 THEN round((o.n_out)::DOUBLE / (k.non_null) * 100, 2) END AS outlier_pct,
   CASE WHEN grp = 'text' THEN n_empty + null_count ELSE 0 END AS empty_strings, n_blank AS whitespace_strings,
   k.row_count > 0 AND unique_count <= 1 AS is_constant,
   unique_count > 1 AND top_count >= 0.95 * non_null AS near_constant,
@@ -259,8 +259,8 @@ FROM (SELECT DISTINCT dataset_no, dataset FROM profile) d LEFT JOIN (
          WHEN grp = 'number' AND unique_count > 20 AND unique_count > 0.05 * row_count THEN 'regression'
          WHEN unique_count = 2 THEN 'binary_classification'
          WHEN unique_count > 2 THEN 'multiclass_classification' ELSE 'unknown' END AS problem_type,
-    round((SELECT max(cnt) FROM classes c WHERE c.dataset_no = p.dataset_no) * 100.0::DOUBLE / non_null, 2) AS majority_class_pct,
-    round((SELECT min(cnt) FROM classes c WHERE c.dataset_no = p.dataset_no) * 100.0::DOUBLE / non_null, 2) AS minority_class_pct
+    round(((SELECT max(cnt) FROM classes c WHERE c.dataset_no = p.dataset_no))::DOUBLE / (non_null) * 100, 2) AS majority_class_pct,
+    round(((SELECT min(cnt) FROM classes c WHERE c.dataset_no = p.dataset_no))::DOUBLE / (non_null) * 100, 2) AS minority_class_pct
   FROM picked p) p ON p.dataset_no = d.dataset_no
 """
 
@@ -286,8 +286,8 @@ COUNTED_TYPES = ", ".join(
     for t in ("numeric", "date", "boolean", "categorical", "text", "long_text"))
 SUMMARY = f"""
 SELECT s.*, r.duplicate_rows, r.rows_fully_empty,
-  CASE WHEN total_cells > 0 THEN round(null_cells * 100.0::DOUBLE / total_cells, 2) ELSE 0 END AS null_pct,
-  CASE WHEN row_count > 0 THEN round(r.duplicate_rows * 100.0::DOUBLE / row_count, 2) ELSE 0 END AS duplicate_pct
+  CASE WHEN total_cells > 0 THEN round((null_cells)::DOUBLE / (total_cells) * 100, 2) ELSE 0 END AS null_pct,
+  CASE WHEN row_count > 0 THEN round((r.duplicate_rows)::DOUBLE / (row_count) * 100, 2) ELSE 0 END AS duplicate_pct
 FROM (SELECT dataset_no, dataset, max(row_count) AS row_count, count(*) AS column_count,
         sum(row_count)::BIGINT AS total_cells, sum(null_count)::BIGINT AS null_cells,
         max(null_pct) AS max_null_pct, count_if(possible_sensitive) AS sensitive_columns, {COUNTED_TYPES}
@@ -462,8 +462,7 @@ OVERLAP = """
 SELECT a.dataset_no AS left_no, b.dataset_no AS right_no, a.dataset AS "left", b.dataset AS "right",
   len(list_intersect(a.names, b.names)) AS shared,
   list_sort(list_intersect(a.names, b.names)) AS shared_columns,
-  round(len(list_intersect(a.names, b.names)) * 100.0::DOUBLE
-    / len(list_distinct(list_concat(a.names, b.names))), 2) AS overlap_pct
+  round((len(list_intersect(a.names, b.names)))::DOUBLE / (len(list_distinct(list_concat(a.names, b.names)))) * 100, 2) AS overlap_pct
 FROM (SELECT dataset_no, dataset, list(DISTINCT name) AS names FROM named GROUP BY ALL) a
 JOIN (SELECT dataset_no, dataset, list(DISTINCT name) AS names FROM named GROUP BY ALL) b
   ON a.dataset_no < b.dataset_no"""
@@ -473,8 +472,8 @@ FROM (SELECT dataset_no, dataset, string_agg(name, '|' ORDER BY name) AS signatu
       FROM named GROUP BY dataset_no, dataset) GROUP BY signature HAVING count(*) > 1"""
 COMBINED_DRIVERS = f"""
 SELECT 0 AS dataset_no, '{SENTINEL}' AS dataset, s.*, p.*,
-  CASE WHEN total_cells > 0 THEN round(null_cells * 100.0::DOUBLE / total_cells, 2) ELSE 0 END AS null_pct,
-  round(duplicate_rows * 100.0::DOUBLE / row_count, 2) AS duplicate_pct,
+  CASE WHEN total_cells > 0 THEN round((null_cells)::DOUBLE / (total_cells) * 100, 2) ELSE 0 END AS null_pct,
+  round((duplicate_rows)::DOUBLE / (row_count) * 100, 2) AS duplicate_pct,
   t.target IS NOT NULL AS has_target, t.target, false AS target_imbalanced,
   (SELECT count(*) FROM common) AS common_column_count,
   (SELECT count(*) FROM common WHERE has_key) AS possible_join_count,

@@ -69,7 +69,7 @@ def _(p):
 
 @profile_query("type_counts", SOME, """
 SELECT dataset, semantic_type, count(*) AS columns,
-  round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY dataset), 2) AS pct
+  round((count(*))::DOUBLE / (sum(count(*)) OVER (PARTITION BY dataset)) * 100, 2) AS pct
 FROM profile GROUP BY dataset, semantic_type""")
 def _(p):
     return p.type_counts
@@ -187,7 +187,7 @@ def _(p):
 
 @profile_query("invalid_dates", ("dirty", "documents"), """
 SELECT dataset, "column", n_filled - n_day AS invalid_dates, n_filled AS dates_checked,
-  round((n_filled - n_day) * 100.0::DOUBLE / n_filled, 2) AS invalid_pct FROM quality WHERE bad_dates""")
+  round(((n_filled - n_day))::DOUBLE / (n_filled) * 100, 2) AS invalid_pct FROM quality WHERE bad_dates""")
 def _(p):
     return p.quality.where("invalid_dates IS NOT NULL").select(
         "dataset", "column", "invalid_dates", "dates_checked", "invalid_pct")
