@@ -29,7 +29,8 @@ def _key(ref: ColumnRef) -> str:
 
 def sketched_values(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame:
     """cid, distinct_values, top_count, distinct_normalised, q1, median, q3."""
-    top = f"approx_top_k(v, {TOP_ITEMS}, {TOP_TRACKED})[0].count AS top_count"
+    # The sketch drops rare values; one that dominates a column is always kept.
+    top = f"coalesce(get(approx_top_k(v, {TOP_ITEMS}, {TOP_TRACKED}), 0).count, 0L) AS top_count"
     parts = []
     quarters = f"percentile_approx(v, array(0.25D, 0.5D, 0.75D), {RANK_ACCURACY}) AS q"
     # Whole numbers keep their type, since not all of them have a double of their own.

@@ -124,6 +124,12 @@ def test_approximate_profile(spark, table):
     assert "frequencies" not in rough.stage
 
 
+def test_approximate_profile_of_unique_values(spark):
+    p = Profile([Dataset("t", spark.range(200000).selectExpr("id", "string(id) AS s"))], approximate=True)
+    for r in p.quality.collect():
+        assert r.possible_id and not r.near_constant
+
+
 def test_other_types(spark):
     df = spark.sql("""SELECT date'2024-01-01' AS d, X'00FF' AS bin, array(1, 2) AS a, map('k', 1) AS m,
         named_struct('x', 1) AS s, cast(1.25 AS decimal(10, 2)) AS dec, cast(null AS void) AS v,
