@@ -11,45 +11,58 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.dataset import OTHER, REAL, TEXT, WHOLE, ColumnRef, Dataset, text_form
+from tableprobe.dataset import (
+    BOOLEAN, DATE, OTHER, REAL, TEXT, WHOLE, ColumnRef, Dataset, text_form,
+)
 from tableprobe.functions import text
 from tableprobe.operators.metrics import long_form
 
-DISTINCT_ERROR = 0.01
-RANK_ACCURACY = 10_000
+DISTINCT_ERROR = 0.02
+RANK_ACCURACY = 1_000
 TOP_ITEMS = 5
 TOP_TRACKED = 1_000
 
-_DISTINCT = f"approx_count_distinct(v, {DISTINCT_ERROR}) AS distinct_values"
 
+def _distinct(value: str) -> str:
+    return f"approx_count_distinct({value}, {DISTINCT_ERROR})"
 
-def _key(ref: ColumnRef) -> str:
-    return text.frequency_key(text_form(ref)) if ref.kind in (TEXT, OTHER) else text_form(ref)
 
+def _branches(datasets: list[Dataset], refs: list[ColumnRef]):
+    """Long forms by kind. Whole numbers keep their type, since not all have a double of their own."""
+    for kinds, key in (
+        ((WHOLE,), lambda r: f"cast({r.sql} AS bigint)"),
+        ((REAL,), lambda r: f"cast({r.sql} AS double)"),
+        ((DATE, BOOLEAN), text_form),
+        ((TEXT, OTHER), lambda r: text.frequency_key(text_form(r))),
+    ):
+        values = long_form(datasets, [r for r in refs if r.kind in kinds], key)
+        if values is not None:
+            yield kinds, values
 
-def sketched_values(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame:
-    """cid, distinct_values, top_count, distinct_normalised, q1, median, q3."""
+
+def distinct_counts(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame:
+    """cid, distinct_values. A column has no more values than rows, whatever the sketch says."""
+    return reduce(DataFrame.union, [
+        values.groupBy("cid").agg(F.expr(f"least({_distinct('v')}, count(1)) AS distinct_values"))
+        for _, values in _branches(datasets, refs)
+    ])
+
+
+def value_sketches(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame:
+    """cid, top_count, distinct_normalised, q1, median, q3."""
     # The sketch drops rare values; one that dominates a column is always kept.
     top = f"coalesce(get(approx_top_k(v, {TOP_ITEMS}, {TOP_TRACKED}), 0).count, 0L) AS top_count"
     parts = []
-    quarters = f"percentile_approx(v, array(0.25D, 0.5D, 0.75D), {RANK_ACCURACY}) AS q"
-    # Whole numbers keep their type, since not all of them have a double of their own.
-    for kind, key_type in ((WHOLE, "bigint"), (REAL, "double")):
-        numbers = long_form(
-            datasets, [r for r in refs if r.kind == kind], lambda r: f"cast({r.sql} AS {key_type})")
-        if numbers is not None:
-            parts.append(numbers.groupBy("cid").agg(
-                F.expr(_DISTINCT), F.expr(top), F.expr(quarters),
-            ).selectExpr(
-                "cid", "distinct_values", "top_count", "cast(null AS bigint) AS distinct_normalised",
-                "double(q[0]) AS q1", "double(q[1]) AS median", "double(q[2]) AS q3"))
-    others = long_form(datasets, [r for r in refs if not r.numeric], _key)
-    if others is not None:
-        normalised = f"approx_count_distinct({text.normalised_key('v')}, {DISTINCT_ERROR})"
-        none = "cast(null AS double)"
-        parts.append(others.groupBy("cid").agg(
-            F.expr(_DISTINCT), F.expr(top), F.expr(f"{normalised} AS distinct_normalised"),
-        ).selectExpr("*", f"{none} AS q1", f"{none} AS median", f"{none} AS q3"))
+    for kinds, values in _branches(datasets, refs):
+        quarters, normalised = "cast(null AS array<double>)", "cast(null AS bigint)"
+        if kinds in ((WHOLE,), (REAL,)):
+            quarters = f"percentile_approx(v, array(0.25D, 0.5D, 0.75D), {RANK_ACCURACY})"
+        elif TEXT in kinds:
+            normalised = f"least({_distinct(text.normalised_key('v'))}, count(1))"
+        parts.append(values.groupBy("cid").agg(
+            F.expr(top), F.expr(f"{normalised} AS distinct_normalised"), F.expr(f"{quarters} AS q"),
+        ).selectExpr("cid", "top_count", "distinct_normalised", "double(get(q, 0)) AS q1",
+                     "double(get(q, 1)) AS median", "double(get(q, 2)) AS q3"))
     return reduce(DataFrame.union, parts)
 
 

@@ -56,41 +56,45 @@ def categorical_stats(
 def correlations(datasets: list[Dataset], refs: list[ColumnRef], limit: int = 10) -> DataFrame:
     """dataset, x, y, r: full matrix over the first numeric columns, pairwise complete.
 
-    One scan and one row per dataset. NaN counts as missing; a constant side gives 0.
+    Pairs of columns become rows that are aggregated by pair, so the code to generate does not
+    grow with the number of pairs and the map side leaves one row per pair. NaN counts as missing;
+    a constant side gives 0.
     """
-    parts = []
+    spark = datasets[0].df.sparkSession
+    parts, cells = [], []
     for number, dataset in enumerate(datasets):
         columns = [r for r in refs if r.dataset_no == number and r.numeric][:limit]
         if len(columns) < 2:
             continue
-        values = [
+        values = dataset.df.selectExpr(*[
             f"nanvl(double({r.sql}), cast(null AS double)) AS v{r.cid}" if r.kind == REAL
             else f"double({r.sql}) AS v{r.cid}"
             for r in columns
-        ]
-        aggregates, cells = [], []
+        ])
+        pairs = []
         for i, a in enumerate(columns):
             for b in columns[i:]:
-                x, y, key = f"v{a.cid}", f"v{b.cid}", f"{a.cid}_{b.cid}"
-                # `corr` fails on a constant column, so its parts are divided with care here.
-                aggregates += [
-                    f"covar_pop({x}, {y}) * regr_count({y}, {x}) AS c{key}",
-                    f"sqrt(regr_sxx({y}, {x})) * sqrt(regr_syy({y}, {x})) AS s{key}",
-                ]
-                r = f"round(nanvl(coalesce(try_divide(c{key}, s{key}), 0D), 0D), 4)"
-                for left, right in ((a, b),) if a is b else ((a, b), (b, a)):
-                    cells.append({
-                        "x_ordinal": str(left.ordinal), "x": literal(left.name),
-                        "y_ordinal": str(right.ordinal), "y": literal(right.name), "r": r,
-                    })
-        parts.append(
-            dataset.df.selectExpr(*values).agg(*[F.expr(e) for e in aggregates])
-            .selectExpr(f"{literal(dataset.name)} AS dataset", f"inline({records(cells)})")
-        )
+                pair = len(cells)
+                pairs.append(f"(v{a.cid}, v{b.cid}) AS `{pair}`")
+                cells.append({"pair": str(pair), "dataset": literal(dataset.name),
+                              "x_ordinal": str(a.ordinal), "x": literal(a.name),
+                              "y_ordinal": str(b.ordinal), "y": literal(b.name)})
+        parts.append(spark.sql(
+            f"SELECT int(pair) AS pair, x, y FROM {{values}} "
+            f"UNPIVOT ((x, y) FOR pair IN ({', '.join(pairs)})) WHERE x IS NOT NULL AND y IS NOT NULL",
+            values=values))
     if not parts:
-        return datasets[0].df.sparkSession.createDataFrame(
+        return spark.createDataFrame(
             [], "dataset string, x_ordinal int, x string, y_ordinal int, y string, r double")
-    return reduce(DataFrame.union, parts)
+    # `corr` fails on a constant side; the share of explained variance does not.
+    measured = reduce(DataFrame.union, parts).groupBy("pair").agg(
+        F.expr("coalesce(signum(covar_pop(x, y)) * sqrt(regr_r2(y, x)), 0D) AS r"))
+    named = spark.range(1).selectExpr(f"inline({records(cells)})")
+    half = named.join(measured, "pair", "left").selectExpr(
+        "dataset", "x_ordinal", "x", "y_ordinal", "y", "round(coalesce(r, 0D), 4) AS r")
+    mirrored = half.where("x_ordinal != y_ordinal").selectExpr(
+        "dataset", "y_ordinal", "y", "x_ordinal", "x", "r")
+    return half.union(mirrored)
 
 
 def histograms(

@@ -77,8 +77,8 @@ class Profile:
     def prepare(self, duplicates: bool = False, ranks: bool = False) -> "Profile":
         """Run the jobs that read the data concurrently."""
         values = (
-            (lambda: self.sketches) if self.approximate
-            else (lambda: self.numbers) if ranks else (lambda: self.value_freq)
+            (lambda: self.sketches if ranks else self._distinct) if self.approximate
+            else (lambda: self.numbers if ranks else self.value_freq)
         )
         more = [lambda: self.duplicates] if duplicates else []
         self.stage.together(lambda: self.metrics, values, *more)
@@ -87,15 +87,13 @@ class Profile:
     @property
     def sketches(self) -> DataFrame:
         return self.stage.small(
-            "sketches", lambda: sketches.sketched_values(self.datasets, self.refs))
+            "sketches", lambda: sketches.value_sketches(self.datasets, self.refs))
 
     @property
     def _distinct(self) -> DataFrame:
         if self.approximate:
-            # A sketch may overshoot, but never are there more values than rows.
-            present = self.metrics.select("cid", "non_null")
-            return self.sketches.join(present, "cid").selectExpr(
-                "cid", "least(distinct_values, non_null) AS distinct_values", "top_count")
+            return self.stage.small(
+                "distinct", lambda: sketches.distinct_counts(self.datasets, self.refs))
         return frequency.distinct_counts(self.value_freq)
 
     @property
@@ -120,7 +118,7 @@ class Profile:
         def build():
             self.prepare(ranks=True)
             if self.approximate:
-                normalised = self.sketches.select("cid", "distinct_normalised")
+                normalised = self.sketches.select("cid", "top_count", "distinct_normalised")
                 outside = sketches.outliers(self.datasets, self.refs, self.quarters)
             else:
                 texts = [r.cid for r in self.refs if r.kind == TEXT]
