@@ -17,15 +17,19 @@ from pyspark.util import inheritable_thread_target
 SETTING = "spark.checkpoint.dir"
 
 
+_local_root: str | None = None
+
+
 def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder the session names; in local mode without one, a temporary folder."""
+    global _local_root
     root = spark.conf.get(SETTING, None)
     if root:
         return root
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError(f"set {SETTING} to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="tableprobe-")
-    spark.conf.set(SETTING, root)
-    return root
+    _local_root = _local_root or tempfile.mkdtemp(prefix="tableprobe-")
+    return _local_root
 
 
 class Stage:
