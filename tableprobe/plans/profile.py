@@ -117,6 +117,7 @@ class Profile:
     def quality(self) -> DataFrame:
         def build():
             self.prepare(ranks=True)
+            self.stage.together(lambda: self.facts, lambda: self.quarters)
             if self.approximate:
                 normalised = self.sketches.select("cid", "top_count", "distinct_normalised")
                 outside = sketches.outliers(self.datasets, self.refs, self.quarters)
@@ -214,12 +215,16 @@ class Profile:
     def target_distribution(self) -> DataFrame:
         return target.class_distribution(self._target_classes, self.facts)
 
+    def _gather(self) -> None:
+        """Run what the scores need, with independent jobs side by side."""
+        self.prepare(duplicates=True, ranks=True)
+        self.stage.together(lambda: self.facts, lambda: self.quarters)
+        self.stage.together(lambda: self.summary, lambda: self.quality, lambda: self.targets)
+
     @property
     def drivers(self) -> DataFrame:
         def build():
-            self.prepare(duplicates=True, ranks=True).facts
-            self.stage.together(
-                lambda: self.summary, lambda: self.quality, lambda: self.targets)
+            self._gather()
             known = readiness.drivers(self.summary, self.problems, self.targets)
             return known.join(F.broadcast(self._context()), "dataset_no")
         return self.stage.small("drivers", build)
@@ -384,6 +389,7 @@ class Profile:
     @property
     def combined_drivers(self) -> DataFrame:
         def build():
+            self._gather()
             one = self._context().limit(1).withColumn("source_type", F.lit("multi_file"))
             found = self.problems.withColumn("dataset_no", F.lit(0))
             known = readiness.drivers(self.combined_summary, found, self.combined_target)
