@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_hits, contaminated
 from .lines import repeated_lines
+from .pieces import load, segmented
 from .quality import score_quality, train_quality
+from .simhash import near_groups
+from .tokencount import load as load_bpe
+from .tokencount import token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +85,34 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return counted.join(gone, F.col("doc_id") == F.col("gone_doc"), "left").select(
         "doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.size(gone_lines).cast("bigint").alias("n_removed"),
         F.array_join(gone_lines, ",").alias("removed_lines"))
+
+
+@query
+def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """SimHash fingerprint of each document and the smallest id among those its links reach."""
+    found = near_groups(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op7_sentencepiece_nbest(spark: SparkSession, folder: str) -> DataFrame:
+    """The best segmentation of each text, its score and those of the next three, and the way back."""
+    found = segmented(table(spark, folder, "documents").select("doc_id", "text"),
+                      load(tokenizer("piece_bpe_32k.model")), columns=["doc_id"])
+    return found.select("doc_id", F.size("piece_ids").cast("bigint").alias("n_pieces"), "ids_sha256",
+                        "nbest_scores", "restored")
+
+
+@query
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of each text, and whether the tokens exceed 1024."""
+    found = token_counts(table(spark, folder, "documents").select("doc_id", "text"),
+                         load_bpe(tokenizer("byte_bpe_50k.json")), columns=["doc_id"])
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
