@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, utf8
 
@@ -287,8 +288,9 @@ def segmented(documents: DataFrame, vocabulary: Vocabulary, nbest: int = 4, text
     """These columns of the table, all by default, with `piece_ids` of the best segmentation,
     `nbest_scores`, `ids_sha256` (of the ids as little-endian 32-bit numbers) and `restored`:
     whether decoding gives the text back. Columns of these names in the table are replaced."""
-    new = ("piece_ids array<int>, nbest_scores array<double>, ids_sha256 string, restored boolean")
-    own = [c.split()[0] for c in new.split(", ")]
+    new = {"piece_ids": T.ArrayType(T.IntegerType()), "nbest_scores": T.ArrayType(T.DoubleType()),
+           "ids_sha256": T.StringType(), "restored": T.BooleanType()}
+    own = list(new)
     names = [c for c in columns or documents.columns if c not in own]
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
                             F.col(text_col).cast("string").alias("text"))
@@ -314,6 +316,6 @@ def segmented(documents: DataFrame, vocabulary: Vocabulary, nbest: int = 4, text
                                    pa.array(restored, pa.bool_())], ["row", *own])
 
     schema = rows.select("row").schema
-    for c in new.split(", "):
-        schema = schema.add(*c.split())
+    for c, kind in new.items():
+        schema = schema.add(c, kind)
     return rows.mapInArrow(encoded, schema).select("row.*", *own)
