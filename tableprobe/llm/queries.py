@@ -10,6 +10,7 @@ from .lines import repeated_lines
 from .pieces import load, segmented
 from .quality import score_quality, train_quality
 from .simhash import near_groups
+from .substring import deduplicate_substrings
 from .tokencount import load as load_bpe
 from .tokencount import token_counts
 
@@ -116,3 +117,29 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     found = token_counts(table(spark, folder, "documents").select("doc_id", "text"),
                          load_bpe(tokenizer("byte_bpe_50k.json")), columns=["doc_id"])
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of each document, how many of them repeat an earlier document's windows, and what is kept."""
+    found = deduplicate_substrings(table(spark, folder, "documents").select("doc_id", "text"), columns=["doc_id"])
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLES["op1_substring_dedup"] = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+           FROM documents),
+s AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS gram
+      FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT gram, min(doc_id) AS least FROM s GROUP BY gram),
+h AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS p
+      FROM s JOIN f USING (gram) WHERE doc_id > least),
+r AS (SELECT doc_id, list(p) AS gone FROM h GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+        CASE WHEN gone IS NULL THEN w ELSE
+          list_transform(list_filter(generate_series(1, len(w)), lambda p: NOT list_contains(gone, p)), lambda p: w[p]) END AS kept
+      FROM d LEFT JOIN r USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+  sha256(array_to_string(kept, ' ')) AS kept_sha256
+FROM k
+"""
