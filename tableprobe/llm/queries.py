@@ -13,6 +13,7 @@ from .simhash import near_groups
 from .substring import deduplicate_substrings
 from .tokencount import load as load_bpe
 from .tokencount import token_counts
+from .toxicity import score_toxicity, train_toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +144,13 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS
   sha256(array_to_string(kept, ' ')) AS kept_sha256
 FROM k
 """
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity scores of all documents; labels whose crc32 remainder by 5 is 0 are held out."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").where(remainder(5) != 0)
+    scored = score_toxicity(documents, train_toxicity(documents, labels), columns=["doc_id"])
+    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), F.col("toxicity_score").alias("score"),
+                         (F.col("toxicity_score") >= 0.5).cast("int").alias("predicted"))
