@@ -9,12 +9,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python worker holds at once; a longer single text is one step.
 SLICE = 4 << 20
 
+#: Rows of a range of ids, and most ranges, in `with_next`.
+RANGE, RANGES = 2_000, 2_000
+
 _own_root: str | None = None
 
 
@@ -84,3 +87,34 @@ def lower_ascii(column):
     plain = F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     # `lower` says the same of pure ASCII, faster.
     return F.when(F.octet_length(column) == F.length(column), F.lower(column)).otherwise(plain)
+
+
+def with_next(rows: DataFrame, key: str, tie: str, columns: dict[str, str]) -> DataFrame:
+    """The rows and, as new columns {new: old}, values of the next row by (key, tie), nulls first; the
+    first row follows the last.
+
+    Keys, whole numbers, are cut into ranges by approximate quantiles, each range is sorted by itself,
+    and its last row is followed by the first of the next range. Only the cuts and the ranges' least
+    keys, at most `RANGES` of each, reach the driver.
+    """
+    many, none, top = rows.agg(F.count("*"), F.count_if(F.col(key).isNull()), F.max(key)).first()
+    ranges = max(1, min(RANGES, many // RANGE))
+    cuts = rows.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else []
+    cuts = [c for c in sorted(set(cuts or [])) if c < top]
+    span = F.lit(0)
+    if cuts:  # the number of cuts below the key; the key of a cut ends its range
+        listed = F.from_json(F.lit(str(cuts)), "array<bigint>")
+        span = F.size(F.filter(listed, lambda c: c < F.col(key)))
+    placed = rows.withColumn("_span", F.when(F.col(key).isNull(), -1).otherwise(span).cast("int"))
+    heads = sorted(placed.groupBy("_span").agg(F.min(key)).collect())
+    numbers = [h[0] for h in heads]
+    follows = [(h[0], h[1], numbers[k - 1]) for k, h in enumerate(heads)]  # after the last comes the first
+    least = rows.sparkSession.createDataFrame(follows, "_its int, _head bigint, _before int")
+    first = placed.join(F.broadcast(least), (F.col("_span") == F.col("_its")) & F.col(key).eqNullSafe(F.col("_head")))
+    first = first.groupBy("_before").agg(F.min(F.struct(F.col(tie).alias("tie"), *[
+        F.col(old).alias(new) for new, old in columns.items()])).alias("_first"))
+    order = Window.partitionBy("_span").orderBy(F.col(key).asc_nulls_first(), tie)
+    inner = placed.select("*", F.lead(F.struct(*[F.col(old).alias(new) for new, old in columns.items()])).over(order).alias("_next"))
+    joined = inner.join(first, F.when(F.col("_next").isNull(), F.col("_span")) == F.col("_before"), "left")
+    return joined.select(*[F.col(c) for c in rows.columns], *[
+        F.coalesce(f"_next.{new}", f"_first.{new}").alias(new) for new in columns])

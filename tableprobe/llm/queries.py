@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_hits, contaminated
+from .fingerprints import fingerprinted
 from .lines import repeated_lines
 from .pieces import load, segmented
+from .preferences import conversations_of, format_preferences, mismatched
 from .quality import score_quality, train_quality
 from .simhash import near_groups
 from .substring import deduplicate_substrings
@@ -154,3 +156,42 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = score_toxicity(documents, train_toxicity(documents, labels), columns=["doc_id"])
     return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), F.col("toxicity_score").alias("score"),
                          (F.col("toxicity_score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op3_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches of each text and its edited text, and their likeness and that to the next document."""
+    found = fingerprinted(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(F.col("doc").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                        "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query
+def op5_preference_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Each conversation against itself with another's last answer: prompt, completions, masks."""
+    found = format_preferences(mismatched(conversations_of(table(spark, folder, "conversations"))))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s.start, s.stop)), ",")
+    return found.select(F.col("conv").alias("conv_id"), F.col("prompt_turns").cast("bigint").alias("prompt_turns"), "prompt",
+                        "chosen", "rejected", spans("chosen_trained").alias("chosen_trained"),
+                        spans("rejected_trained").alias("rejected_trained"))
+
+
+ORACLES["op5_preference_format"] = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+        coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+l AS (SELECT conv_id, max(i) FILTER (role = 'assistant') AS last, max(i) AS n FROM t GROUP BY conv_id),
+a AS (SELECT t.conv_id, t.text AS answer,
+        coalesce(lead(t.text) OVER (ORDER BY t.conv_id), first_value(t.text) OVER (ORDER BY t.conv_id)) AS other
+      FROM t JOIN l ON t.conv_id = l.conv_id AND t.i = l.last),
+k AS (SELECT l.conv_id, l.last, answer, other,
+        CASE WHEN last IS NULL THEN n WHEN answer = other THEN last ELSE last - 1 END AS shared
+      FROM l LEFT JOIN a USING (conv_id))
+SELECT k.conv_id, CAST(shared AS BIGINT) AS prompt_turns,
+  coalesce((SELECT string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY i)
+            FROM t WHERE t.conv_id = k.conv_id AND i <= shared), '') AS prompt,
+  CASE WHEN shared < last THEN '<|assistant|>' || chr(10) || answer || '<|end|>' || chr(10) ELSE '' END AS chosen,
+  CASE WHEN shared < last THEN '<|assistant|>' || chr(10) || other || '<|end|>' || chr(10) ELSE '' END AS rejected,
+  CASE WHEN shared < last THEN '14-' || CAST(22 + length(answer) AS VARCHAR) ELSE '' END AS chosen_trained,
+  CASE WHEN shared < last THEN '14-' || CAST(22 + length(other) AS VARCHAR) ELSE '' END AS rejected_trained
+FROM k
+"""
