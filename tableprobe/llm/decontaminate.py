@@ -83,14 +83,25 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, size: int = SIZE,
     for start in before[:-1]:
         at = F.when(F.col("pos") >= start, F.col("pos") - start).otherwise(at)
     scanned = rows.select("key", "row", "words", F.posexplode(codes).alias("pos", "found"))
-    joined = scanned.join(F.broadcast(against) if small else against, F.col("found") == F.col("code")).where(
+    width = F.greatest("width", F.lit(1))
+    if small:  # the words of a window are looked at where its key is found
+        own = F.slice("words", F.coalesce(at, F.lit(0)) + 1, width)
+        against = F.broadcast(against)
+    else:  # each key travels with the words of its window alone, the row with the mark alone
+        start = F.col("pos") == 0
+        scanned = scanned.select(
+            "key", "pos", "found", at.alias("at"), F.when(start, F.col("row")).alias("row"),
+            F.when(start, F.size("words")).alias("n_words"), F.slice("words", F.coalesce(at, F.lit(0)) + 1, F.lit(size)).alias("words"))
+        own = F.slice("words", F.lit(1), width)
+    joined = scanned.join(against, F.col("found") == F.col("code")).where(
         ((F.col("pos") == 0) & F.col("gram").isNull())
-        | ((F.col("pos") > 0) & (F.array_join(F.slice("words", F.coalesce(at, F.lit(0)) + 1, F.greatest(
-            "width", F.lit(1))), " ") == F.col("gram")))).withColumn("at", at)
+        | ((F.col("pos") > 0) & (F.array_join(own, " ") == F.col("gram"))))
+    if small:
+        joined = joined.withColumns({"at": at, "n_words": F.size("words")})
     real = F.col("pos") > 0
     whole = joined.groupBy("key").agg(
         F.first(F.when(~real, F.col("row")), ignorenulls=True).alias("row"),
-        F.max(F.when(~real, F.size("words"))).alias("n_words"),
+        F.max(F.when(~real, F.col("n_words"))).alias("n_words"),
         F.sort_array(F.collect_set(F.when(real, F.struct("at", "width")))).alias("hits"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.aggregate(

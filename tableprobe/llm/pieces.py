@@ -176,6 +176,8 @@ def units(v: Vocabulary, text: str) -> list[str]:
 
 def solve_many(v: Vocabulary, words: list[str]) -> list[tuple[float, float, bytes]]:
     """`solve` for many words, by numpy: all words advance together, start by start, length by length."""
+    if not words:
+        return []
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     word, first = np.repeat(np.arange(len(words)), sizes), np.cumsum(sizes) - sizes
