@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.operators.frequency import DISPLAY, ranked_values
+from tableprobe.operators.frequency import DISPLAY, Texts, ranked_values
 from tableprobe.operators.statistics import categorical_columns
 
 
 def _first(df: DataFrame, limit: int, order: str) -> DataFrame:
     return df.selectExpr(
         "*", f"row_number() OVER (PARTITION BY dataset ORDER BY {order}) AS rank"
-    ).where(f"rank <= {limit}")
+    ).where("true" if limit is None else f"rank <= {limit}")
 
 
-def nulls_by_column(facts: DataFrame, limit: int = 20) -> DataFrame:
+def nulls_by_column(facts: DataFrame, limit: int | None = None) -> DataFrame:
     return _first(facts, limit, "null_pct DESC, ordinal").select(
         "dataset", "rank", "column", "null_pct")
 
 
-def problems_by_column(problems: DataFrame, limit: int = 15) -> DataFrame:
+def problems_by_column(problems: DataFrame, limit: int | None = None) -> DataFrame:
     counted = problems.groupBy("dataset", "ordinal", "column").agg(F.expr("count(1) AS problems"))
     return _first(counted, limit, "problems DESC, ordinal").select(
         "dataset", "rank", "column", "problems")
@@ -32,13 +32,14 @@ def outliers_by_column(quality: DataFrame) -> DataFrame:
 
 
 def categories(
-    facts: DataFrame, frequencies: DataFrame, columns: int = 3, top: int = 10
+    facts: DataFrame, frequencies: DataFrame, texts: Texts, columns: int | None = None,
+    top: int | None = 10,
 ) -> DataFrame:
-    """Top values of the first categorical columns."""
+    """Top values of the first categorical columns, of all for None."""
     chosen = _first(categorical_columns(facts), columns, "ordinal").select(
         "cid", "dataset", "ordinal", "column")
     own = frequencies.join(F.broadcast(chosen), "cid")
-    return ranked_values(own, top).selectExpr(
+    return ranked_values(own, texts, top).selectExpr(
         "dataset", "ordinal", "column", "rank", f"{DISPLAY} AS value", "cnt")
 
 
@@ -48,5 +49,6 @@ def datasets(summary: DataFrame, problems: DataFrame) -> DataFrame:
         "dataset", "row_count", "null_pct", "coalesce(n, 0L) AS problems")
 
 
-def shared_columns(common: DataFrame, limit: int = 20) -> DataFrame:
-    return common.select("name", "refs").orderBy("name").limit(limit)
+def shared_columns(common: DataFrame, limit: int | None = None) -> DataFrame:
+    named = common.select("name", "refs")
+    return named if limit is None else named.orderBy("name").limit(limit)

@@ -82,33 +82,45 @@ def normalised_counts(frequencies: DataFrame, text_cids: list[int]) -> DataFrame
     )
 
 
-def ranked_values(frequencies: DataFrame, limit: int, by_count: bool = True) -> DataFrame:
-    """The first `limit` values per column, by falling count or by value alone.
-
-    The rank filter is applied before the shuffle too, so a task gets a few rows per column and
-    map partition, however many distinct values there are.
-    """
-    order = f"cnt DESC, {VALUE_ORDER}" if by_count else VALUE_ORDER
-    return frequencies.selectExpr(
-        "*", f"row_number() OVER (PARTITION BY cid ORDER BY {order}) AS rank"
-    ).where(f"rank <= {limit}")
-
-
-def with_whole_texts(
-    ranked: DataFrame, datasets: list[Dataset], refs: list[ColumnRef]
+class Texts:
+    """The whole texts behind the keys of frequency tables."""
+
+    def __init__(self, datasets: list[Dataset], refs: list[ColumnRef]):
+        self.datasets, self.refs = datasets, [r for r in refs if r.kind in (TEXT, OTHER)]
+
+    def restore(self, rows: DataFrame) -> DataFrame:
+        """A frequency table with whole texts in place of keys.
+
+        One more pass over the texts beyond the limit, joined to the keys in question.
+        """
+        texts = long_form(self.datasets, self.refs, text_form)
+        if texts is None:
+            return rows
+        keys = rows.where(text.key_is_digest("txt")).select("cid", "txt").distinct()
+        found = (
+            texts.where(f"char_length(v) > {text.LITERAL_LIMIT}")
+            .selectExpr("cid", "v AS whole_text", f"{text.frequency_key('v')} AS txt")
+            .join(keys, ["cid", "txt"]).groupBy("cid", "txt").agg(F.expr("first(whole_text) AS whole_text"))
+        )
+        return rows.join(found, ["cid", "txt"], "left").withColumn(
+            "txt", F.coalesce("whole_text", "txt")).drop("whole_text")
+
+
+def ranked_values(
+    frequencies: DataFrame, texts: Texts, limit: int | None, by_count: bool = True
 ) -> DataFrame:
-    """Replace the keys of long texts in a few ranked rows by the texts themselves.
+    """The first `limit` values per column (all for None), by falling count or by value alone.
 
-    One more pass over the text columns, joined to the few keys that were picked.
+    The rank filter is applied before the shuffle too, so a task gets a few rows per column and
+    map partition, however many distinct values there are. Long texts that might be among the
+    first, judged by their start, are fetched whole; order and result go by the whole value.
     """
-    texts = long_form(datasets, [r for r in refs if r.kind in (TEXT, OTHER)], text_form)
-    if texts is None:
-        return ranked
-    keys = ranked.where(text.key_is_digest("txt")).select("cid", "txt").distinct()
-    found = (
-        texts.where(f"char_length(v) > {text.LITERAL_LIMIT}")
-        .selectExpr("cid", "v AS whole_text", f"{text.frequency_key('v')} AS txt")
-        .join(F.broadcast(keys), ["cid", "txt"]).dropDuplicates(["cid", "txt"])
-    )
-    return ranked.join(found, ["cid", "txt"], "left").withColumn(
-        "txt", F.coalesce("whole_text", "txt")).drop("whole_text")
+    counted = "cnt DESC, " if by_count else ""
+    near = frequencies
+    if limit is not None:
+        near = frequencies.selectExpr(
+            "*", f"rank() OVER (PARTITION BY cid ORDER BY {counted}whole, num, "
+            f"substring(txt, 1, {text.KEY_PREFIX})) AS near").where(f"near <= {limit}").drop("near")
+    ranked = texts.restore(near).selectExpr(
+        "*", f"row_number() OVER (PARTITION BY cid ORDER BY {counted}{VALUE_ORDER}) AS rank")
+    return ranked if limit is None else ranked.where(f"rank <= {limit}")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tableprobe.functions.sql import literal, percent, present
 from tableprobe.functions.text import strip
 
-PLANNED_PAIRS = 12
 NO_NAMES = "cast(array() AS array<string>)"
 
 
@@ -140,9 +139,12 @@ def _with_keys(overlap: DataFrame, joins: DataFrame) -> DataFrame:
         "* EXCEPT (join_names)", "array_intersect(shared_columns, join_names) AS candidate_keys")
 
 
-def join_plan(overlap: DataFrame, joins: DataFrame, limit: int = PLANNED_PAIRS) -> DataFrame:
-    """The pairs with most overlap, their candidate keys, and the risk of joining on them."""
-    leading = overlap.orderBy(F.desc("overlap_pct"), "left_no", "right_no").limit(limit)
+def join_plan(overlap: DataFrame, joins: DataFrame, limit: int | None = None) -> DataFrame:
+    """The pairs of tables, the first `limit` by overlap if given, their candidate keys, and the risk
+    of joining on them."""
+    leading = overlap
+    if limit is not None:
+        leading = overlap.orderBy(F.desc("overlap_pct"), "left_no", "right_no").limit(limit)
     return _with_keys(leading, joins).selectExpr(
         "left_no", "right_no", "left", "right", "shared_columns", "candidate_keys", "overlap_pct",
         "CASE WHEN size(candidate_keys) > 0 THEN 'medium' WHEN shared > 0 THEN 'high' "

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tableprobe.dataset import REAL, ColumnRef, Dataset
 from tableprobe.functions.sql import finite, literal, records
-from tableprobe.operators.frequency import DISPLAY, ranked_values
+from tableprobe.operators.frequency import DISPLAY, Texts, ranked_values
 
 BINS = 12
 
@@ -39,21 +39,22 @@ def categorical_columns(facts: DataFrame) -> DataFrame:
 
 
 def categorical_stats(
-    facts: DataFrame, frequencies: DataFrame, top: int = 10, samples: int = 5
+    facts: DataFrame, frequencies: DataFrame, texts: Texts, top: int | None = 10,
+    samples: int | None = 5,
 ) -> DataFrame:
     """dataset, column, unique figures, and ranked values; part says top or sample."""
     chosen = F.broadcast(categorical_columns(facts).select(
         "cid", "dataset", "ordinal", "column", "unique_count", "unique_rate"))
     own = frequencies.join(chosen, "cid")
-    parts = ranked_values(own, top).selectExpr("*", "'top' AS part").union(
-        ranked_values(own, samples, by_count=False).selectExpr("*", "'sample' AS part"))
+    parts = ranked_values(own, texts, top).selectExpr("*", "'top' AS part").union(
+        ranked_values(own, texts, samples, by_count=False).selectExpr("*", "'sample' AS part"))
     return parts.selectExpr(
         "dataset", "ordinal", "column", "unique_count", "unique_rate", "part", "rank",
         f"{DISPLAY} AS value", "cnt",
     )
 
 
-def correlations(datasets: list[Dataset], refs: list[ColumnRef], limit: int = 10) -> DataFrame:
+def correlations(datasets: list[Dataset], refs: list[ColumnRef], limit: int | None = None) -> DataFrame:
     """dataset, x, y, r: full matrix over the first numeric columns, pairwise complete.
 
     Pairs of columns become rows that are aggregated by pair, so the code to generate does not
@@ -98,7 +99,7 @@ def correlations(datasets: list[Dataset], refs: list[ColumnRef], limit: int = 10
 
 
 def histograms(
-    metrics: DataFrame, ranged: DataFrame, limit: int | None = 3, bins: int = BINS
+    metrics: DataFrame, ranged: DataFrame, limit: int | None = None, bins: int = BINS
 ) -> DataFrame:
     """dataset, column, bin, bin_start, bin_end, cnt over the finite numbers; empty bins kept.
 

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from tableprobe.functions.sql import contains_any, one_of, percent, share
 from tableprobe.functions.wordlists import STRONG_TARGET_NAMES, TARGET_HINTS
-from tableprobe.operators.frequency import DISPLAY, ranked_values
+from tableprobe.operators.frequency import DISPLAY
 
 THRESHOLD = 2.5
-CLASSES = 30
 CANDIDATES = 5
 
 CANDIDATE_SCORE = f"""
@@ -54,16 +53,18 @@ def chosen_columns(facts: DataFrame) -> DataFrame:
     return target_candidates(facts).where(f"rank = 1 AND score >= {THRESHOLD}")
 
 
-def class_counts(chosen: DataFrame, frequencies: DataFrame, limit: int = CLASSES) -> DataFrame:
-    """The most frequent values of the target columns; one target per dataset at most."""
-    own = frequencies.join(F.broadcast(chosen.select("cid")), "cid", "left_semi")
-    return ranked_values(own, limit)
+def class_counts(chosen: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """cid, cnt of every class of the target columns; one target per dataset at most."""
+    return frequencies.join(F.broadcast(chosen.select("cid")), "cid", "left_semi")
 
 
-def targets(facts: DataFrame, chosen: DataFrame, classes: DataFrame) -> DataFrame:
+def class_balance(classes: DataFrame) -> DataFrame:
+    """cid, and the counts of its most and least frequent class."""
+    return classes.groupBy("cid").agg(F.expr("max(cnt) AS most"), F.expr("min(cnt) AS least"))
+
+
+def targets(facts: DataFrame, chosen: DataFrame, balance: DataFrame) -> DataFrame:
     """One row per dataset: the target, its problem type and the balance of its classes."""
-    balance = classes.groupBy("cid").agg(
-        F.expr("max(cnt) AS most"), F.expr("min(cnt) AS least"))
     described = chosen.join(balance, "cid", "left").selectExpr(
         "dataset_no", "column", "score", f"{PROBLEM_TYPE} AS problem_type",
         f"{percent('coalesce(most, 0)', 'greatest(non_null, 1)')} AS majority_class_pct",
@@ -79,7 +80,7 @@ def targets(facts: DataFrame, chosen: DataFrame, classes: DataFrame) -> DataFram
     )
 
 
-def class_distribution(classes: DataFrame, facts: DataFrame) -> DataFrame:
+def class_distribution(ranked: DataFrame, facts: DataFrame) -> DataFrame:
     names = F.broadcast(facts.select("cid", "dataset", "column"))
-    return classes.join(names, "cid").selectExpr(
+    return ranked.join(names, "cid").selectExpr(
         "dataset", "column", "rank", f"{DISPLAY} AS value", "cnt")

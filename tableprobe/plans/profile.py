@@ -149,17 +149,19 @@ class Profile:
             return schema.dataset_summary(self.facts, self.duplicates, self.empty_rows)
         return self.stage.small("summary", build)
 
-    def top_values(self, limit: int = 5, whole_texts: bool = False) -> DataFrame:
-        """Most frequent values per column; long texts as keys unless asked for whole."""
-        ranked = frequency.ranked_values(self.value_freq, limit)
-        if whole_texts:
-            ranked = frequency.with_whole_texts(ranked, self.datasets, self.refs)
-        return statistics.described(ranked, self.metrics)
+    @cached_property
+    def _texts(self) -> frequency.Texts:
+        return frequency.Texts(self.datasets, self.refs)
+
+    def top_values(self, limit: int | None = 5) -> DataFrame:
+        """Most frequent values per column, all for None."""
+        return statistics.described(
+            frequency.ranked_values(self.value_freq, self._texts, limit), self.metrics)
 
-    def sample_values(self, limit: int = 5) -> DataFrame:
-        """The first distinct values in value order."""
-        ranked = frequency.ranked_values(self.value_freq, limit, by_count=False)
-        return statistics.described(ranked, self.metrics)
+    def sample_values(self, limit: int | None = 5) -> DataFrame:
+        """The first distinct values in value order, all for None."""
+        return statistics.described(
+            frequency.ranked_values(self.value_freq, self._texts, limit, by_count=False), self.metrics)
 
     @cached_property
     def numeric_stats(self) -> DataFrame:
@@ -167,12 +169,12 @@ class Profile:
 
     @cached_property
     def categorical_stats(self) -> DataFrame:
-        return statistics.categorical_stats(self.facts, self.value_freq)
+        return statistics.categorical_stats(self.facts, self.value_freq, self._texts)
 
-    def correlations(self, limit: int = 10) -> DataFrame:
+    def correlations(self, limit: int | None = None) -> DataFrame:
         return statistics.correlations(self.datasets, self.refs, limit)
 
-    def histograms(self, limit: int | None = 3) -> DataFrame:
+    def histograms(self, limit: int | None = None) -> DataFrame:
         return statistics.histograms(self.metrics, self.numbers, limit)
 
     # Problems.
@@ -202,18 +204,20 @@ class Profile:
         return target.top_candidates(self.facts)
 
     @property
-    def _target_classes(self) -> DataFrame:
-        return self.stage.small("classes", lambda: target.class_counts(
-            target.chosen_columns(self.facts), self.value_freq))
+    def _target_balance(self) -> DataFrame:
+        return self.stage.small("balance", lambda: target.class_balance(
+            target.class_counts(target.chosen_columns(self.facts), self.value_freq)))
 
     @property
     def targets(self) -> DataFrame:
         return self.stage.small("targets", lambda: target.targets(
-            self.facts, target.chosen_columns(self.facts), self._target_classes))
+            self.facts, target.chosen_columns(self.facts), self._target_balance))
 
     @cached_property
     def target_distribution(self) -> DataFrame:
-        return target.class_distribution(self._target_classes, self.facts)
+        classes = target.class_counts(target.chosen_columns(self.facts), self.value_freq)
+        return target.class_distribution(
+            frequency.ranked_values(classes, self._texts, None), self.facts)
 
     def _gather(self) -> None:
         """Run what the scores need, with independent jobs side by side."""
@@ -272,7 +276,7 @@ class Profile:
 
     @cached_property
     def data_dictionary(self) -> DataFrame:
-        samples = frequency.ranked_values(self.value_freq, 5, by_count=False)
+        samples = frequency.ranked_values(self.value_freq, self._texts, 5, by_count=False)
         return actions.data_dictionary(self.marked, self.column_actions, samples)
 
     # Advice.
@@ -297,23 +301,23 @@ class Profile:
 
     # Chart tables.
 
-    def chart_nulls(self) -> DataFrame:
-        return chartdata.nulls_by_column(self.facts)
+    def chart_nulls(self, limit: int | None = None) -> DataFrame:
+        return chartdata.nulls_by_column(self.facts, limit)
 
-    def chart_problems(self) -> DataFrame:
-        return chartdata.problems_by_column(self.problems)
+    def chart_problems(self, limit: int | None = None) -> DataFrame:
+        return chartdata.problems_by_column(self.problems, limit)
 
     def chart_outliers(self) -> DataFrame:
         return chartdata.outliers_by_column(self.quality)
 
-    def chart_categories(self) -> DataFrame:
-        return chartdata.categories(self.facts, self.value_freq)
+    def chart_categories(self, columns: int | None = None, top: int | None = 10) -> DataFrame:
+        return chartdata.categories(self.facts, self.value_freq, self._texts, columns, top)
 
     def chart_datasets(self) -> DataFrame:
         return chartdata.datasets(self.summary, self.problems)
 
-    def chart_shared(self) -> DataFrame:
-        return chartdata.shared_columns(self.common_columns)
+    def chart_shared(self, limit: int | None = None) -> DataFrame:
+        return chartdata.shared_columns(self.common_columns, limit)
 
     # Several tables.
 

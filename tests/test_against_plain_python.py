@@ -95,7 +95,7 @@ def test_text_counts(profile, table):
 
 
 def test_top_values(profile, table):
-    got = [(r.value, r.cnt) for r in profile.top_values(3, whole_texts=True).where("column = 'txt'")
+    got = [(r.value, r.cnt) for r in profile.top_values(3).where("column = 'txt'")
            .orderBy("rank").collect()]
     counts = Counter(column(table, 3))
     assert [n for _, n in got] == [n for _, n in counts.most_common(3)]

@@ -41,11 +41,6 @@ def norm(c: str) -> str:
     return f"regexp_replace(lower({strip(c)}), {WS_RUN}, ' ', 'g')"
 
 
-def key(c: str) -> str:
-    return (f"CASE WHEN length({c}) <= 200 THEN {c} ELSE left({c}, 80) || chr(1) || sha256({c}) "
-            f"|| sha256({norm(c)}) END")
-
-
 IS_NUMBER = (r"(regexp_full_match(s, '[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?') "
              "AND isfinite(try_cast(s AS DOUBLE)))")
 IS_DAY = rf"""(coalesce(
@@ -242,7 +237,7 @@ def class_sql(names) -> str:
                 f"count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, c.\"{column}\") AS rank "
                 f"FROM src_{name} c WHERE (SELECT count(*) FROM picked p WHERE p.dataset_no = {number} "
                 f"AND p.ordinal = {ordinal}) > 0 "
-                f"AND c.\"{column}\" IS NOT NULL GROUP BY c.\"{column}\" QUALIFY rank <= 30"
+                f"AND c.\"{column}\" IS NOT NULL GROUP BY c.\"{column}\""
             )
     return " UNION ALL ".join(parts)
 

@@ -83,15 +83,14 @@ def _(p):
 
 
 def ranked_twin(inputs, limit: int, by_count: bool) -> str:
-    """Ranked values of text and whole-number columns; long texts by their key."""
+    """Ranked values of text and whole-number columns."""
     parts = []
     for name in inputs:
         for ordinal, (column, kind) in enumerate(columns_of(INPUTS[name][1])):
             if kind not in ("string", "int", "bigint"):
                 continue
             c = f'"{column}"'
-            order = oracle.key(c) if kind == "string" else c
-            rank = f"row_number() OVER (ORDER BY {'count(*) DESC, ' if by_count else ''}{order})"
+            rank = f"row_number() OVER (ORDER BY {'count(*) DESC, ' if by_count else ''}{c})"
             parts.append(
                 f"SELECT '{name}' AS dataset, {ordinal} AS ordinal, '{column}' AS \"column\", "
                 f"{rank} AS rank, {c}::VARCHAR AS value, count(*) AS cnt FROM ({INPUTS[name][0]}) "
@@ -111,16 +110,16 @@ def of_exact_text(p: Profile, df: DataFrame) -> DataFrame:
 @table_query("top_values", ranked_twin(RANKED, 5, True))
 def _(spark, folder):
     p = Profile([dataset(spark, folder, i) for i in RANKED])
-    return of_exact_text(p, p.top_values(5, whole_texts=True))
+    return of_exact_text(p, p.top_values(5))
 
 
-@table_query("sample_values", ranked_twin(("dirty", "customer", "orders"), 5, False))
+@table_query("sample_values", ranked_twin(RANKED, 5, False))
 def _(spark, folder):
-    p = Profile([dataset(spark, folder, i) for i in ("dirty", "customer", "orders")])
+    p = Profile([dataset(spark, folder, i) for i in RANKED])
     return of_exact_text(p, p.sample_values(5))
 
 
-CATEGORICAL = ("dirty", "customer")
+CATEGORICAL = ("dirty", "customer", "documents", "conversations")
 CATEGORICAL_TWIN = oracle.over(CATEGORICAL, f"""
 SELECT v.dataset, v.ordinal, v."column", p.unique_count, p.unique_rate, v.part, v.rank, v.value, v.cnt
 FROM (SELECT *, 'top' AS part FROM ({ranked_twin(CATEGORICAL, 10, True)})
@@ -327,7 +326,7 @@ CORRELATED = ("lineitem", "events", "part")
 def correlation_twin() -> str:
     parts = []
     for name in CORRELATED:
-        numbers = [(o, c) for o, (c, k) in enumerate(columns_of(INPUTS[name][1])) if k in oracle.NUMBERS][:10]
+        numbers = [(o, c) for o, (c, k) in enumerate(columns_of(INPUTS[name][1])) if k in oracle.NUMBERS]
         parts += [
             f"SELECT '{name}' AS dataset, {xo} AS x_ordinal, '{x}' AS x, {yo} AS y_ordinal, '{y}' AS y, "
             f"round(coalesce(CASE WHEN isnan(corr({x}, {y})) THEN 0 ELSE corr({x}, {y}) END, 0), 4) + 0 AS r "
@@ -346,7 +345,7 @@ BINNED = ("lineitem", "events", "customer")
 def histogram_twin() -> str:
     parts = []
     for name in BINNED:
-        numbers = [(o, c) for o, (c, k) in enumerate(columns_of(INPUTS[name][1])) if k in oracle.NUMBERS][:3]
+        numbers = [(o, c) for o, (c, k) in enumerate(columns_of(INPUTS[name][1])) if k in oracle.NUMBERS]
         for ordinal, c in numbers:
             parts.append(f"""
 SELECT '{name}' AS dataset, {ordinal} AS ordinal, '{c}' AS "column", b.bin::INT AS bin,
@@ -366,14 +365,14 @@ def _(p):
 
 @profile_query("chart_nulls", SOME, """
 SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY null_pct DESC, ordinal) AS rank,
-  "column", null_pct FROM profile QUALIFY rank <= 20""")
+  "column", null_pct FROM profile""")
 def _(p):
     return p.chart_nulls()
 
 
 @profile_query("chart_problems", SOME, """
 SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY count(*) DESC, ordinal) AS rank,
-  "column", count(*) AS problems FROM problems GROUP BY dataset, ordinal, "column" QUALIFY rank <= 15""")
+  "column", count(*) AS problems FROM problems GROUP BY dataset, ordinal, "column" """)
 def _(p):
     return p.chart_problems()
 
@@ -389,13 +388,10 @@ def _(p):
 SELECT v.dataset, v.ordinal, v."column", v.rank, v.value, v.cnt
 FROM ({ranked_twin(("dirty", "customer", "documents"), 10, True)}) v
 JOIN (SELECT dataset, ordinal FROM profile WHERE grp = 'text'
-      AND semantic_type IN ('categorical', 'boolean', 'text', 'long_text')
-      QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY ordinal) <= 3) p
-  ON p.dataset = v.dataset AND p.ordinal = v.ordinal
-WHERE v.dataset <> 'documents' OR v."column" <> 'text'""")
+      AND semantic_type IN ('categorical', 'boolean', 'text', 'long_text')) p
+  ON p.dataset = v.dataset AND p.ordinal = v.ordinal""")
 def _(p):
-    # The long texts are compared whole in top_values.
-    return p.chart_categories().where("dataset != 'documents' OR column != 'text'")
+    return p.chart_categories()
 
 
 @profile_query("chart_outliers", ("dirty", "part", "orders"), """
@@ -411,7 +407,7 @@ def _(p):
     return p.chart_datasets()
 
 
-@profile_query("chart_shared", ALL, "SELECT name, refs FROM common ORDER BY name LIMIT 20")
+@profile_query("chart_shared", ALL, "SELECT name, refs FROM common")
 def _(p):
     return p.chart_shared()
 
@@ -587,7 +583,7 @@ def _(p):
 SELECT "left", "right", array_to_string(shared_columns, ',') AS shared_columns,
   array_to_string(candidate_keys, ',') AS candidate_keys, overlap_pct,
   CASE WHEN len(candidate_keys) > 0 THEN 'medium' WHEN shared > 0 THEN 'high' ELSE 'low' END AS risk
-FROM pair_keys ORDER BY overlap_pct DESC, left_no, right_no LIMIT 12""")
+FROM pair_keys""")
 def _(p):
     return p.join_plan.selectExpr(
         "left", "right", joined("shared_columns"), joined("candidate_keys"), "overlap_pct", "risk")
