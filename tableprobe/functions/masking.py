@@ -91,11 +91,37 @@ def mask_expression(name_sql: str, data_type: T.DataType, secret: bool = False)
     if isinstance(data_type, T.ArrayType) and _nested(data_type.elementType):
         inner = mask_expression("item", data_type.elementType)
         return f"transform({name_sql}, item -> {inner})"
-    if isinstance(data_type, T.MapType) and isinstance(data_type.valueType, T.StringType):
-        return mask_map(name_sql)
+    if isinstance(data_type, T.MapType) and isinstance(data_type.keyType, T.StringType):
+        if isinstance(data_type.valueType, T.StringType):
+            return mask_map(name_sql)
+        return _masked_map(name_sql, data_type.valueType)
     return name_sql
 
 
+def _masked_map(c: str, value_type: T.DataType) -> str:
+    """A map of any values: those of secret keys become null, the others are masked inside.
+
+    The masked form of a secret is a text, which the map's values are not, so none is shown.
+    """
+    inner = mask_expression("v", value_type)
+    if isinstance(value_type, T.StructType):
+        inner = f"CAST({inner} AS {_all_texts(value_type).simpleString()})"
+    return f"transform_values({c}, (k, v) -> CASE WHEN {is_secret_key('k')} THEN NULL ELSE {inner} END)"
+
+
+def _all_texts(data_type: T.DataType) -> T.DataType:
+    """The type of a masked value: secret fields are texts."""
+    if isinstance(data_type, T.StructType):
+        return T.StructType([
+            T.StructField(f.name, T.StringType() if is_secret_name(f.name) else _all_texts(f.dataType))
+            for f in data_type.fields])
+    if isinstance(data_type, T.ArrayType):
+        return T.ArrayType(_all_texts(data_type.elementType))
+    if isinstance(data_type, T.MapType):
+        return T.MapType(data_type.keyType, _all_texts(data_type.valueType))
+    return data_type
+
+
 def _nested(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.StructType, T.ArrayType, T.MapType))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import re
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +19,7 @@ from tableprobe.sources.records import extract_records, flatten
 EXTENSIONS = (".csv", ".json", ".parquet")
 SAMPLE_LINES = 20
 INFERENCE_ROWS = 1000
-CORRUPT = "__unread"
+BEYOND = "__beyond"
 
 
 def is_utf8(spark: SparkSession, path: str) -> bool:
@@ -29,23 +32,58 @@ def is_utf8(spark: SparkSession, path: str) -> bool:
     return lines.where("NOT is_valid_utf8(value)").limit(1).count() == 0
 
 
-def detect_separator(spark: SparkSession, path: str) -> str:
-    """The most frequent candidate in the first lines; ties go to the earlier candidate."""
-    lines = spark.read.text(path).limit(SAMPLE_LINES)
-    counts = lines.agg(*[
-        F.expr(f"sum(length(value) - length(replace(value, {literal(s)}, '')))").alias(str(i))
-        for i, s in enumerate(SEPARATORS)
-    ]).first()
-    return max(SEPARATORS, key=lambda s: counts[str(SEPARATORS.index(s))] or 0)
+def detect_separator(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
+    """The separator of the first lines: one found equally often in each of them, else the most
+    frequent; ties go to the earlier candidate. What stands in quotes does not count."""
+    lines = [
+        re.sub(r'"[^"]*"?', "", r["value"])
+        for r in _lines(spark, path, encoding).limit(SAMPLE_LINES).collect()
+    ]
+    counts = {s: [line.count(s) for line in lines if line] for s in SEPARATORS}
+    return max(SEPARATORS, key=lambda s: (
+        bool(counts[s]) and min(counts[s]) == max(counts[s]) > 0, sum(counts[s])))
 
 
-def _head_schema(spark: SparkSession, path: str, options: dict) -> T.StructType:
-    """Schema inferred from the first rows, a bounded sample that is parsed as a table of its own."""
-    lines = [r["value"] for r in spark.read.text(path).limit(INFERENCE_ROWS + 1).collect()]
-    return (
-        spark.read.options(**options).option("inferSchema", True)
-        .csv(spark.sparkContext.parallelize(lines, 1)).schema
+def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    lines = spark.read.text(path)
+    # The reader keeps the bytes; only other encodings need a translation.
+    return lines if encoding == "UTF-8" else lines.select(
+        F.decode(F.col("value").cast("binary"), encoding).alias("value"))
+
+
+def breaks_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a line has an odd number of quotes, so that a cell may go on in the next line."""
+    quotes = "length(value) - length(replace(value, '\"', ''))"
+    return spark.read.text(path).where(f"({quotes}) % 2 = 1").limit(1).count() > 0
+
+
+def _names(header: list[str | None]) -> list[str]:
+    """Column names of a header; a repeated name gets a number."""
+    names: list[str] = []
+    for place, name in enumerate(header):
+        name = name or f"_c{place}"
+        number, new = 1, name
+        while new in names:
+            number += 1
+            new = f"{name}_{number}"
+        names.append(new)
+    return names
+
+
+def _head_schema(spark: SparkSession, raw: DataFrame) -> T.StructType:
+    """Types inferred from the first rows, a bounded sample that is parsed as a table of its own."""
+    out = []
+    for row in raw.limit(INFERENCE_ROWS).collect():
+        line = io.StringIO()
+        csv.writer(line, quoting=csv.QUOTE_ALL, lineterminator="").writerow(
+            ["" if v is None else v for v in row])
+        out.append(line.getvalue())
+    found = (
+        spark.read.option("inferSchema", True).option("escape", '"').option("multiLine", True)
+        .csv(spark.sparkContext.parallelize(out, 1)) if out else raw
     )
+    return T.StructType([
+        T.StructField(name, f.dataType) for name, f in zip(raw.columns, found.schema.fields, strict=True)])
 
 
 def read_csv(
@@ -55,39 +93,78 @@ def read_csv(
 
     Types come from the first rows. If a later value breaks them, the whole file is read as
     texts, nothing turned to null and blanks kept as ''. With fallback="column" only the columns
-    that break become texts.
+    that break become texts. Doubled quotes stand for one; if a line has an odd number of quotes,
+    cells may hold line breaks, and each file is read by one task. A row with more cells than the
+    header has is an error, as no table could hold it; missing cells are null.
     """
     encoding = "UTF-8" if is_utf8(spark, path) else "ISO-8859-1"
-    separator = separator or detect_separator(spark, path)
-    options = {"header": True, "sep": separator, "encoding": encoding}
-    metadata = {"encoding": encoding, "separator": separator, "csv_fallback": False}
-
-    schema = _head_schema(spark, path, options)
-    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    separator = separator or detect_separator(spark, path, encoding)
+    multiline = breaks_lines(spark, path)
+    options = {"header": True, "sep": separator, "encoding": encoding, "escape": '"',
+               "multiLine": multiline, "enforceSchema": True}
+    metadata = {"encoding": encoding, "separator": separator, "multi_line": multiline,
+                "csv_fallback": False}
+
+    first = spark.read.options(**options | {"header": False}).csv(path).first()
+    texts = T.StructType([
+        T.StructField(name, T.StringType()) for name in _names(list(first or ()))])
     raw = spark.read.options(**options).schema(texts).csv(path)
+    more = T.StructType([*texts.fields, T.StructField(BEYOND, T.StringType())])
+    beyond = spark.read.options(**options).schema(more).csv(path).where(f"{BEYOND} IS NOT NULL").count()
+    if beyond:
+        raise ValueError(f"{beyond} rows of {path} have more cells than the header")
+
+    schema = _head_schema(spark, raw)
     typed = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
-    strict = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    read = (
-        spark.read.options(**options).schema(strict)
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
-    )
-    if typed:
-        # All columns are parsed for the check, since a value is judged only when it is read.
-        unread = read.agg(F.expr(f"count({CORRUPT})").alias("unread"), *[
-            F.count(F.col(quote(f.name))).alias(f"c{i}") for i, f in enumerate(schema.fields)
-        ]).first()["unread"]
-        if unread and fallback == "column":
-            inferred = spark.read.options(**options).option("inferSchema", True).csv(path)
-            return inferred, metadata | {"csv_fallback": True, "csv_fallback_reason": "column"}
-        if unread:
-            return raw.fillna(""), metadata | {
-                "csv_fallback": True, "csv_fallback_reason": "value outside the inferred type"}
-    return read.drop(CORRUPT), metadata
+    strict = spark.read.options(**options).schema(schema).csv(path)
+    if not typed:
+        return strict, metadata
+    # A value is broken where the text is there and the typed value is not.
+    wanted = raw.agg(*[F.count(F.col(quote(f.name))).alias(f"c{i}") for i, f in enumerate(schema.fields)]).first()
+    read = strict.agg(*[F.count(F.col(quote(f.name))).alias(f"c{i}") for i, f in enumerate(schema.fields)]).first()
+    broken = {f.name for i, f in enumerate(schema.fields) if read[i] != wanted[i]}
+    if not broken:
+        return strict, metadata
+    if fallback == "column":
+        mixed = T.StructType([
+            T.StructField(f.name, T.StringType()) if f.name in broken else f for f in schema.fields])
+        return spark.read.options(**options).schema(mixed).csv(path), metadata | {
+            "csv_fallback": True, "csv_fallback_reason": "column"}
+    return raw.fillna(""), metadata | {
+        "csv_fallback": True, "csv_fallback_reason": "value outside the inferred type"}
+
+
+def _documents(texts):
+    """Names of files that are not one JSON document."""
+    import json
+
+    import pyarrow as pa
+
+    for batch in texts:
+        bad = []
+        for name, body in zip(batch["name"].to_pylist(), batch["value"].to_pylist(), strict=True):
+            try:
+                json.loads(body)
+            except ValueError:
+                bad.append(name)
+        yield pa.record_batch([pa.array(bad, pa.string())], ["name"])
 
 
 def read_json(spark: SparkSession, path: str, data_path: str | None = None) -> DataFrame:
-    """Records of whole-file JSON documents, flattened."""
-    return flatten(extract_records(spark.read.option("multiLine", True).json(path), data_path))
+    """Records of JSON files, flattened.
+
+    If each line is a whole value, each is a document; else each file must be one document, read
+    by one task, and a file that is not raises an error.
+    """
+    documents = spark.read.json(path)
+    if "_corrupt_record" in documents.columns:
+        whole = spark.read.option("wholetext", True).text(path)
+        named = whole.select(F.col("_metadata.file_name").alias("name"), "value")
+        bad = [r["name"] for r in named.mapInArrow(_documents, "name string").limit(5).collect()]
+        if bad:
+            raise ValueError(f"not one JSON document each, nor one a line: {', '.join(bad)}")
+        documents = spark.read.option("multiLine", True).json(path)
+    return flatten(extract_records(documents, data_path))
 
 
 def load_file(spark: SparkSession, path: str, data_path: str | None = None) -> Dataset:

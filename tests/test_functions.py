@@ -88,3 +88,12 @@ def test_mask_columns(spark):
     assert r.api_key == "ab***jk" and r.headers.Authorization == "Be***wv" and r.headers.plain == "ok"
     assert r.headers.deep[0].token == "tt***tt" and r.headers.deep[0].n == 1
     assert r.m == {"my-secret": "ss***ss", "x": "y"} and r.n == 5
+
+
+def test_maps_of_any_values_are_masked(spark):
+    df = spark.sql("""SELECT map('password', array('verysecretvalue'), 'b', array('x')) AS lists,
+        map('token', 123456789012, 'n', 5) AS numbers,
+        map('inner', named_struct('api_key', 'abcdefghijkl', 'v', 1)) AS structs""")
+    row = masking.mask_columns(df).first()
+    assert row["lists"] == {"password": None, "b": ["x"]} and row["numbers"] == {"token": None, "n": 5}
+    assert row["structs"]["inner"]["v"] == 1 and "cdefgh" not in row["structs"]["inner"]["api_key"]

@@ -170,3 +170,33 @@ def test_store(spark, tmp_path):
     assert store.read("..", "summary") is None and store.read("0" * 12, "summary") is None
     assert store.read(first, "nothing") is None and store.report("0" * 12) is None
     assert set(store.report(first)) >= {"summary", "problems", "recommendation"}
+
+
+@pytest.mark.parametrize(("body", "columns", "expected"), [
+    ('id,t\n1,"line one\nline two"\n2,b\n', ["id", "t"], [(1, "line one\nline two"), (2, "b")]),
+    ('id,t\n1,"he said ""hi"", ok"\n', ["id", "t"], [(1, 'he said "hi", ok')]),
+    ('id;t\n1;"a,b,c,d"\n', ["id", "t"], [(1, "a,b,c,d")]),
+    ("a,a,b\nx,y,z\n", ["a", "a_2", "b"], [("x", "y", "z")]),
+    ("id,v,w\n1,x\n2,y,z\n", ["id", "v", "w"], [(1, "x", None), (2, "y", "z")]),
+])
+def test_csv_cells(spark, tmp_path, body, columns, expected):
+    df, _ = files.read_csv(spark, write(tmp_path, "q.csv", body))
+    assert df.columns == columns
+    assert sorted(map(tuple, df.collect())) == expected
+
+
+def test_csv_rows_beyond_the_header(spark, tmp_path):
+    with pytest.raises(ValueError, match="1 rows"):
+        files.read_csv(spark, write(tmp_path, "x.csv", "id,v\n1,a\n3,4,5\n"))
+
+
+def test_csv_latin_header(spark, tmp_path):
+    df, meta = files.read_csv(spark, write(tmp_path, "h.csv", "código,x\n1,á\n", encoding="latin-1"))
+    assert df.columns == ["código", "x"] and df.first()["x"] == "á" and meta["encoding"] == "ISO-8859-1"
+
+
+def test_json_lines(spark, tmp_path):
+    df = files.read_json(spark, write(tmp_path, "l.json", '{"a":1}\n{"a":2}\n{"a":3}\n'))
+    assert sorted(r["a"] for r in df.collect()) == [1, 2, 3]
+    with pytest.raises(ValueError, match="two.json"):
+        files.read_json(spark, write(tmp_path, "two.json", '{\n"a":1}\n{\n"a":2}\n'))
