@@ -23,6 +23,11 @@ def named_columns(flagged: DataFrame) -> DataFrame:
     )
 
 
+def normalised_names(columns: DataFrame) -> DataFrame:
+    """dataset_no, dataset, name of columns."""
+    return columns.selectExpr("dataset_no", "dataset", f"lower({strip('column')}) AS name")
+
+
 def common_columns(named: DataFrame) -> DataFrame:
     """name, refs, has_key and the columns themselves, for names that occur more than once."""
     ref = ("struct(dataset_no, ordinal, dataset, column, semantic_type, unique_rate, "

@@ -321,6 +321,14 @@ class Profile:
 
     # Several tables.
 
+    @property
+    def column_names(self) -> DataFrame:
+        """Normalised names as the schemas hold them; no table is read for them."""
+        return self.stage.small("column_names", lambda: relations.normalised_names(
+            self.spark.createDataFrame(
+                [(r.dataset_no, r.dataset, r.name) for r in self.refs],
+                "dataset_no int, dataset string, column string")))
+
     @property
     def named(self) -> DataFrame:
         return self.stage.small("named", lambda: relations.named_columns(self.key_flags))
@@ -340,11 +348,11 @@ class Profile:
 
     @cached_property
     def schema_overlap(self) -> DataFrame:
-        return relations.schema_overlap(self.named)
+        return relations.schema_overlap(self.column_names)
 
     @cached_property
     def compatible_groups(self) -> DataFrame:
-        return relations.compatible_groups(self.named)
+        return relations.compatible_groups(self.column_names)
 
     @cached_property
     def relation_counts(self) -> DataFrame:

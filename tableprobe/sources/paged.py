@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tableprobe.dataset import Dataset
+from tableprobe.functions.masking import redact_text, redact_url
+from tableprobe.functions.sql import literal
 from tableprobe.functions.wordlists import RECORD_PATHS
 from tableprobe.sources.records import flatten
 from tableprobe.staging import Stage
@@ -170,7 +172,12 @@ def load_pages(
     path = f"{Stage(spark).path}/records"
     read_pages(spark, url, fetch, paging, data_path).select("record").write.text(path)
     df = flatten(spark.read.json(path))
-    return Dataset(url, df, {"type": "api", "url": url}, {"data_path": data_path})
+    # Name and source appear in every section, so keys and passwords in the address do not.
+    shown = spark.range(1).selectExpr(
+        f"{redact_text(redact_url(literal(url)))} AS url").first()["url"]
+    loaded = spark.read.text(path).count()
+    return Dataset(shown, df, {"type": "api", "url": shown},
+                   {"data_path": data_path, "records_loaded": loaded})
 
 
 def preview(

@@ -8,6 +8,7 @@ pruning and row-group statistics. It lies below the folder that the session name
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
@@ -39,27 +40,35 @@ class Stage:
         self.spark = spark
         self.path = f"{checkpoint_root(spark).rstrip('/')}/tableprobe/{uuid.uuid4().hex}"
         self._tables: dict[str, DataFrame] = {}
+        self._guard = threading.Lock()
+        self._locks: dict[str, threading.RLock] = {}
+
+    def _lock(self, name: str) -> threading.RLock:
+        with self._guard:
+            return self._locks.setdefault(name, threading.RLock())
 
     def __contains__(self, name: str) -> bool:
         return name in self._tables
 
     def table(self, name: str, build) -> DataFrame:
         """The staged table of this name, built and written on first use."""
-        if name not in self._tables:
-            df = build()
-            path = f"{self.path}/{name}"
-            df.write.mode("error").parquet(path)
-            self._tables[name] = self.spark.read.schema(df.schema).parquet(path)
-        return self._tables[name]
+        with self._lock(name):  # one of several threads builds it
+            if name not in self._tables:
+                df = build()
+                path = f"{self.path}/{name}"
+                df.write.mode("error").parquet(path)
+                self._tables[name] = self.spark.read.schema(df.schema).parquet(path)
+            return self._tables[name]
 
     def small(self, name: str, build) -> DataFrame:
         """A table of about one row per column or dataset, kept as a local relation.
 
         Its size follows from the schemas and the number of partitions, never from the data.
         """
-        if name not in self._tables:
-            self._tables[name] = self.spark.createDataFrame(build().toArrow())
-        return self._tables[name]
+        with self._lock(name):
+            if name not in self._tables:
+                self._tables[name] = self.spark.createDataFrame(build().toArrow())
+            return self._tables[name]
 
     def together(self, *makers) -> None:
         """Run independent jobs concurrently, so that one fills the gaps of another."""

@@ -200,3 +200,10 @@ def test_json_lines(spark, tmp_path):
     assert sorted(r["a"] for r in df.collect()) == [1, 2, 3]
     with pytest.raises(ValueError, match="two.json"):
         files.read_json(spark, write(tmp_path, "two.json", '{\n"a":1}\n{\n"a":2}\n'))
+
+
+def test_paged_address_is_masked(spark):
+    d = paged.load_pages(spark, "https://u:pw12345678@host/x?api_key=abcdefghijkl&n=1", lambda url, params: {"data": [{"a": 1}, {"a": 2}]})
+    assert d.metadata["records_loaded"] == 2
+    for shown in (d.name, d.source["url"]):
+        assert "abcdefghijkl" not in shown and "pw12345678" not in shown and "host" in shown

@@ -30,3 +30,17 @@ def test_tables_are_written_once(spark):
     assert stage.table("t", lambda: spark.range(9)).count() == 5 and "t" in stage
     assert first.inputFiles()[0].endswith(".parquet")
     assert stage.small("s", lambda: spark.range(3)).count() == 3
+
+
+def test_threads_share_one_build(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    stage, built = staging.Stage(spark), []
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+
+    with ThreadPoolExecutor(4) as pool:
+        tables = [f.result() for f in [pool.submit(stage.table, "t", build) for _ in range(4)]]
+    assert len(built) == 1 and all(t.count() == 3 for t in tables)
