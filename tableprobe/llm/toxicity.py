@@ -116,7 +116,26 @@ class Lexicon:
     def __post_init__(self):
         self.words = {t for t in self.weights if not t.endswith("*")}
         self.stems = {t[:-1] for t in self.weights if t.endswith("*")}
-        self.trie = Trie([t for t in self.words if len(t) >= FUZZY])
+        fuzzy = [t for t in self.words if len(t) >= FUZZY]
+        self.trie = Trie(fuzzy)
+        # Starts and ends of which one is unchanged in a misspelling, with the lengths this can have.
+        self.parts: dict = {}
+        for t in fuzzy:
+            for part, k in ((t[:len(t) // 2], len(t) // 2), (t[len(t) // 2:], len(t) // 2 - len(t))):
+                self.parts.setdefault(k, set()).update(f"{part} {n}" for n in range(len(t) - 1, len(t) + 2))
+
+    def maybe(self, words: pa.Array) -> np.ndarray:
+        """Whether a plain word may hit a term: false only where `hit` finds none."""
+        found = pc.is_in(words, value_set=pa.array(sorted(self.words), words.type))
+        for k in sorted({len(s) for s in self.stems}):
+            own = pa.array(sorted(s for s in self.stems if len(s) == k), words.type)
+            found = pc.or_(found, pc.is_in(pc.utf8_slice_codeunits(words, 0, k), value_set=own))
+        size = pc.utf8_length(words).cast(words.type)
+        for k, parts in sorted(self.parts.items()):
+            part = pc.utf8_slice_codeunits(words, 0, k) if k > 0 else pc.utf8_slice_codeunits(words, k)
+            found = pc.or_(found, pc.is_in(pc.binary_join_element_wise(part, size, pa.scalar(" ", words.type)),
+                                           value_set=pa.array(sorted(parts), words.type)))
+        return found.to_numpy(zero_copy_only=False)
 
     def hit(self, word: str) -> tuple[str, bool] | None:
         """The term that a plain word hits, and whether it is misspelled."""
@@ -141,26 +160,29 @@ def measure(texts: pa.Array, lexicon: Lexicon, halves: np.ndarray | None = None,
     then taken from the other half."""
     words, counts = white_words(texts)
     coded = pc.dictionary_encode(words)
-    kinds, codes, doc = coded.dictionary.to_pylist(), coded.indices.to_numpy(), owners(counts)
+    kinds, codes, doc = coded.dictionary, coded.indices.to_numpy(), owners(counts)
+    clean = pc.utf8_trim(pc.utf8_lower(kinds), EDGES)
     known = {} if known is None else known
     if len(known) > 300_000:
         known.clear()
-    found = []
-    for w in kinds:
-        if w not in known:
-            p = plain(w)
-            known[w] = lexicon.hit(p) if 3 <= len(p) <= 60 else None
-        found.append(known[w])
-    is_hit = np.array([f is not None for f in found], bool)
+    found: dict = {}
+    for k in np.flatnonzero(lexicon.maybe(clean)).tolist():
+        word = clean[k].as_py()
+        if word not in known:
+            known[word] = lexicon.hit(word) if len(word) >= 3 else None
+        if known[word]:
+            found[k] = known[word]
+    is_hit = np.zeros(max(1, len(kinds)), bool)
+    is_hit[list(found)] = True
     x = np.zeros((len(texts), len(FEATURES)))
     first = np.cumsum(counts) - counts
     seen: list[set] = [set() for _ in range(len(texts))]
     for at in np.flatnonzero(is_hit[codes]) if len(codes) else ():
         d = int(doc[at])
-        term, misspelled = found[codes[at]]
+        term, misspelled = found[int(codes[at])]
         weight = max(0.0, lexicon.weights[term][0 if halves is None else 2 - int(halves[d])])
         low, high = max(first[d], at - CONTEXT), min(first[d] + counts[d], at + CONTEXT + 1)
-        around = [kinds[c] for c in codes[low:high]]
+        around = kinds.take(pa.array(codes[low:high])).to_pylist()
         if enclosed(around, int(at - low)):
             x[d, 3] += 1
         elif misspelled:
