@@ -37,7 +37,7 @@ def staged(df: DataFrame) -> DataFrame:
     """The table, written to the shared folder and read back: lineage ends there, and a lost
     executor loses nothing."""
     path = f"{shared_root(df.sparkSession)}/llm/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -115,6 +115,7 @@ def with_next(rows: DataFrame, key: str, tie: str, columns: dict[str, str]) -> D
         F.col(old).alias(new) for new, old in columns.items()])).alias("_first"))
     order = Window.partitionBy("_span").orderBy(F.col(key).asc_nulls_first(), tie)
     inner = placed.select("*", F.lead(F.struct(*[F.col(old).alias(new) for new, old in columns.items()])).over(order).alias("_next"))
-    joined = inner.join(first, F.when(F.col("_next").isNull(), F.col("_span")) == F.col("_before"), "left")
+    # By the range alone, as the rows lie; only a range's last row takes what is joined.
+    joined = inner.join(first, F.col("_span") == F.col("_before"), "left")
     return joined.select(*[F.col(c) for c in rows.columns], *[
         F.coalesce(f"_next.{new}", f"_first.{new}").alias(new) for new in columns])

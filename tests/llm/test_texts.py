@@ -13,7 +13,8 @@ from tableprobe.llm.queries import tokenizer
 
 
 def paragraphs(text):
-    return set(re.findall(f"[^\n]{{1,{fingerprints.PIECE}}}", text))
+    cut = lambda part, size: set(re.findall(f"[^\n]{{1,{size}}}", part))
+    return cut(text[:fingerprints.HEAD], fingerprints.FINE) | cut(text[fingerprints.HEAD:], fingerprints.PIECE)
 
 
 def test_fingerprints(awkward, rows):
