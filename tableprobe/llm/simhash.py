@@ -122,16 +122,18 @@ def links(values: np.ndarray, groups: np.ndarray, sides: np.ndarray, distance: i
         first.append(a[true])
         second.append(b[true])
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, second))
+    # Each node's label is its root. The larger root of a link goes below the smaller, of several below
+    # the least, and a link is done only when its ends have one root.
     label = np.arange(len(values))
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        label = label[label]
-        open_ = label[a] != label[b]
-        a, b = a[open_], b[open_]
-    while (label != label[label]).any():
-        label = label[label]
+    while True:
+        x, y = label[a], label[b]
+        open_ = x != y
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        if not len(a):
+            break
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
     moved = np.flatnonzero(label != np.arange(len(values)))
     return values[moved], values[label[moved]]
 

@@ -104,6 +104,60 @@ def test_links_of_crowded_buckets(spark):
     assert len(pairs) == len(set(label))
 
 
+def roots_of(count, pairs):
+    """For each node the least of its connected group."""
+    label = list(range(count))
+    for _ in range(count):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+PATH = (0, 5, 4, 9, 8, 3, 7, 2, 6, 1)
+
+
+@pytest.mark.parametrize("seed", [None, *range(40)])
+def test_links_keep_each_group_connected(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    count = len(PATH) if seed is None else int(rng.integers(2, 60))
+    pairs = list(zip(PATH, PATH[1:])) if seed is None else [
+        tuple(int(k) for k in rng.choice(count, 2, replace=False)) for _ in range(int(rng.integers(1, count + 1)))]
+    joined = {frozenset(p) for p in pairs}
+    # Values that stand for the nodes; which of them are near is given.
+    values = np.arange(count, dtype=np.uint64)
+    near = np.array([[64 * (frozenset((a, b)) not in joined) for b in range(count)] for a in range(count)])
+
+    class Bits:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def bitwise_count(self, x):
+            return np.zeros(x.shape, np.uint8) if x.ndim == 2 else next(distances)
+
+    def distances_of():
+        for shift in range(1, count):
+            yield near[np.arange(count - shift), np.arange(shift, count)]
+
+    distances = distances_of()
+    monkeypatch.setattr(simhash, "np", Bits())
+    u, v = simhash.links(values, np.zeros(count, int), np.zeros(count, int))
+    assert roots_of(count, zip(u.tolist(), v.tolist(), strict=True)) == roots_of(count, pairs)
+
+
+def test_links_of_chained_fingerprints():
+    # A walk that changes four bits a step: each value is linked to the next, and few others are.
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        walk = [int(rng.integers(0, 2**64, dtype=np.uint64))]
+        for _ in range(80):
+            walk.append(walk[-1] ^ sum(1 << int(b) for b in rng.choice(64, 4, replace=False)))
+        values = np.array(sorted(set(walk)), np.uint64)
+        u, v = simhash.links(values, np.zeros(len(values), int), np.zeros(len(values), int))
+        at = {int(x): k for k, x in enumerate(values)}
+        found = roots_of(len(values), [(at[int(a)], at[int(b)]) for a, b in zip(u, v, strict=True)])
+        assert set(found) == {0}
+
+
 @pytest.mark.parametrize("count", [1, 10**6, 10**9, 10**12])
 def test_blocks_keep_each_link(count):
     blocks = simhash.blocks_for(count)
