@@ -97,8 +97,17 @@ def cells_of(keys: np.ndarray, row: int, cells: int) -> np.ndarray:
     return (mixed(keys * SEEDS[row]) >> np.uint64(64 - (cells.bit_length() - 1))).astype(np.int64)
 
 
-def sketch(documents: DataFrame, window: int, cells: int) -> np.ndarray:
-    """The merged sketch of the table's texts (column `text`): a bit for each counter that is two."""
+def stand_ins(texts: pa.Array, window: int) -> np.ndarray:
+    """Stand-ins of the windows of the texts; of neighbours with the same, one."""
+    own, _, _, _, least, _ = windows(texts, window)
+    new = np.ones(len(least), bool)
+    new[1:] = (least[1:] != least[:-1]) | (own[1:] != own[:-1])
+    return least[new]
+
+
+def sketch(documents: DataFrame, keys_of, cells: int) -> np.ndarray:
+    """The merged sketch of the keys of the table's texts (column `text`), an array of which `keys_of`
+    gives: a bit for each counter that is two."""
     rows_ = ROWS
 
     def blocks(gathered: list) -> pa.RecordBatch:
@@ -116,11 +125,8 @@ def sketch(documents: DataFrame, window: int, cells: int) -> np.ndarray:
     def counted(batches):
         gathered, many = [], 0
         for batch in slices(batches):
-            own, _, _, _, least, _ = windows(utf8(batch["text"]), window)
-            new = np.ones(len(least), bool)
-            new[1:] = (least[1:] != least[:-1]) | (own[1:] != own[:-1])
-            gathered.append(least[new])
-            many += int(new.sum())
+            gathered.append(keys_of(utf8(batch["text"])))
+            many += len(gathered[-1])
             if many > GATHERED:
                 yield blocks(gathered)
                 gathered, many = [], 0
@@ -164,7 +170,7 @@ def repeated(bits: np.ndarray, keys: np.ndarray, cells: int) -> np.ndarray:
 def repeated_windows(documents: DataFrame, window: int = WINDOW, cells: int = CELLS) -> DataFrame:
     """Starts of windows that also start in a document with a smaller id, of a table (doc, mark, text)
     whose ids are not null: doc, mark, and the starts as little-endian 32-bit numbers, in several rows."""
-    shared = documents.sparkSession.sparkContext.broadcast(sketch(documents, window, cells))
+    shared = documents.sparkSession.sparkContext.broadcast(sketch(documents, lambda texts: stand_ins(texts, window), cells))
 
     def candidates(batches):
         for batch in slices(batches):
