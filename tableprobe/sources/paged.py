@@ -1,7 +1,8 @@
 """Paged JSON sources as a Python data source.
 
 The caller supplies the transport, a function from (url, params) to a parsed document. Pages with
-known numbers are fetched by one partition each; chains of links or tokens by a single one.
+known numbers are fetched by one partition each; chains of links or tokens, and numbered pages without
+a `max_pages`, whose end only the pages tell, by a single one, page by page.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from itertools import count
 from typing import Any
 from urllib.parse import urljoin
 
@@ -26,12 +28,13 @@ from tableprobe.staging import Stage
 
 Fetch = Callable[[str, dict], Any]
 MODES = ("none", "page_limit", "offset_limit", "next_url", "next_token")
+NUMBERED = ("page_limit", "offset_limit")
 PREVIEW_ROWS = 5
 
 
 @dataclass(frozen=True)
 class Paging:
-    """How a source is cut into pages."""
+    """How a source is cut into pages; without `max_pages` all of them are read."""
 
     mode: str = "none"
     page_param: str = "page"
@@ -41,13 +44,13 @@ class Paging:
     start_page: int = 1
     start_offset: int = 0
     limit: int = 100
-    max_pages: int = 3
+    max_pages: int | None = None
     next_path: str | None = None
 
     def __post_init__(self):
         if self.mode not in MODES:
             raise ValueError(f"unknown paging mode {self.mode!r}")
-        if not 1 <= self.limit <= 10_000 or not 1 <= self.max_pages <= 50:
+        if not 1 <= self.limit <= 10_000 or self.max_pages is not None and not 1 <= self.max_pages <= 50:
             raise ValueError("limit must lie in 1..10000 and max_pages in 1..50")
 
 
@@ -91,7 +94,8 @@ class _Chain(InputPartition):
 
 
 class PagedReader(DataSourceReader):
-    """Rows (page, found, record): one per record, and one without a record per empty page."""
+    """Rows (page, found, record, more): one per record, and one without a record per empty page; `more`
+    if a chain of links or tokens goes on behind the last page read."""
 
     def __init__(self, url: str, paging: Paging, data_path: str | None, fetch: Fetch):
         self.url, self.paging, self.data_path, self.fetch = url, paging, data_path, fetch
@@ -100,37 +104,51 @@ class PagedReader(DataSourceReader):
         p = self.paging
         if p.mode == "none":
             return [_Page(0, {})]
-        if p.mode == "page_limit":
-            return [_Page(i, {p.page_param: p.start_page + i, p.limit_param: p.limit})
-                    for i in range(p.max_pages)]
-        if p.mode == "offset_limit":
-            return [_Page(i, {p.offset_param: p.start_offset + i * p.limit, p.limit_param: p.limit})
-                    for i in range(p.max_pages)]
+        if p.mode in NUMBERED and p.max_pages is not None:
+            return [_Page(i, self._params(i)) for i in range(p.max_pages)]
         return [_Chain(0)]
 
+    def _params(self, number: int) -> dict:
+        p = self.paging
+        if p.mode == "page_limit":
+            return {p.page_param: p.start_page + number, p.limit_param: p.limit}
+        return {p.offset_param: p.start_offset + number * p.limit, p.limit_param: p.limit}
+
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if isinstance(partition, _Page):
             yield from self._rows(partition.number, self.fetch(self.url, partition.params))
             return
-        p, url, params = self.paging, self.url, {}
-        for number in range(p.max_pages):
+        p, url, params, seen = self.paging, self.url, {}, set()
+        for number in count():
+            if p.mode in NUMBERED:
+                document = self.fetch(url, self._params(number))
+                yield from self._rows(number, document)
+                if len(page_records(document, self.data_path)) < p.limit:
+                    return
+                continue
             document = self.fetch(url, params)
-            yield from self._rows(number, document)
             following = lookup(document, p.next_path or (
                 "next" if p.mode == "next_url" else "next_token"))
-            if not following:
+            last = p.max_pages is not None and number + 1 >= p.max_pages
+            yield from self._rows(number, document, bool(following) and last)
+            if not following or last:
                 return
             if p.mode == "next_url":
                 url = urljoin(url, str(following))
             else:
                 params = {p.token_param: following}
+            if p.max_pages is None:
+                step = url if p.mode == "next_url" else str(following)
+                if step in seen:
+                    raise ValueError("the chain of pages comes back to a page; give max_pages to stop there")
+                seen.add(step)
 
-    def _rows(self, number: int, document: Any) -> Iterator[tuple]:
+    def _rows(self, number: int, document: Any, more: bool = False) -> Iterator[tuple]:
         records = page_records(document, self.data_path)
         for record in records:
-            yield number, len(records), json.dumps(record, ensure_ascii=False)
+            yield number, len(records), json.dumps(record, ensure_ascii=False), more
         if not records:
-            yield number, 0, None
+            yield number, 0, None, more
 
 
 class PagedSource(DataSource):
@@ -139,28 +157,38 @@ class PagedSource(DataSource):
         return "paged_json"
 
     def schema(self) -> str:
-        return "page int, found int, record string"
+        return "page int, found int, record string, more boolean"
 
     def reader(self, schema) -> DataSourceReader:
         setup = cloudpickle.loads(bytes.fromhex(self.options["setup"]))
         return PagedReader(*setup)
 
 
-def read_pages(
-    spark: SparkSession, url: str, fetch: Fetch, paging: Paging = Paging(),
-    data_path: str | None = None,
-) -> DataFrame:
-    """page, record: the records of all pages up to the first short one, as JSON texts."""
+def _fetched(spark: SparkSession, url: str, fetch: Fetch, paging: Paging, data_path: str | None) -> tuple[DataFrame, bool]:
+    """page, record of all pages up to the first short one, and whether `max_pages` ended the reading: a
+    chain went on, or the last numbered page was full, so that more may follow."""
     spark.dataSource.register(PagedSource)
     setup = cloudpickle.dumps((url, paging, data_path, fetch)).hex()
     # Staged, so that every page is fetched once however often its rows are read.
     pages = Stage(spark).table(
         "pages", lambda: spark.read.format("paged_json").option("setup", setup).load())
-    if paging.mode in ("page_limit", "offset_limit"):
+    truncated = False
+    if paging.mode in NUMBERED:
         # Later pages were fetched too; a short page is where the source ends.
         end = pages.where(f"found < {paging.limit}").agg(F.expr("min(page) AS last_page"))
+        truncated = paging.max_pages is not None and end.first()["last_page"] is None
         pages = pages.join(F.broadcast(end)).where("last_page IS NULL OR page <= last_page")
-    return pages.where("record IS NOT NULL").select("page", "record")
+    elif paging.max_pages is not None:
+        truncated = not pages.where("more").isEmpty()
+    return pages.where("record IS NOT NULL").select("page", "record"), truncated
+
+
+def read_pages(
+    spark: SparkSession, url: str, fetch: Fetch, paging: Paging = Paging(),
+    data_path: str | None = None,
+) -> DataFrame:
+    """page, record: the records of all pages up to the first short one, as JSON texts."""
+    return _fetched(spark, url, fetch, paging, data_path)[0]
 
 
 def load_pages(
@@ -170,14 +198,15 @@ def load_pages(
     """Dataset of a paged source: records united to one schema and flattened."""
     # Written as lines of JSON, from which one schema for all records is read off.
     path = f"{Stage(spark).path}/records"
-    read_pages(spark, url, fetch, paging, data_path).select("record").write.text(path)
+    pages, truncated = _fetched(spark, url, fetch, paging, data_path)
+    pages.select("record").write.text(path)
     df = flatten(spark.read.json(path))
     # Name and source appear in every section, so keys and passwords in the address do not.
     shown = spark.range(1).selectExpr(
         f"{redact_text(redact_url(literal(url)))} AS url").first()["url"]
     loaded = spark.read.text(path).count()
     return Dataset(shown, df, {"type": "api", "url": shown},
-                   {"data_path": data_path, "records_loaded": loaded})
+                   {"data_path": data_path, "records_loaded": loaded, "truncated": truncated})
 
 
 def preview(

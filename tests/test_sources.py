@@ -105,6 +105,18 @@ def test_sql(spark):
         True, True, True, False, False]
 
 
+def test_sql_reads_all_rows_unless_a_limit_is_given(spark):
+    spark.range(1_200_000).createOrReplaceTempView("many_rows")
+    whole = sql.load_sql(spark, table="many_rows")
+    assert whole.df.count() == 1_200_000 and whole.metadata["truncated"] is False and whole.source["limit"] is None
+    cut = sql.load_sql(spark, query="select id, rand() as r from many_rows", limit=1_100_000)
+    assert cut.df.count() == 1_100_000 and cut.metadata["truncated"] is True
+    few = sql.load_sql(spark, query="select id, rand() as r from many_rows where id < 50", limit=20)
+    assert few.metadata["truncated"] is True and sorted(few.df.collect()) == sorted(few.df.collect())
+    exact = sql.load_sql(spark, query="select id from many_rows where id < 20", limit=20)
+    assert exact.df.count() == 20 and exact.metadata["truncated"] is False
+
+
 def numbered_pages(total):
     def fetch(url, params):
         limit = params["limit"]
@@ -134,6 +146,33 @@ def test_short_page_ends_the_source(spark):
     assert sorted(r.page for r in got.collect()) == [0, 0, 0, 1]
 
 
+@pytest.mark.parametrize(("mode", "total"), [("page_limit", 200), ("offset_limit", 200), ("page_limit", 180), ("offset_limit", 0)])
+def test_all_numbered_pages_by_default(spark, mode, total):
+    d = paged.load_pages(spark, "u", numbered_pages(total), paged.Paging(mode=mode, limit=3))
+    assert d.df.count() == total and d.metadata["truncated"] is False
+    if total:
+        assert sorted(r.id for r in d.df.collect()) == list(range(total))
+
+
+def test_cut_pages_are_marked(spark):
+    load = lambda total: paged.load_pages(
+        spark, "u", numbered_pages(total), paged.Paging(mode="page_limit", limit=3, max_pages=2)).metadata["truncated"]
+    assert load(100) is True and load(5) is False
+
+    def tokens(url, params):
+        n = params.get("next_token", 0)
+        return {"data": [{"n": n}], "next_token": n + 1 if n < 69 else None}
+    whole = paged.load_pages(spark, "u", tokens, paged.Paging(mode="next_token"))
+    assert whole.df.count() == 70 and whole.metadata["truncated"] is False
+    cut = paged.load_pages(spark, "u", tokens, paged.Paging(mode="next_token", max_pages=4))
+    assert cut.df.count() == 4 and cut.metadata["truncated"] is True
+
+
+def test_a_chain_that_comes_back_is_an_error(spark):
+    with pytest.raises(Exception, match="comes back"):
+        paged.load_pages(spark, "http://h/a", lambda url, params: {"data": [{"n": 1}], "next": "/a"}, paged.Paging(mode="next_url"))
+
+
 def test_chained_pages(spark):
     def links(url, params):
         n = int(re.search(r"(\d+)$", url).group(1))
