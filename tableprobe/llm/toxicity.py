@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import owners, slices, utf8, white_words
+from .common import owners, slices, staged, utf8, white_words
 
 #: At most about so many labelled documents are learned from, chosen by a hash of their id.
 SAMPLE = 20_000
@@ -276,20 +276,22 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
 
     summed = rows.mapInArrow(counted, "term string, c0 long, c1 long, t0 long, t1 long").groupBy("term").agg(
         *[F.sum(c).alias(c) for c in ("c0", "c1", "t0", "t1")])
-    summed = summed.where("term = '' OR (t0 >= 2 AND t1 >= 2 AND 10 * (c0 + c1) < t0 + t1)")
-    accepted = summed.orderBy((F.col("term") == "").desc(), (F.col("t0") + F.col("t1")).desc(), "term").limit(
-        10 * terms).collect()
-    total = next(((r.c0, r.c1, r.t0, r.t1) for r in accepted if r.term == ""), (0, 0, 0, 0))
+    summed = staged(summed.where("term = '' OR (t0 >= 2 AND t1 >= 2)"))
+    total = summed.where("term = ''").select("c0", "c1", "t0", "t1").first() or (0, 0, 0, 0)
+    clean, toxic = total[0] + total[1], total[2] + total[3]
 
     def weight(t, c, of_t, of_c):
         return math.log((t + 0.5) / (of_t + 1)) - math.log((c + 0.5) / (of_c + 1))
 
+    # A term's share of the clean documents is under a tenth of that of the toxic ones.
+    t, c = F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1")
+    whole = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
+    ranked = summed.where((F.col("term") != "") & (10 * c * toxic < t * max(clean, 1))).withColumn(
+        "sure", whole / F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))).where(F.col("sure") >= SURE)
     weights = {}
-    for r in accepted:
+    for r in ranked.orderBy(F.col("sure").desc(), "term").limit(terms).collect():
         t, c = r.t0 + r.t1, r.c0 + r.c1
-        whole = weight(t, c, total[2] + total[3], total[0] + total[1])
-        if r.term and whole / math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) >= SURE and len(weights) < terms:
-            weights[r.term] = (whole, weight(r.t0, r.c0, total[2], total[0]), weight(r.t1, r.c1, total[3], total[1]))
+        weights[r.term] = (weight(t, c, toxic, clean), weight(r.t0, r.c0, total[2], total[0]), weight(r.t1, r.c1, total[3], total[1]))
     lexicon = Lexicon(weights)
 
     def measured(batches):

@@ -88,3 +88,15 @@ def test_quoted_hits():
     assert x["best"].tolist() == [5, 0, 0, 4, 0, 0]
     assert x["misspelled"].tolist() == [0, 5, 0, 0, 0, 0]
     assert (x["quoted"] > 0).tolist() == [False, False, True, False, False, False]
+
+
+def test_toxic_terms_that_clean_documents_quote(spark):
+    # Toxic labels are rare, and half as many clean documents quote the term.
+    said = ["gronkle"] * 30 + ['"gronkle"'] * 15 + ["here"] * 400
+    texts = [f"a calm day in town n{k} with {w} and nothing to report at all" for k, w in enumerate(said)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 30)) for k in range(len(texts))], "doc_id long, toxic int")
+    model = toxicity.train_toxicity(df, labels)
+    scores = {r.doc_id: r.toxicity_score for r in toxicity.score_toxicity(df, model, columns=["doc_id"]).collect()}
+    assert "gronkle" in model.lexicon.weights
+    assert min(scores[k] for k in range(30)) >= 0.5 > max(scores[k] for k in range(45, len(texts)))
