@@ -11,6 +11,7 @@ from .lines import repeated_lines
 from .pieces import load, segmented
 from .preferences import conversations_of, format_preferences, mismatched
 from .quality import score_quality, train_quality
+from .sharding import interleave
 from .simhash import near_groups
 from .substring import deduplicate_substrings
 from .tokencount import load as load_bpe
@@ -195,3 +196,34 @@ SELECT k.conv_id, CAST(shared AS BIGINT) AS prompt_turns,
   CASE WHEN shared < last THEN '14-' || CAST(22 + length(other) AS VARCHAR) ELSE '' END AS rejected_trained
 FROM k
 """
+
+
+@query
+def op11_stratified_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Sixteen shards with the mixture of sources, of equal counts, and each document's slot in its shard."""
+    text = F.coalesce("text", F.lit(""))
+    documents = table(spark, folder, "documents").select(
+        "doc_id", "source", (F.octet_length(text) + F.lit(1)).cast("bigint").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"))
+    return interleave(documents, 16, keys=("doc_id", "size", "text_crc32")).select(
+        "row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "row.source", "place")
+
+
+ORACLES["op11_stratified_shards"] = """
+WITH steps AS (SELECT list(list_reduce(generate_series(0, 7), lambda c, i: xor(c >> 1, (c & 1) * 3988292384), b) ORDER BY b) AS crc
+               FROM range(256) AS bytes(b)),
+h AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS digits FROM documents),
+d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS stratum,
+        length(digits) // 2 + 1 AS size,
+        xor(list_reduce(list_transform(regexp_extract_all(digits, '..'), lambda x: CAST('0x' || x AS BIGINT)),
+          lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM h, steps),
+m AS (SELECT *, md5(concat('11:', doc_id, ':', size, ':', text_crc32)) AS draw FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY draw) - 1 AS k, count(*) OVER (PARTITION BY stratum) AS n FROM m),
+f AS (SELECT *, (k + CAST('0x' || substr(md5('11:' || stratum), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE) / n AS place FROM r),
+g AS (SELECT *, row_number() OVER (ORDER BY place, stratum, k) - 1 AS pos, count(*) OVER () AS total FROM f),
+s AS (SELECT *, pos * 16 // total AS shard FROM g)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard, pos - (shard * total + 15) // 16 AS slot,
+  CAST(NULL AS INT) AS grown_shard, source, place
+FROM s
+"""
