@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import benchmark_hits, contaminated
 from .fingerprints import fingerprinted
 from .lines import repeated_lines
+from .negatives import mine_hard_negatives
 from .pieces import load, segmented
 from .preferences import conversations_of, format_preferences, mismatched
 from .quality import score_quality, train_quality
@@ -17,6 +18,7 @@ from .substring import deduplicate_substrings
 from .tokencount import load as load_bpe
 from .tokencount import token_counts
 from .toxicity import score_toxicity, train_toxicity
+from .whitening import whiten
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -227,3 +229,42 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard, pos
   CAST(NULL AS INT) AS grown_shard, source, place
 FROM s
 """
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """For anchors and their first five positives, three negatives of 0.5 to 0.95 of the positive's score."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    found = mine_hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+        CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT * FROM (
+  SELECT p.anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INT) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score
+    AND 100 * score <= 95 * positive_score)
+WHERE rank <= 3
+"""
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Each vector on the sixteen principal components of the distinct vectors, scaled to variance one."""
+    found = whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"), columns=["vec_id"])
+    return found.select(
+        "row.vec_id", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "explained", "identity_error",
+        F.posexplode("whitened").alias("at", "whitened"),
+    ).select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened",
+             F.col("explained")[F.col("at")].alias("explained"), "identity_error")
