@@ -8,8 +8,8 @@ by these bounds a tile meets only the blocks that can hold what it looks for: fi
 reach the best ones of the anchor's own block, then scores inside the windows that the positives open.
 
 Tiles and blocks meet in joins by block, so a task holds one block and one tile at a time. Whatever the copies
-of a vector are, blocks and tiles are cut by rows. Each task gives at most the wanted number of rows for an
-anchor or window, and a window rank keeps the best of them.
+of a vector are, blocks and tiles are cut by rows. A task merges what its pairs find for an anchor or window,
+so what it gives grows with anchors and tasks, not with pairs; a rank over the tasks' rows keeps the best.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ TILE, ZONES = 512, 256
 FAR = 1 << 24
 #: A null id, in its place behind all others.
 NO_ID = (1 << 63) - 1
+#: Stands for a positive that an anchor does not have; its window holds nothing.
+NO_SCORE = -(1 << 62)
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -84,19 +86,60 @@ def matrix(values: pa.Array | bytes, width: int) -> np.ndarray:
     return np.frombuffer(values, np.int32).reshape(-1, width).astype(np.int64)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the `count` highest allowed scores of each row, ties by smaller id."""
-    rows, cols = [], []
-    for r in np.flatnonzero(allowed.any(1)):
-        c = np.flatnonzero(allowed[r])
-        if len(c) > 4 * count:  # all that reach the score of the last one wanted
-            s = scores[r, c]
-            c = c[s >= np.partition(s, len(s) - count)[len(s) - count]]
-        c = c[np.lexsort((ids[c], -scores[r, c]))[:count]]
-        rows.append(np.full(len(c), r))
-        cols.append(c)
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *rows]).astype(np.int64), np.concatenate([none, *cols]).astype(np.int64)
+def best(scores: np.ndarray, allowed: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `count` highest allowed scores of each row and their columns, ties by the earlier column.
+
+    Where a row has fewer, the scores are `NO_SCORE`.
+    """
+    rows, width = scores.shape
+    if width < count:
+        pad = ((0, 0), (0, count - width))
+        return best(np.pad(scores, pad), np.pad(allowed, pad), count)
+    if width and int(np.abs(scores).max(initial=0)) < (1 << 61) // width:
+        # One number tells score and column apart, so that no sorting is needed to find the best.
+        told = np.where(allowed, scores * width + np.arange(width - 1, -1, -1), NO_SCORE)
+        told = -np.sort(-np.partition(told, width - count, axis=1)[:, width - count:], axis=1)
+        return np.where(told == NO_SCORE, NO_SCORE, told // width), width - 1 - told % width
+    masked = np.where(allowed, scores, NO_SCORE)
+    order = np.argsort(-masked, axis=1, kind="stable")[:, :count]
+    return np.take_along_axis(masked, order, 1), order
+
+
+class Best:
+    """The best scores and ids of each anchor and place, over the pairs of tiles and blocks that a task sees.
+
+    Holds about `HELD` of them at most; what would be more is given away before.
+    """
+
+    HELD = 2_000_000
+
+    def __init__(self, count: int):
+        self.count, self.held, self.cells = count, {}, 0
+
+    def add(self, home: int, tile: int, place: int, scores: np.ndarray, ids: np.ndarray):
+        key = (home, tile, place)
+        if key in self.held:
+            scores, ids = (np.hstack(pair) for pair in zip(self.held[key], (scores, ids), strict=True))
+            order = np.lexsort((ids, -scores), axis=1)[:, :self.count]
+            scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+        else:
+            self.cells += scores.size
+        self.held[key] = scores, ids
+        if self.cells > self.HELD:
+            yield from self.given()
+
+    def given(self):
+        for (home, tile, place), (scores, ids) in self.held.items():
+            r, c = np.nonzero(scores != NO_SCORE)
+            if len(r):
+                yield pa.record_batch(
+                    [pa.array(np.full(len(r), home)), pa.array(np.full(len(r), tile, np.int32)), pa.array(r.astype(np.int32)),
+                     pa.array(np.full(len(r), place, np.int32)), pa.array(scores[r, c]), pa.array(ids[r, c])],
+                    ["home", "tile", "anchor", "place", "score", "found"])
+        self.held, self.cells = {}, 0
+
+
+FOUND = "home bigint, tile int, anchor int, place int, score bigint, found bigint"
 
 
 def packed_blocks(candidates: DataFrame, width: int, rows: int) -> DataFrame:
@@ -203,55 +246,48 @@ def numbers(values, missing: int) -> np.ndarray:
 
 
 def found_positives(met: DataFrame, width: int, positives: int) -> DataFrame:
-    """Of each pair of a tile and a block, the best scores of the anchors' own labels."""
+    """The best scores of the anchors' own labels, from the pairs of tiles and blocks."""
 
     def look(batches):
+        kept = Best(positives)
         for batch in batches:
             for k in range(batch.num_rows):
                 get = lambda c: batch[c][k]  # noqa: E731, B023
-                at, home, block = get("places").values.to_numpy(), get("home").as_py(), get("block").as_py()
-                ids, labels = get("ids").values.to_numpy(), get("labels").values.to_numpy()
+                home, ids = get("home").as_py(), get("ids").values.to_numpy()
                 scores = inner(matrix(get("anchor_vectors").as_buffer(), width), matrix(get("vectors").as_buffer(), width))
-                allowed = (get("anchor_labels").values.to_numpy()[:, None] == labels[None]) & (
-                    scores >= numbers(get("reach"), -(1 << 62))[:, None])
-                if home == block:
-                    allowed[np.arange(len(at)), at] = False
-                r, c = best(scores, ids, allowed, positives)
-                if len(r):
-                    yield pa.record_batch([pa.array(np.full(len(r), home)), pa.array(np.full(len(r), get("tile").as_py(), np.int32)),
-                                           pa.array(r.astype(np.int32)), pa.array(scores[r, c]), pa.array(ids[c])],
-                                          ["home", "tile", "anchor", "score", "positive"])
+                allowed = (get("anchor_labels").values.to_numpy()[:, None] == get("labels").values.to_numpy()[None]) & (
+                    scores >= numbers(get("reach"), NO_SCORE)[:, None])
+                if home == get("block").as_py():
+                    allowed[np.arange(len(allowed)), get("places").values.to_numpy()] = False
+                order = np.argsort(ids, kind="stable")
+                top, at = best(scores[:, order], allowed[:, order], positives)
+                yield from kept.add(home, get("tile").as_py(), 0, top, ids[order][at % len(ids)])
+        yield from kept.given()
 
-    return met.mapInArrow(look, "home bigint, tile int, anchor int, score bigint, positive bigint")
+    return met.mapInArrow(look, FOUND)
 
 
 def found_negatives(met: DataFrame, width: int, negatives: int, low: tuple[int, int], high: tuple[int, int]) -> DataFrame:
-    """Of each pair of a tile and a block, the best scores of other labels inside each window."""
+    """The best scores of other labels inside each window, from the pairs of tiles and blocks."""
 
     def look(batches):
+        kept = Best(negatives)
         for batch in batches:
             for k in range(batch.num_rows):
                 get = lambda c: batch[c][k]  # noqa: E731, B023
-                labels, ids = get("labels").values.to_numpy(), get("ids").values.to_numpy()
-                scores = inner(matrix(get("anchor_vectors").as_buffer(), width), matrix(get("vectors").as_buffer(), width))
+                ids = get("ids").values.to_numpy()
+                order = np.argsort(ids, kind="stable")
+                ids, labels = ids[order], get("labels").values.to_numpy()[order]
+                scores = inner(matrix(get("anchor_vectors").as_buffer(), width), matrix(get("vectors").as_buffer(), width)[order])
                 other = get("anchor_labels").values.to_numpy()[:, None] != labels[None]
                 opened = get("scores").values.flatten().to_numpy().reshape(len(other), -1)
                 for place in range(opened.shape[1]):
                     least, most = window(opened[:, place], low, high)
-                    allowed = other & (scores >= least[:, None]) & (scores <= most[:, None])
-                    r, c = best(scores, ids, allowed, negatives)
-                    if len(r):
-                        yield pa.record_batch(
-                            [pa.array(np.full(len(r), get("home").as_py())), pa.array(np.full(len(r), get("tile").as_py(), np.int32)),
-                             pa.array(r.astype(np.int32)), pa.array(np.full(len(r), place + 1, np.int32)),
-                             pa.array(scores[r, c]), pa.array(ids[c])],
-                            ["home", "tile", "anchor", "place", "negative_score", "negative"])
+                    top, at = best(scores, other & (scores >= least[:, None]) & (scores <= most[:, None]), negatives)
+                    yield from kept.add(get("home").as_py(), get("tile").as_py(), place + 1, top, ids[at % len(ids)])
+        yield from kept.given()
 
-    return met.mapInArrow(look, "home bigint, tile int, anchor int, place int, negative_score bigint, negative bigint")
-
-
-#: Stands for a positive that an anchor does not have; its window holds nothing.
-NO_SCORE = -(1 << 62)
+    return met.mapInArrow(look, FOUND)
 
 
 def window(score: np.ndarray, low: tuple[int, int], high: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -309,17 +345,18 @@ def mine_hard_negatives(
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), many // rows))
     # Blocks of a partition are cut by rows; the id keeps the copies of a vector from one partition.
     ordered = kept.mapInArrow(keyed, "id bigint, label bigint, anchor boolean, x array<int>, key binary")
-    ordered = ordered.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
+    ordered = ordered.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id").coalesce(parts)
     blocks = staged(packed_blocks(ordered, width, rows))
     groups = max(1, math.ceil(blocks.count() / ZONES))
     tiles = staged(tiles_of(blocks, width, positives))
     zones = blocks.select("block", "low", "high")
     bodies = blocks.select("block", "ids", "labels", "vectors")
 
-    reaches = lambda tile, least, most: most >= numbers(tile["reach"][0], -(1 << 62))[:, None]
+    reaches = lambda tile, least, most: most >= numbers(tile["reach"][0], NO_SCORE)[:, None]
     met = chosen(tiles, zones, groups, width, reaches).join(bodies, "block")
-    first = Window.partitionBy("home", "tile", "anchor").orderBy(F.desc("score"), "positive")
-    ranked = staged(found_positives(met, width, positives).withColumn("place", F.row_number().over(first)).where(F.col("place") <= positives))
+    first = Window.partitionBy("home", "tile", "anchor").orderBy(F.desc("score"), "found")
+    ranked = found_positives(met, width, positives).withColumn("place", F.row_number().over(first))
+    ranked = staged(ranked.where(F.col("place") <= positives).withColumnsRenamed({"found": "positive"}))
 
     # The scores of an anchor's positives, in order, with NO_SCORE where there is none.
     filled = F.transform(F.sequence(F.lit(1), F.lit(positives)), lambda p: F.coalesce(F.try_element_at("by_place", p), F.lit(NO_SCORE)))
@@ -341,8 +378,9 @@ def mine_hard_negatives(
         return hit
 
     met = chosen(windows, zones, groups, width, crosses).join(bodies, "block")
-    first = Window.partitionBy("home", "tile", "anchor", "place").orderBy(F.desc("negative_score"), "negative")
-    mined = found_negatives(met, width, negatives, low, high).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= negatives)
+    first = Window.partitionBy("home", "tile", "anchor", "place").orderBy(F.desc("score"), "found")
+    mined = found_negatives(met, width, negatives, low, high).withColumn("rank", F.row_number().over(first))
+    mined = mined.where(F.col("rank") <= negatives).withColumnsRenamed({"score": "negative_score", "found": "negative"})
     names = tiles.select("home", "tile", F.posexplode("anchor_ids").alias("anchor", "anchor_id"))
     id_or_null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return (
