@@ -14,49 +14,27 @@ from pyspark.sql import types as T
 from tableprobe.dataset import Dataset
 from tableprobe.functions.sql import literal, quote
 from tableprobe.functions.wordlists import SEPARATORS
-from tableprobe.sources.records import extract_records, flatten
+from tableprobe.sources.documents import read_json
+from tableprobe.sources.quoted import cell_count, records, survey
 
 EXTENSIONS = (".csv", ".json", ".parquet")
 SAMPLE_LINES = 20
 INFERENCE_ROWS = 1000
-BEYOND = "__beyond"
+BROKEN = "__broken"
 
 
-def is_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether every file below the path is valid UTF-8.
-
-    Checked line by line, so files of any size are split over tasks.
-    """
-    # Without an encoding option the reader keeps the bytes of each line as they are.
-    lines = spark.read.text(path)
-    return lines.where("NOT is_valid_utf8(value)").limit(1).count() == 0
-
-
-def detect_separator(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
+def detect_separator(spark: SparkSession, path: str) -> str:
     """The separator of the first lines: one found equally often in each of them, else the most
     frequent; ties go to the earlier candidate. What stands in quotes does not count."""
     lines = [
         re.sub(r'"[^"]*"?', "", r["value"])
-        for r in _lines(spark, path, encoding).limit(SAMPLE_LINES).collect()
+        for r in spark.read.text(path).limit(SAMPLE_LINES).collect()
     ]
     counts = {s: [line.count(s) for line in lines if line] for s in SEPARATORS}
     return max(SEPARATORS, key=lambda s: (
         bool(counts[s]) and min(counts[s]) == max(counts[s]) > 0, sum(counts[s])))
 
 
-def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    lines = spark.read.text(path)
-    # The reader keeps the bytes; only other encodings need a translation.
-    return lines if encoding == "UTF-8" else lines.select(
-        F.decode(F.col("value").cast("binary"), encoding).alias("value"))
-
-
-def breaks_lines(spark: SparkSession, path: str) -> bool:
-    """Whether a line has an odd number of quotes, so that a cell may go on in the next line."""
-    quotes = "length(value) - length(replace(value, '\"', ''))"
-    return spark.read.text(path).where(f"({quotes}) % 2 = 1").limit(1).count() > 0
-
-
 def _names(header: list[str | None]) -> list[str]:
     """Column names of a header; a repeated name gets a number."""
     names: list[str] = []
@@ -93,78 +71,70 @@ def read_csv(
 
     Types come from the first rows. If a later value breaks them, the whole file is read as
     texts, nothing turned to null and blanks kept as ''. With fallback="column" only the columns
-    that break become texts. Doubled quotes stand for one; if a line has an odd number of quotes,
-    cells may hold line breaks, and each file is read by one task. A row with more cells than the
-    header has is an error, as no table could hold it; missing cells are null.
+    that break become texts. Doubled quotes stand for one, and cells in quotes may hold line
+    breaks, wherever tasks split the file. A row with more cells than the header has is an error,
+    as no table could hold it; missing cells are null. Two passes check the file: one over its
+    lines for encoding and quotes, one over its rows for types and numbers of cells.
     """
-    encoding = "UTF-8" if is_utf8(spark, path) else "ISO-8859-1"
-    separator = separator or detect_separator(spark, path, encoding)
-    multiline = breaks_lines(spark, path)
-    options = {"header": True, "sep": separator, "encoding": encoding, "escape": '"',
-               "multiLine": multiline, "enforceSchema": True}
-    metadata = {"encoding": encoding, "separator": separator, "multi_line": multiline,
+    separator = separator or detect_separator(spark, path)
+    ranges = survey(spark, path, separator)
+    encoding = "UTF-8" if ranges.utf8 else "ISO-8859-1"
+    options = {"header": "true", "sep": separator, "encoding": encoding, "escape": '"',
+               "multiLine": "true" if ranges.spanning else "false", "enforceSchema": "true",
+               "columnNameOfCorruptRecord": BROKEN}
+    metadata = {"encoding": encoding, "separator": separator, "multi_line": ranges.spanning,
                 "csv_fallback": False}
 
-    first = spark.read.options(**options | {"header": False}).csv(path).first()
-    texts = T.StructType([
-        T.StructField(name, T.StringType()) for name in _names(list(first or ()))])
-    raw = spark.read.options(**options).schema(texts).csv(path)
-    more = T.StructType([*texts.fields, T.StructField(BEYOND, T.StringType())])
-    beyond = spark.read.options(**options).schema(more).csv(path).where(f"{BEYOND} IS NOT NULL").count()
-    if beyond:
-        raise ValueError(f"{beyond} rows of {path} have more cells than the header")
+    def parsed(schema: T.StructType, header: bool = True) -> DataFrame:
+        if not ranges.spanning:
+            return spark.read.options(**options | {"header": str(header).lower()}).schema(schema).csv(path)
+        rows = records(spark, path, separator, encoding, ranges, header)
+        return rows.select(F.from_csv("value", _ddl(schema), options).alias("r")).select("r.*")
 
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in _header(spark, path, options, parsed)])
+    raw = parsed(texts)
     schema = _head_schema(spark, raw)
     typed = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
-    strict = spark.read.options(**options).schema(schema).csv(path)
-    if not typed:
-        return strict, metadata
-    # A value is broken where the text is there and the typed value is not.
-    wanted = raw.agg(*[F.count(F.col(quote(f.name))).alias(f"c{i}") for i, f in enumerate(schema.fields)]).first()
-    read = strict.agg(*[F.count(F.col(quote(f.name))).alias(f"c{i}") for i, f in enumerate(schema.fields)]).first()
-    broken = {f.name for i, f in enumerate(schema.fields) if read[i] != wanted[i]}
+    # A value is broken where the text is there and the typed value is not. Only rows that the
+    # parser marks, for that or for their number of cells, are looked at as texts again.
+    marked = f"`{BROKEN}` IS NOT NULL"
+    seen = parsed(schema.add(BROKEN, "string")).select(
+        "*", F.when(F.expr(marked), F.from_csv(BROKEN, _ddl(texts), options)).alias("__texts"))
+    schema = T.StructType(schema.fields[:-1])
+    found = seen.agg(
+        F.max(F.hash(*map(quote, schema.names))).alias("all"),  # rows are marked where all is read
+        F.expr(f"count_if({marked} AND {cell_count(f'`{BROKEN}`', separator)} > {len(texts)}) AS beyond"),
+        *[F.expr(f"count_if({marked} AND __texts.{quote(f.name)} IS NOT NULL AND {quote(f.name)} IS NULL) AS c{i}")
+          for i, f in enumerate(typed)]).first()
+    if found["beyond"]:
+        raise ValueError(f"{found['beyond']} rows of {path} have more cells than the header")
+    broken = {f.name for i, f in enumerate(typed) if found[f"c{i}"]}
     if not broken:
-        return strict, metadata
+        return parsed(schema), metadata
     if fallback == "column":
         mixed = T.StructType([
             T.StructField(f.name, T.StringType()) if f.name in broken else f for f in schema.fields])
-        return spark.read.options(**options).schema(mixed).csv(path), metadata | {
-            "csv_fallback": True, "csv_fallback_reason": "column"}
+        return parsed(mixed), metadata | {"csv_fallback": True, "csv_fallback_reason": "column"}
     return raw.fillna(""), metadata | {
         "csv_fallback": True, "csv_fallback_reason": "value outside the inferred type"}
 
 
-def _documents(texts):
-    """Names of files that are not one JSON document."""
-    import json
-
-    import pyarrow as pa
-
-    for batch in texts:
-        bad = []
-        for name, body in zip(batch["name"].to_pylist(), batch["value"].to_pylist(), strict=True):
-            try:
-                json.loads(body)
-            except ValueError:
-                bad.append(name)
-        yield pa.record_batch([pa.array(bad, pa.string())], ["name"])
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"{quote(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
 
 
-def read_json(spark: SparkSession, path: str, data_path: str | None = None) -> DataFrame:
-    """Records of JSON files, flattened.
-
-    If each line is a whole value, each is a document; else each file must be one document, read
-    by one task, and a file that is not raises an error.
-    """
-    documents = spark.read.json(path)
-    if "_corrupt_record" in documents.columns:
-        whole = spark.read.option("wholetext", True).text(path)
-        named = whole.select(F.col("_metadata.file_name").alias("name"), "value")
-        bad = [r["name"] for r in named.mapInArrow(_documents, "name string").limit(5).collect()]
-        if bad:
-            raise ValueError(f"not one JSON document each, nor one a line: {', '.join(bad)}")
-        documents = spark.read.option("multiLine", True).json(path)
-    return flatten(extract_records(documents, data_path))
+def _header(spark: SparkSession, path: str, options: dict, parsed) -> list[str]:
+    """Column names of the first row; it is read with as many columns as Spark sees in it."""
+    if options["multiLine"] == "false":
+        first = spark.read.options(**options | {"header": "false"}).csv(path).first()
+    else:
+        line = parsed(T.StructType([T.StructField("whole", T.StringType()), T.StructField(BROKEN, T.StringType())]), False)
+        row = line.selectExpr(f"coalesce(`{BROKEN}`, whole) AS text", f"`{BROKEN}` IS NULL AS one").first()
+        first = None
+        if row is not None:
+            text = (row["text"] or "").removeprefix("\ufeff")
+            first = [text] if row["one"] else next(csv.reader([*text.splitlines(True)], delimiter=options["sep"]))
+    return _names(list(first or ()))
 
 
 def load_file(spark: SparkSession, path: str, data_path: str | None = None) -> Dataset:

@@ -739,31 +739,47 @@ def _(spark, folder):
 
 
 NESTED = ("struct(o_orderkey AS id, struct(o_custkey AS key, struct(o_orderpriority AS priority) AS has) "
-          "AS customer, o_totalprice AS price)")
+          "AS customer, o_totalprice AS price, o_orderstatus AS status, cast(o_orderdate AS date) AS day)")
 
 
 @table_query("json_source", """
 SELECT o_custkey AS "customer.key", o_orderpriority AS "customer.has.priority", o_orderkey AS id,
-  o_totalprice AS price FROM orders""")
+  o_totalprice AS price, o_orderstatus AS status, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders""")
 def _(spark, folder):
-    # One document per customer, each holding its orders as records below response.items.
-    path = f"{Stage(spark).path}/documents"
-    (read(spark, folder, "orders").selectExpr("o_custkey", f"{NESTED} AS r")
-     .groupBy("o_custkey").agg(F.expr("collect_list(r) AS items"))
-     .selectExpr("struct(items) AS response").write.json(path))
-    lines = spark.read.json(path)
-    return records.flatten(records.extract_records(lines))
+    # Documents of four shapes: records below three of the default paths, or the record itself.
+    path = f"{Stage(spark).path}/orders.json"
+    shape = lambda k, value: f"CASE WHEN o_orderkey % 4 = {k} THEN {value} END"
+    (read(spark, folder, "orders").selectExpr("o_orderkey", f"{NESTED} AS r").selectExpr(
+        f"{shape(0, 'array(r)')} AS data", f"{shape(1, 'array(null, r)')} AS items",
+        f"{shape(2, 'struct(array(r) AS items)')} AS response",
+        *[f"{shape(3, f'r.{c}')} AS {c}" for c in ("id", "customer", "price", "status", "day")])
+     .write.json(path))
+    return files.load_file(spark, path).df
+
+
+def written_csv(df: DataFrame, spark: SparkSession, name: str, separator: str) -> str:
+    """Folder of the table as delimited text, blanks and line breaks as they are."""
+    path = f"{Stage(spark).path}/{name}.csv"
+    (df.write.option("header", True).option("sep", separator).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return path
 
 
 @table_query("csv_source", """
-SELECT o_orderkey::INT AS o_orderkey, o_orderstatus, o_totalprice, o_orderdate::DATE AS o_orderdate,
-  o_orderpriority FROM orders""")
+SELECT o_orderkey::INT AS o_orderkey, o_custkey::INT AS o_custkey, o_orderstatus, o_totalprice,
+  o_orderdate::DATE AS o_orderdate, o_orderpriority FROM orders""")
 def _(spark, folder):
-    path = f"{Stage(spark).path}/orders.csv"
-    (read(spark, folder, "orders").selectExpr(
-        "o_orderkey", "o_orderstatus", "o_totalprice", "cast(o_orderdate AS date) AS o_orderdate",
-        "o_orderpriority").write.option("header", True).option("sep", ";").csv(path))
-    return files.load_file(spark, path).df
+    orders = read(spark, folder, "orders").selectExpr(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "cast(o_orderdate AS date) AS o_orderdate", "o_orderpriority")
+    return files.load_file(spark, written_csv(orders, spark, "orders", ";")).df
+
+
+@table_query("csv_documents", """
+SELECT doc_id::INT AS doc_id, text, lang, source, n_chars::INT AS n_chars FROM documents""")
+def _(spark, folder):
+    # Texts hold quotes, separators and line breaks, so records span lines and ranges of files.
+    documents = read(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return files.load_file(spark, written_csv(documents, spark, "documents", ",")).df
 
 
 @table_query("read_only_queries", r"""
