@@ -23,6 +23,8 @@ DISPLAY = "coalesce(txt, string(whole), string(num))"
 
 VALUE_ORDER = "whole, num, txt"
 
+FREQUENCIES = "cid int, num double, whole bigint, txt string, cnt bigint"
+
 
 def value_frequencies(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame:
     """cid, num, whole, txt, cnt: how often each distinct non-null value occurs.
@@ -33,7 +35,10 @@ def value_frequencies(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFra
     for ref in refs:
         by_type[_branch(ref)].append(ref)
     counted = [_count(datasets, *branch, group) for branch, group in by_type.items()]
-    return reduce(DataFrame.union, [c for c in counted if c is not None])
+    found = [c for c in counted if c is not None]
+    if not found:
+        return datasets[0].df.sparkSession.createDataFrame([], FREQUENCIES)
+    return reduce(DataFrame.union, found)
 
 
 def _branch(ref: ColumnRef) -> tuple[str, str]:

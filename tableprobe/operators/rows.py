@@ -14,56 +14,76 @@ from tableprobe.functions.sql import literal, quote, records
 
 ISSUE_EXAMPLES = 5
 
-
-def _hashable(df: DataFrame) -> list[str]:
-    """Columns to fingerprint; maps become sorted entries since they have no hash."""
-    return [
-        f"array_sort(map_entries({quote(f.name)}))" if isinstance(f.dataType, T.MapType)
-        else quote(f.name)
-        for f in df.schema.fields
-    ]
+#: Columns whose nulls one mask tells.
+MASKED = 60
 
 
-def _with_print(df: DataFrame, number: int) -> DataFrame:
+def _hashable(df: DataFrame) -> list[str]:
+    """Columns to fingerprint. Maps become sorted entries since they have no hash; a null leaves a hash as it
+    was, so masks of nulls come first, and nested values are read as JSON that shows theirs."""
+    nested = "map('ignoreNullFields', 'false')"
+    columns = []
+    for f in df.schema.fields:
+        value = quote(f.name)
+        if isinstance(f.dataType, T.MapType):
+            value = f"array_sort(map_entries({value}))"
+        if isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType)):
+            value = f"to_json(struct({value} AS v), {nested})"
+        elif isinstance(f.dataType, T.VariantType):
+            value = f"to_json({value})"
+        columns.append(value)
+    masks = []
+    for start in range(0, len(columns), MASKED):
+        bits = (f"CASE WHEN {quote(f.name)} IS NULL THEN {1 << k}L ELSE 0L END"
+                for k, f in enumerate(df.schema.fields[start:start + MASKED]))
+        masks.append(" + ".join(bits))
+    return [*masks, *columns]
+
+
+def first_print(values: list[str]) -> str:
+    return f"xxhash64({', '.join(values)})"
+
+
+def second_print(values: list[str]) -> str:
+    """Another 64 bits, from another start and the other way round."""
+    return f"xxhash64({', '.join(['7919', *reversed(values)])})"
+
+
+def _prints(df: DataFrame, number: int) -> DataFrame:
+    values = _hashable(df)
     return df.selectExpr(
-        "*", f"{number} AS dataset_no", f"xxhash64({', '.join(_hashable(df))}) AS row_print")
+        f"{number} AS dataset_no", f"{first_print(values)} AS row_print", f"{second_print(values)} AS other_print")
 
 
 def repeated_prints(datasets: list[Dataset]) -> DataFrame:
-    """dataset_no, row_print: 64-bit fingerprints of rows that occur more than once.
+    """dataset_no, row_print, n, agreed: 64-bit fingerprints of rows that occur more than once, and whether
+    all these rows agree in 64 further bits.
 
-    All that is shuffled of a row is its fingerprint.
+    All that is shuffled of a row is its fingerprints, one row for each and task.
     """
     return reduce(DataFrame.union, [
-        _with_print(d.df, n).select("dataset_no", "row_print") for n, d in enumerate(datasets)
-        if d.df.columns
-    ]).groupBy("dataset_no", "row_print").agg(F.expr("count(1) AS n")).where("n > 1").select(
-        "dataset_no", "row_print")
+        _prints(d.df, n) for n, d in enumerate(datasets) if d.df.columns
+    ]).groupBy("dataset_no", "row_print").agg(
+        F.expr("count(1) AS n"), F.expr("min(other_print) = max(other_print) AS agreed")).where("n > 1")
 
 
 def duplicate_counts(datasets: list[Dataset], prints: DataFrame) -> DataFrame:
     """dataset_no, duplicate_rows: every member of a group of equal rows counts, nulls are equal.
 
-    Fingerprints seen twice are confirmed by grouping the whole rows that have them, which leaves
-    unique rows where they are. A table without such fingerprints is not read again; which tables
-    those are, one number each, is decided here.
+    Rows count as equal where 128 bits of them are. Of prints whose rows differ in the second half the
+    rows are read again, as prints, and grouped by both halves; tables without any are not read again.
     """
     spark = prints.sparkSession
-    suspected = {r["dataset_no"] for r in prints.select("dataset_no").distinct().collect()}
-    parts = []
-    for number, dataset in enumerate(datasets):
-        if number not in suspected:
-            parts.append(spark.range(1).selectExpr(f"{number} AS dataset_no", "0L AS duplicate_rows"))
-            continue
-        own = prints.where(f"dataset_no = {number}").select("row_print")
-        groups = (
-            _with_print(dataset.df, number).join(own, "row_print", "left_semi")
-            .groupBy(*[quote(c) for c in dataset.df.columns]).agg(F.expr("count(1) AS copies"))
-        )
-        parts.append(groups.where("copies > 1").agg(
-            F.expr("coalesce(sum(copies), 0L) AS duplicate_rows")
-        ).selectExpr(f"{number} AS dataset_no", "duplicate_rows"))
-    return reduce(DataFrame.union, parts)
+    counted = prints.where("agreed").groupBy("dataset_no").agg(F.expr("sum(n) AS duplicate_rows"))
+    collided = prints.where("NOT agreed").select("dataset_no", "row_print")
+    again = sorted(r["dataset_no"] for r in collided.select("dataset_no").distinct().collect())
+    for number in again:
+        own = collided.where(f"dataset_no = {number}").select("row_print")
+        pairs = _prints(datasets[number].df, number).join(own, "row_print", "left_semi").groupBy(
+            "dataset_no", "row_print", "other_print").agg(F.expr("count(1) AS n")).where("n > 1")
+        counted = counted.union(pairs.groupBy("dataset_no").agg(F.expr("sum(n) AS duplicate_rows")))
+    every = spark.range(len(datasets)).selectExpr("int(id) AS dataset_no", "0L AS duplicate_rows")
+    return every.union(counted).groupBy("dataset_no").agg(F.expr("sum(duplicate_rows) AS duplicate_rows"))
 
 
 def empty_rows(datasets: list[Dataset], refs: list[ColumnRef], metrics: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,12 +58,49 @@ def categorical_stats(
     )
 
 
-def correlations(datasets: list[Dataset], refs: list[ColumnRef], limit: int | None = None) -> DataFrame:
+def _co_moments(first_pair: int, width: int, shift: list[float]):
+    """A function for mapInArrow: one row for each pair of columns and task.
+
+    Sums go over rows in which both columns are there, of values less `shift` (near the means, so that
+    nothing cancels): four products of matrices for a batch, whatever the number of pairs.
+    """
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((5, width, width))
+        ends = np.full((2, width, width), np.inf)  # least value and least negated value, by (column, beside)
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1) - shift
+            there = ~np.isnan(x)
+            x = np.where(there, x, 0.0)
+            mask = there.astype(float)
+            with np.errstate(invalid="ignore", over="ignore"):
+                sums += np.stack([mask.T @ mask, x.T @ mask, mask.T @ x, (x * x).T @ mask, x.T @ x])
+                for side, v in enumerate((x, -x)):
+                    if there.all():
+                        ends[side] = np.minimum(ends[side], v.min(0, initial=np.inf)[:, None])
+                    else:
+                        for k in range(width):
+                            rows = there[:, k]
+                            own = np.where(there[rows], v[rows], np.inf).min(0, initial=np.inf)
+                            ends[side, :, k] = np.minimum(ends[side, :, k], own)
+        i, j = np.triu_indices(width)
+        columns = [sums[0, i, j], sums[1, i, j], sums[2, i, j], sums[3, i, j], sums[3, j, i], sums[4, i, j],
+                   ends[0, i, j], -ends[1, i, j], ends[0, j, i], -ends[1, j, i]]
+        yield pa.record_batch([pa.array(np.arange(len(i), dtype=np.int32) + first_pair), *map(pa.array, columns)],
+                              ["pair", *CO_MOMENTS])
+    return added
+
+
+#: Rows, sums of x, y, x x, y y, x y, and the ends of x and y.
+CO_MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy", "x0", "x1", "y0", "y1")
+
+
+def correlations(datasets: list[Dataset], refs: list[ColumnRef], limit: int | None = None,
+                 means: dict[int, float | None] | None = None) -> DataFrame:
     """dataset, x, y, r: full matrix over the first numeric columns, pairwise complete.
 
-    Pairs of columns become rows that are aggregated by pair, so the code to generate does not
-    grow with the number of pairs and the map side leaves one row per pair. NaN counts as missing;
-    a constant side gives 0.
+    Each task gives one matrix of co-moments, a row for each pair, and these are summed: a row of the
+    table is one row throughout. `means` by cid are what the values are centred by; without them one
+    more pass takes them. NaN counts as missing; a constant side gives 0.
     """
     spark = datasets[0].df.sparkSession
     parts, cells = [], []
@@ -72,24 +113,25 @@ def correlations(datasets: list[Dataset], refs: list[ColumnRef], limit: int | No
             else f"double({r.sql}) AS v{r.cid}"
             for r in columns
         ])
-        pairs = []
+        if means is None:
+            centre = list(values.agg(*[F.avg(f"v{r.cid}") for r in columns]).first())
+        else:
+            centre = [means.get(r.cid) for r in columns]
+        centre = [m if m is not None and math.isfinite(m) else 0.0 for m in centre]
+        schema = "pair int, " + ", ".join(f"{c} double" for c in CO_MOMENTS)
+        parts.append(values.mapInArrow(_co_moments(len(cells), len(columns), centre), schema))
         for i, a in enumerate(columns):
             for b in columns[i:]:
-                pair = len(cells)
-                pairs.append(f"(v{a.cid}, v{b.cid}) AS `{pair}`")
-                cells.append({"pair": str(pair), "dataset": literal(dataset.name),
+                cells.append({"pair": str(len(cells)), "dataset": literal(dataset.name),
                               "x_ordinal": str(a.ordinal), "x": literal(a.name),
                               "y_ordinal": str(b.ordinal), "y": literal(b.name)})
-        parts.append(spark.sql(
-            f"SELECT int(pair) AS pair, x, y FROM {{values}} "
-            f"UNPIVOT ((x, y) FOR pair IN ({', '.join(pairs)})) WHERE x IS NOT NULL AND y IS NOT NULL",
-            values=values))
     if not parts:
         return spark.createDataFrame(
             [], "dataset string, x_ordinal int, x string, y_ordinal int, y string, r double")
-    # `corr` fails on a constant side; the share of explained variance does not.
-    measured = reduce(DataFrame.union, parts).groupBy("pair").agg(
-        F.expr("coalesce(signum(covar_pop(x, y)) * sqrt(regr_r2(y, x)), 0D) AS r"))
+    summed = reduce(DataFrame.union, parts).groupBy("pair").agg(
+        *[F.sum(c).alias(c) for c in CO_MOMENTS[:6]], *[F.expr(f"{'min' if c.endswith('0') else 'max'}({c}) AS {c}") for c in CO_MOMENTS[6:]])
+    measured = summed.selectExpr("pair", """CASE WHEN n = 0 OR x0 = x1 OR y0 = y1 THEN 0D ELSE
+        greatest(-1D, least(1D, try_divide(sxy - sx * sy / n, sqrt((sxx - sx * sx / n) * (syy - sy * sy / n))))) END AS r""")
     named = spark.range(1).selectExpr(f"inline({records(cells)})")
     half = named.join(measured, "pair", "left").selectExpr(
         "dataset", "x_ordinal", "x", "y_ordinal", "y", "round(coalesce(r, 0D), 4) AS r")

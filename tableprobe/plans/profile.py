@@ -54,15 +54,29 @@ class Profile:
         return self.stage.small(
             "metrics", lambda: metrics.column_metrics(self.datasets, self.refs))
 
+    def _frequencies(self, name: str, refs) -> DataFrame:
+        return self.stage.table(name, lambda: frequency.value_frequencies(self.datasets, refs))
+
+    @property
+    def number_freq(self) -> DataFrame:
+        return self._frequencies("number_frequencies", [r for r in self.refs if r.numeric])
+
+    @property
+    def other_freq(self) -> DataFrame:
+        return self._frequencies("other_frequencies", [r for r in self.refs if not r.numeric])
+
     @property
     def value_freq(self) -> DataFrame:
-        """cid, num, whole, txt, cnt for every distinct non-null value."""
-        return self.stage.table(
-            "frequencies", lambda: frequency.value_frequencies(self.datasets, self.refs))
+        """cid, num, whole, txt, cnt for every distinct non-null value.
+
+        Numbers are staged apart from texts, so that sections of numbers do not wait for texts.
+        """
+        self.stage.together(lambda: self.number_freq, lambda: self.other_freq)
+        return self.number_freq.union(self.other_freq)
 
     @property
     def numbers(self) -> DataFrame:
-        return self.stage.table("numbers", lambda: ranks.ranged_numbers(self.value_freq))
+        return self.stage.table("numbers", lambda: ranks.ranged_numbers(self.number_freq))
 
     @property
     def duplicates(self) -> DataFrame:
@@ -78,9 +92,11 @@ class Profile:
         """Run the jobs that read the data concurrently."""
         values = (
             (lambda: self.sketches if ranks else self._distinct) if self.approximate
-            else (lambda: self.numbers if ranks else self.value_freq)
+            else (lambda: self.number_freq)
         )
-        more = [lambda: self.duplicates] if duplicates else []
+        more = [] if self.approximate else [lambda: self.other_freq]
+        more += [lambda: self.numbers] if ranks and not self.approximate else []
+        more += [lambda: self.duplicates] if duplicates else []
         self.stage.together(lambda: self.metrics, values, *more)
         return self
 
@@ -165,14 +181,16 @@ class Profile:
 
     @cached_property
     def numeric_stats(self) -> DataFrame:
-        return statistics.numeric_stats(self.facts, self.quarters)
+        self.stage.together(lambda: self.metrics, lambda: self.quarters)
+        return statistics.numeric_stats(self.metrics, self.quarters)
 
     @cached_property
     def categorical_stats(self) -> DataFrame:
         return statistics.categorical_stats(self.facts, self.value_freq, self._texts)
 
     def correlations(self, limit: int | None = None) -> DataFrame:
-        return statistics.correlations(self.datasets, self.refs, limit)
+        means = {r["cid"]: r["mean"] for r in self.metrics.select("cid", "mean").collect()}
+        return statistics.correlations(self.datasets, self.refs, limit, means)
 
     def histograms(self, limit: int | None = None) -> DataFrame:
         return statistics.histograms(self.metrics, self.numbers, limit)
@@ -203,10 +221,18 @@ class Profile:
     def target_candidates(self) -> DataFrame:
         return target.top_candidates(self.facts)
 
+    @property
+    def _class_counts(self) -> DataFrame:
+        """Frequencies of the target columns; in approximate mode these alone are counted exactly."""
+        chosen = target.chosen_columns(self.facts)
+        if not self.approximate:
+            return target.class_counts(chosen, self.value_freq)
+        wanted = {r["cid"] for r in chosen.select("cid").collect()}
+        return self._frequencies("target_classes", [r for r in self.refs if r.cid in wanted])
+
     @property
     def _target_balance(self) -> DataFrame:
-        return self.stage.small("balance", lambda: target.class_balance(
-            target.class_counts(target.chosen_columns(self.facts), self.value_freq)))
+        return self.stage.small("balance", lambda: target.class_balance(self._class_counts))
 
     @property
     def targets(self) -> DataFrame:
@@ -215,9 +241,8 @@ class Profile:
 
     @cached_property
     def target_distribution(self) -> DataFrame:
-        classes = target.class_counts(target.chosen_columns(self.facts), self.value_freq)
         return target.class_distribution(
-            frequency.ranked_values(classes, self._texts, None), self.facts)
+            frequency.ranked_values(self._class_counts, self._texts, None), self.facts)
 
     def _gather(self) -> None:
         """Run what the scores need, with independent jobs side by side."""
