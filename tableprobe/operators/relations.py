@@ -91,7 +91,7 @@ def combined_summary(summary: DataFrame, counts: DataFrame, label: str) -> DataF
     """The summaries of all tables as one, with recomputed shares."""
     sums = ("row_count", "column_count", "total_cells", "null_cells", "duplicate_rows",
             "rows_fully_empty", "sensitive_columns", "numeric_columns", "date_columns",
-            "boolean_columns", "categorical_columns", "text_columns", "long_text_columns")
+            "boolean_columns", "categorical_columns", "text_columns", "long_text_columns", "bytes")
     total = summary.agg(*[F.expr(e) for e in (
         "count(1) AS dataset_count", "max(max_null_pct) AS max_null_pct",
         *[f"sum({c}) AS {c}" for c in sums],
@@ -100,6 +100,7 @@ def combined_summary(summary: DataFrame, counts: DataFrame, label: str) -> DataF
         "0 AS dataset_no", f"{literal(label)} AS dataset", "*",
         f"{percent('null_cells', 'total_cells')} AS null_pct",
         f"{percent('duplicate_rows', 'row_count')} AS duplicate_pct",
+        "round(bytes / 1048576D, 2) AS megabytes",
     )
 
 

@@ -10,10 +10,14 @@ from pyspark.sql import types as T
 
 from tableprobe.dataset import TEXT, ColumnRef, Dataset, text_form
 from tableprobe.functions import text
+from tableprobe.functions.safe import json_row
 from tableprobe.functions.sql import literal, quote, records
 
 ISSUE_EXAMPLES = 5
 
+#: A preview is ordered by so many columns.
+SORTED = 3
+
 #: Columns whose nulls one mask tells.
 MASKED = 60
 
@@ -120,6 +124,20 @@ def sample_rows(dataset: Dataset, order_by: list[str], limit: int = 8) -> DataFr
     return dataset.df.orderBy(*[quote(c) for c in order_by]).limit(limit)
 
 
+def preview(datasets: list[Dataset], limit: int = 8) -> DataFrame:
+    """dataset, rank, record: the first rows of every table by its columns, as JSON texts.
+
+    The rank filter works before the shuffle. Columns without an order (maps, variants) do not count.
+    """
+    parts = []
+    for d in datasets:
+        order = [quote(f.name) for f in d.df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        first = d.df.orderBy(*order[:SORTED]).limit(limit) if order else d.df.limit(limit)
+        parts.append(first.selectExpr(f"{literal(d.name)} AS dataset", f"{json_row(first.schema)} AS record"))
+    return reduce(DataFrame.union, parts).selectExpr(
+        "dataset", "row_number() OVER (PARTITION BY dataset ORDER BY record) AS rank", "record")
+
+
 def head_values(
     dataset: Dataset, refs: list[ColumnRef], order_by: str, limit: int
 ) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableprobe.dataset import Dataset
 from tableprobe.functions import text
 from tableprobe.functions.sql import percent, present, rounded, share
 
@@ -94,3 +99,19 @@ def dataset_summary(facts: DataFrame, duplicates: DataFrame, empty: DataFrame) -
         "*", f"{percent('null_cells', 'total_cells')} AS null_pct",
         f"{percent('duplicate_rows', 'row_count')} AS duplicate_pct",
     )
+
+
+def file_sizes(datasets: list[Dataset]) -> DataFrame:
+    """dataset_no, bytes, megabytes: the files a table is read from, null where it is not read from files.
+
+    One row a file is shuffled, whatever files hold; no column is read.
+    """
+    parts = []
+    for number, dataset in enumerate(datasets):
+        files = dataset.df.sparkSession.createDataFrame([], "file string, size bigint")
+        if dataset.df.inputFiles():
+            with suppress(AnalysisException):  # derived from files, but no plain scan of them
+                files = dataset.df.selectExpr("_metadata.file_path AS file", "_metadata.file_size AS size")
+        parts.append(files.groupBy("file").agg(F.expr("max(size) AS size")).agg(
+            F.expr("sum(size) AS bytes")).selectExpr(f"{number} AS dataset_no", "bytes", "round(bytes / 1048576D, 2) AS megabytes"))
+    return reduce(DataFrame.union, parts)

@@ -162,7 +162,8 @@ class Profile:
     def summary(self) -> DataFrame:
         def build():
             self.prepare(duplicates=True)
-            return schema.dataset_summary(self.facts, self.duplicates, self.empty_rows)
+            found = schema.dataset_summary(self.facts, self.duplicates, self.empty_rows)
+            return found.join(F.broadcast(schema.file_sizes(self.datasets)), "dataset_no", "left")
         return self.stage.small("summary", build)
 
     @cached_property
@@ -195,6 +196,9 @@ class Profile:
     def histograms(self, limit: int | None = None) -> DataFrame:
         return statistics.histograms(self.metrics, self.numbers, limit)
 
+    def preview(self, limit: int = 8) -> DataFrame:
+        return rows.preview(self.datasets, limit)
+
     # Problems.
 
     @cached_property

@@ -89,10 +89,34 @@ class _Page(InputPartition):
         self.params = params
 
 
+class _Run(InputPartition):
+    """Consecutive numbered pages, read by one task."""
+
+    def __init__(self, start: int, stop: int):
+        self.start, self.stop = start, stop
+
+
 class _Chain(InputPartition):
     pass
 
 
+#: Most runs that the pages of a source are dealt into.
+RUNS = 256
+
+
+def last_page(full: Callable[[int], bool]) -> int:
+    """The number of the first page that is not full, if all pages before it are: by galloping, then
+    bisection, so that about twice the logarithm of the pages are looked at."""
+    step = 1
+    while full(step - 1):
+        step *= 2
+    low, high = step // 2, step - 1  # pages below `low` were full as far as looked at; `high` is not
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (middle + 1, high) if full(middle) else (low, middle)
+    return high
+
+
 class PagedReader(DataSourceReader):
     """Rows (page, found, record, more): one per record, and one without a record per empty page; `more`
     if a chain of links or tokens goes on behind the last page read."""
@@ -106,6 +130,11 @@ class PagedReader(DataSourceReader):
             return [_Page(0, {})]
         if p.mode in NUMBERED and p.max_pages is not None:
             return [_Page(i, self._params(i)) for i in range(p.max_pages)]
+        if p.mode in NUMBERED:
+            # Should a page before the last be short, reading ends there, as its rows tell.
+            pages = last_page(lambda i: len(page_records(self.fetch(self.url, self._params(i)), self.data_path)) >= p.limit) + 1
+            step = -(-pages // RUNS)
+            return [_Run(i, min(i + step, pages)) for i in range(0, pages, step)]
         return [_Chain(0)]
 
     def _params(self, number: int) -> dict:
@@ -118,14 +147,15 @@ class PagedReader(DataSourceReader):
         if isinstance(partition, _Page):
             yield from self._rows(partition.number, self.fetch(self.url, partition.params))
             return
-        p, url, params, seen = self.paging, self.url, {}, set()
-        for number in count():
-            if p.mode in NUMBERED:
-                document = self.fetch(url, self._params(number))
+        if isinstance(partition, _Run):
+            for number in range(partition.start, partition.stop):
+                document = self.fetch(self.url, self._params(number))
                 yield from self._rows(number, document)
-                if len(page_records(document, self.data_path)) < p.limit:
+                if len(page_records(document, self.data_path)) < self.paging.limit:
                     return
-                continue
+            return
+        p, url, params, seen = self.paging, self.url, {}, set()
+        for number in count():
             document = self.fetch(url, params)
             following = lookup(document, p.next_path or (
                 "next" if p.mode == "next_url" else "next_token"))

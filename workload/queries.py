@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tableprobe import Dataset, Profile
 from tableprobe.dataset import TEXT, WHOLE, column_refs
 from tableprobe.functions import masking, text
+from tableprobe.functions.safe import json_row
 from tableprobe.operators import actions, readiness, rows
-from tableprobe.sources import files, records, sql
+from tableprobe.sources import files, paged, records, sql
+from tableprobe.sources.store import ReportStore
 from tableprobe.staging import Stage
 from workload import oracle
 from workload.inputs import ALL, INPUTS, columns_of, dataset, read
@@ -782,6 +784,54 @@ def _(spark, folder):
     return files.load_file(spark, written_csv(documents, spark, "documents", ",")).df
 
 
+PAGE = 40
+
+
+def served(address: str, parameters: dict) -> dict:
+    """A page of the folder that `paged_source` writes: `page` counts from 1; beyond the last it is empty."""
+    import json
+
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(address)
+    found = store.get_file_info(fs.FileSelector(f"{path}/page={parameters['page'] - 1}", allow_not_found=True))
+    bodies = [store.open_input_stream(f.path).read().decode() for f in found if f.base_name.startswith("part-")]
+    return {"results": [json.loads(line) for body in bodies for line in body.splitlines()]}
+
+
+@table_query("paged_source", "SELECT conv_id, turn, role, text AS \"message.text\" FROM conversations")
+def _(spark, folder):
+    # Rows are numbered over sorted partitions: the place in the partition behind the totals of those before.
+    stage = Stage(spark)
+    dealt = stage.table("dealt", lambda: read(spark, folder, "conversations").repartitionByRange("conv_id", "turn")
+                        .selectExpr("*", "spark_partition_id() AS part", "monotonically_increasing_id() AS at"))
+    totals = dealt.groupBy("part").agg(F.expr("count(1) AS n"), F.expr("min(at) AS first")).selectExpr(
+        "part", "first", "sum(n) OVER (ORDER BY part) - n AS before")
+    numbered = dealt.join(F.broadcast(totals), "part").selectExpr(
+        "conv_id", "turn", "role", "struct(text) AS message", f"(before + at - first) div {PAGE} AS page")
+    pages = f"{stage.path}/pages"
+    numbered.repartition("page").write.partitionBy("page").option("ignoreNullFields", False).json(pages)
+    address = pages if "://" in pages or pages.startswith("file:") else f"file://{pages}"
+    address = address.replace("file:/", "file:///", 1) if address.startswith("file:/") and not address.startswith("file://") else address
+    return paged.load_pages(spark, address, served, paged.Paging(mode="page_limit", limit=PAGE)).df
+
+
+@profile_query("stored_report", ("customer", "dirty"), COLUMN_PROFILE)
+def _(p):
+    store = ReportStore(p.spark, f"{p.stage.path}/reports")
+    return store.read(store.save(p), "columns")
+
+
+@table_query("json_rows", """
+SELECT o_orderkey, to_json(struct_pack(k := o_orderkey, s := struct_pack(status := o_orderstatus,
+  v := [CASE WHEN o_orderkey % 3 > 1 THEN o_totalprice END, NULL, 1.5::DOUBLE]))) AS record FROM orders""")
+def _(spark, folder):
+    odd = "CASE o_orderkey % 3 WHEN 0 THEN double('NaN') WHEN 1 THEN double('-Infinity') ELSE o_totalprice END"
+    nested = read(spark, folder, "orders").selectExpr(
+        "o_orderkey AS k", f"struct(o_orderstatus AS status, array({odd}, null, 1.5D) AS v) AS s")
+    return nested.selectExpr("k AS o_orderkey", f"{json_row(nested.schema)} AS record")
+
+
 @table_query("read_only_queries", r"""
 SELECT conv_id, turn, regexp_matches(q, '(?i)^\s*(select|with)\b') AND NOT regexp_matches(q,
   '(?i)\b(insert|update|delete|drop|alter|create|truncate|merge|grant|revoke|call|execute|attach|detach|pragma)\b')
