@@ -313,3 +313,31 @@ def test_empty_tables(empty):
     assert simhash.near_groups(empty).count() == 0
     assert simhash.deduplicate_near(empty).columns == empty.columns
     assert lines.deduplicate_lines(empty).count() == 0
+
+
+def test_lines_of_words_with_one_hash(spark):
+    """`w254943` and `w267111` have one 32-bit hash; lines that differ in such words alone are not equal."""
+    words = spark.createDataFrame([("w254943", "w267111")], "a string, b string")
+    assert words.selectExpr("hash(a) = hash(b)").first()[0]
+    six = "alpha beta gamma delta epsilon"
+    texts = [(1, "w254943"), (2, "w267111"), (3, f"w254943 {six[:16]}"), (4, f"{six[:16]} w267111"), (5, "w254943 w267111"),
+             (6, f"{six} zeta eta theta w254943"), (7, f"{six} zeta eta theta w267111")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(r.doc for r in lines.repeated_lines(df).collect()) == [7]
+    assert sorted(r.doc_id for r in lines.deduplicate_lines(df).collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_registered_line_dedup(spark, awkward, rows, tmp_path):
+    """The registered query against all pairs, over ids that stand for one text."""
+    from tableprobe.llm.queries import QUERIES
+
+    many = {i for i in [r["doc_id"] for r in rows] if len({r["text"] for r in rows if r["doc_id"] == i}) > 1}
+    table = [(r["doc_id"], r["text"]) for r in rows if r["doc_id"] not in many and r["doc_id"] is not None]
+    spark.createDataFrame(table, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["op9_line_dedup"](spark, str(tmp_path)).collect()
+    assert len(found) == len(table)
+    want = {(i, k) for i, _, k in repeated(table)}
+    assert {(r.doc_id, int(p)) for r in found for p in r.removed_lines.split(",") if p} == want
+    assert all(r.n_removed == sum(i == r.doc_id for i, _ in want) for r in found)
+    sizes = Counter((i, 0 if t is None else t.count("\n") + 1) for i, t in table)
+    assert Counter((r.doc_id, r.n_lines) for r in found) == sizes
