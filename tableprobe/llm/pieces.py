@@ -36,8 +36,11 @@ SPACE = "▁"
 OWN = "\ud800"
 LEAST = -float("inf")
 MULTIPLIER = 0x9E3779B97F4A7C15
-#: Solved words after which a Python worker forgets all and starts anew.
-REMEMBERED = 400_000
+#: Bytes of solved words, about, after which a Python worker forgets all and starts anew, and what a
+#: word takes besides its characters.
+REMEMBERED, HELD = 32 << 20, 240
+#: Bytes of text whose new words are solved together.
+TOGETHER = 1 << 20
 #: Words up to this length are solved together.
 SHORT = 48
 
@@ -242,18 +245,22 @@ class Solved(dict):
     def __init__(self, v: Vocabulary):
         super().__init__()
         self.v = v
+        self.bytes = 0
 
     def __missing__(self, word: str):
         self[word] = found = solve(self.v, word)
+        self.bytes += HELD + 6 * len(word)
         return found
 
     def learn(self, texts: list[str]) -> None:
         """Solves the new words of these texts together, and forgets the old ones when there are too many."""
-        if len(self) > REMEMBERED:
+        if self.bytes > REMEMBERED:
             self.clear()
+            self.bytes = 0
         new = {w for t in texts for w in units(self.v, t)}.difference(self)
         short = [w for w in new if len(w) <= SHORT]
         self.update(zip(short, solve_many(self.v, short), strict=True))
+        self.bytes += sum(HELD + 6 * len(w) for w in short)
 
 
 def segment(solved: Solved, text: str, count: int) -> tuple[list[bytes], list[float], list[tuple]]:
@@ -302,7 +309,7 @@ def segmented(documents: DataFrame, vocabulary: Vocabulary, nbest: int = 4, text
     def encoded(batches):
         v = Vocabulary(*shared.value)
         solved = Solved(v)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TOGETHER):
             ids, scores, digests, restored = [], [], [], []
             texts = utf8(batch["text"]).to_pylist()
             solved.learn(texts)
