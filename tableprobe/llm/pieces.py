@@ -38,7 +38,7 @@ LEAST = -float("inf")
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: Bytes of solved words, about, after which a Python worker forgets all and starts anew, and what a
 #: word takes besides its characters.
-REMEMBERED, HELD = 32 << 20, 240
+REMEMBERED, HELD = 72 << 20, 240
 #: Bytes of text whose new words are solved together.
 TOGETHER = 1 << 20
 #: Words up to this length are solved together.
