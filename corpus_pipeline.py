@@ -15,7 +15,10 @@ from tableprobe.llm.lines import deduplicate_lines
 from tableprobe.llm.pieces import load, segmented
 from tableprobe.llm.quality import score_quality, train_quality
 from tableprobe.llm.queries import tokenizer
-from tableprobe.llm.shingles import deduplicate_similar
+from tableprobe.llm.simhash import deduplicate_near
+
+#: Words of a shingle, and most differing bits of two linked fingerprints.
+SHINGLE, DISTANCE = 4, 4
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,8 +37,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group linked by five-word shingles of Jaccard similarity 0.8 or more."""
-    return deduplicate_similar(docs)
+    """The first document of each group linked by fingerprints of four-word shingles, at 4 or fewer
+    differing bits. Null and empty texts have one fingerprint and form one group."""
+    return deduplicate_near(docs, shingle=SHINGLE, distance=DISTANCE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
