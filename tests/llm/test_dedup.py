@@ -4,12 +4,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 import xxhash
 
 import corpus_pipeline
-from tableprobe.llm import common, lines, shingles, simhash, substring
+from tableprobe.llm import lines, simhash, substring
 
 
 def white(text):
@@ -185,78 +184,13 @@ def test_one_document_of_a_group_stays(awkward, rows):
         assert k[0] == min((i for i, t in keys if label[i, t] == label[k] and i is not None), default=None)
 
 
-def shingled(text, size=5):
-    w = white((text or "").translate({i: i + 32 for i in range(65, 91)}))
-    return frozenset(tuple(w[k:k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset()
-
-
-def first_of_groups(table):
-    """The (id, text) that stay, by all pairs."""
-    keys = sorted(set(table), key=lambda t: (t[0] is None, t[0] or 0))
-    sets = [shingled(t) for _, t in keys]
-    near = [(a, b) for b in range(len(keys)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
-    label = roots_of(len(keys), near)
-    return {keys[k] for k in set(label)}, label
-
-
-@pytest.mark.parametrize("chunk", [1000, 3])
-def test_similar_documents(awkward, rows, chunk):
-    # Ids that stand for several texts are told apart by a hash.
-    many = {i for i in [r["doc_id"] for r in rows] if len({r["text"] for r in rows if r["doc_id"] == i}) > 1}
-    table = [(r["doc_id"], r["text"]) for r in rows if r["doc_id"] not in many]
-    df = awkward.where("doc_id is not null and doc_id not in (" + ",".join(str(i) for i in many if i is not None) + ")")
-    kept = shingles.deduplicate_similar(df, cells=1 << 16, chunk=chunk)
+def test_the_pipeline_keeps_one_of_each_group(awkward, rows):
+    kept = corpus_pipeline.near_dedup(awkward.sparkSession, awkward, "")
     assert kept.columns == awkward.columns
-    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(first_of_groups(table)[0])
-
-
-@pytest.mark.parametrize(("chunk", "full"), [(1000, False), (4, False), (4, True)])
-def test_similar_documents_of_families(spark, chunk, full, monkeypatch):
-    if full:
-        monkeypatch.setattr(substring, "repeated", lambda bits, keys, cells: np.ones(len(keys), bool))
-    rng = np.random.default_rng(11)
-    texts = []
-    for family in range(6):
-        words = [f"w{int(k)}" for k in rng.integers(0, 400, 60)]
-        for _ in range(25):
-            words = list(words)
-            for _ in range(int(rng.integers(0, 3))):
-                words[int(rng.integers(0, 60))] = f"v{int(rng.integers(0, 9))}"
-            texts.append(" ".join(words[:int(rng.integers(45, 61))]))
-    table = [(int(k), t) for k, t in zip(rng.permutation(len(texts)), texts, strict=True)]
-    want, label = first_of_groups(table)
-    assert 20 < len(want) < len(table) - 20
-    df = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
-    got = shingles.deduplicate_similar(df, cells=1 << 16, chunk=chunk).collect()
-    assert Counter((r.doc_id, r.text) for r in got) == Counter(want)
-
-
-def test_the_pipeline_drops_near_copies_of_other_line_widths(spark):
-    rng = np.random.default_rng(2)
-    words = [f"word{int(k)}" for k in rng.integers(0, 5000, 400)]
-    changed = [f"new{k}" if k in (50, 120, 190, 260, 330) else w for k, w in enumerate(words)]  # 25 of 396 shingles
-    far = [f"new{k}" if k % 20 == 0 else w for k, w in enumerate(words)]
-    wrap = lambda w, n: "\n".join(" ".join(w[k:k + n]) for k in range(0, len(w), n))
-    prints = [simhash.fingerprint(wrap(w, 9).encode(), 5) for w in (words, changed)]
-    assert (prints[0] ^ prints[1]).bit_count() > 4
-    table = [(1, wrap(words, 9)), (2, wrap(changed, 14)), (3, wrap(far, 11)), (4, wrap(words, 17).upper())]
-    df = spark.createDataFrame(table, "doc_id long, text string")
-    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [1, 3]
-
-
-def test_shingles_of_slices_of_arrays():
-    texts = ["Ünï A b C d E", "", "one two", "X " * 9, "a B c D e F g", "z"] * 50
-    whole = common.utf8(pa.array(texts, pa.string()))
-    for a, b in ((0, 300), (7, 200), (123, 124), (299, 300), (5, 5)):
-        found, sizes = shingles.shingle_sets(whole.slice(a, b - a))
-        assert sizes.tolist() == [len(shingled(t)) for t in texts[a:b]]
-        alone = [shingles.shingle_sets(common.utf8(pa.array([t], pa.string())))[0] for t in texts[a:b]]
-        assert found.tolist() == [x for y in alone for x in y.tolist()]
-
-
-def test_similar_documents_of_empty_tables(empty):
-    kept = shingles.deduplicate_similar(empty, cells=1 << 16)
-    assert kept.columns == empty.columns and kept.count() == 0
+    prints = {(r["doc_id"], r["text"]): slow_fingerprint(r["text"], 4) for r in rows}
+    keys = list(prints)
+    label = dict(zip(keys, groups([prints[k] for k in keys], 4), strict=True))
+    assert Counter(label[r.doc_id, r.text] for r in kept.collect()) == Counter(set(label.values()))
 
 
 def repeated(table, threshold=0.8):
