@@ -41,6 +41,15 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables, for which everything that reads them must be staged itself."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def utf8(values: pa.Array) -> pa.Array:
     """Texts with 64-bit offsets; a null is empty."""
     return pc.fill_null(values.cast(pa.large_string()), "")
