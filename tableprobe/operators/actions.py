@@ -29,6 +29,9 @@ REASONS = present((
     "CASE WHEN invalid_dates IS NOT NULL THEN 'invalid_dates' END",
 ))
 
+#: Reasons that a column of the dictionary shows unless asked for more.
+NOTES = 2
+
 
 def with_target(quality: DataFrame, targets: DataFrame) -> DataFrame:
     """Quality rows marked with whether the column is the target of its dataset."""
@@ -107,8 +110,12 @@ def apply_cleaning_plan(
     return dataset.df.selectExpr(*columns, *flags)
 
 
-def data_dictionary(marked: DataFrame, actions: DataFrame, samples: DataFrame) -> DataFrame:
-    """One row per column with its role, action, figures and up to five non-blank examples."""
+def data_dictionary(
+    marked: DataFrame, actions: DataFrame, samples: DataFrame, notes: int | None = NOTES,
+) -> DataFrame:
+    """One row per column with its role, action, figures, the non-blank ones of the samples, and its first
+    reasons as notes, all for None."""
+    noted = "reason_codes" if notes is None else f"slice(reason_codes, 1, {notes})"
     shown = samples.selectExpr("cid", "rank", f"{DISPLAY} AS value").where(
         f"NOT {text.is_blank('value')}")
     examples = shown.groupBy("cid").agg(F.expr(
@@ -123,5 +130,5 @@ def data_dictionary(marked: DataFrame, actions: DataFrame, samples: DataFrame) -
         "recommended_action", "null_pct", "unique_count", "unique_rate", "possible_sensitive",
         f"array_join({FLAGS}, ',') AS flags",
         "coalesce(examples, cast(array() AS array<string>)) AS examples",
-        "slice(reason_codes, 1, 2) AS notes",
+        f"{noted} AS notes",
     )

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tableprobe.functions.sql import literal, present, records, share
 from tableprobe.plans.catalogs import DEFAULT_RULE, SENSITIVE_EXTRA
 
-MERGED_RULES = 4
+#: Rules whose advice is merged unless asked for more, and the place of warnings behind all rules.
+MERGED_RULES, BEHIND = 4, 1_000_000
 
 _CATEGORICAL = "(categorical_columns + boolean_columns)"
 _TEXTS = "(text_columns + long_text_columns)"
@@ -63,16 +64,18 @@ def rule_matches(signalled: DataFrame, rules: DataFrame) -> DataFrame:
     ).where(f"rule_id != '{DEFAULT_RULE}' OR rank = 1")
 
 
-def recommendation(matches: DataFrame, signalled: DataFrame, advice: DataFrame) -> DataFrame:
-    """dataset, field, position, item: advice of the leading rules, repeats dropped."""
-    leading = matches.where(f"rank <= {MERGED_RULES}")
+def recommendation(
+    matches: DataFrame, signalled: DataFrame, advice: DataFrame, rules: int | None = MERGED_RULES,
+) -> DataFrame:
+    """dataset, field, position, item: advice of the leading rules, of all for None, repeats dropped."""
+    leading = matches if rules is None else matches.where(f"rank <= {rules}")
     items = leading.join(F.broadcast(advice), "rule_id").where(
         "field != 'approach' OR rank = 1"
     ).selectExpr("dataset", "field", "rank", "position AS place", "item")
     confidence = matches.where("rank = 1").selectExpr(
         "dataset", "'confidence' AS field", "rank", "1 AS place", "confidence AS item")
     extra = records(
-        {"field": literal(field), "rank": str(MERGED_RULES + 1), "place": "1", "item": literal(item)}
+        {"field": literal(field), "rank": str(BEHIND), "place": "1", "item": literal(item)}
         for field, item in SENSITIVE_EXTRA
     )
     warned = signalled.where("array_contains(signals, 'sensitive_data')").selectExpr(

@@ -31,6 +31,8 @@ class Profile:
     def __init__(
         self, datasets: list[Dataset], objective: str | None = None,
         decimal_as_categorical: bool = False, approximate: bool = False,
+        merged_rules: int | None = advice.MERGED_RULES, notes: int | None = actions.NOTES,
+        examples: int | None = 5,
     ):
         if not datasets:
             raise ValueError("nothing to profile")
@@ -40,6 +42,8 @@ class Profile:
         ]
         self.objective = objective
         self.approximate = approximate
+        # Widths of the advice and the dictionary, None for all.
+        self.merged_rules, self.notes, self.examples = merged_rules, notes, examples
         self.spark: SparkSession = datasets[0].df.sparkSession
         self.refs = column_refs(self.datasets, decimal_as_categorical)
         if not self.refs:
@@ -213,11 +217,11 @@ class Profile:
     def problem_legend(self) -> DataFrame:
         return quality.legend(self.problems, catalogs.issue_catalog(self.spark))
 
-    def issue_examples(self, dataset: str, key: str) -> DataFrame:
+    def issue_examples(self, dataset: str, key: str, limit: int = rows.ISSUE_EXAMPLES) -> DataFrame:
         number = [d.name for d in self.datasets].index(dataset)
         return rows.issue_examples(
             self.datasets[number], [r for r in self.refs if r.dataset_no == number],
-            self.quality.where("outlier_count IS NOT NULL"), key)
+            self.quality.where("outlier_count IS NOT NULL"), key, limit)
 
     # Target, scores, actions.
 
@@ -305,8 +309,8 @@ class Profile:
 
     @cached_property
     def data_dictionary(self) -> DataFrame:
-        samples = frequency.ranked_values(self.value_freq, self._texts, 5, by_count=False)
-        return actions.data_dictionary(self.marked, self.column_actions, samples)
+        samples = frequency.ranked_values(self.value_freq, self._texts, self.examples, by_count=False)
+        return actions.data_dictionary(self.marked, self.column_actions, samples, self.notes)
 
     # Advice.
 
@@ -321,7 +325,7 @@ class Profile:
     @cached_property
     def recommendation(self) -> DataFrame:
         return advice.recommendation(
-            self.rule_matches, self.signals, catalogs.advice_catalog(self.spark))
+            self.rule_matches, self.signals, catalogs.advice_catalog(self.spark), self.merged_rules)
 
     @cached_property
     def decision(self) -> DataFrame:
@@ -461,7 +465,7 @@ class Profile:
     def combined_recommendation(self) -> DataFrame:
         return advice.recommendation(
             self.combined_rule_matches, self.combined_signals,
-            catalogs.advice_catalog(self.spark))
+            catalogs.advice_catalog(self.spark), self.merged_rules)
 
     @cached_property
     def combined_decision(self) -> DataFrame:
