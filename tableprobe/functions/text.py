@@ -104,6 +104,26 @@ def parse_day(c: str) -> str:
     return _day(strip(c))
 
 
+# Formats of days: shape, pattern, and how many characters the pattern reads.
+DAY_FORMATS = {
+    "year-month-day": (DAY_SHAPE, "yyyy-M-d", 10),
+    "day/month/year": (SLASH_YEAR_LAST_SHAPE, "d/M/yyyy", 10),
+    "month/day/year": (SLASH_YEAR_LAST_SHAPE, "M/d/yyyy", 10),
+    "moment": (MOMENT_SHAPE, "yyyy-MM-dd", 10),
+    "year/month/day": (SLASH_YEAR_FIRST_SHAPE, "yyyy/MM/dd", 10),
+    "compact": (COMPACT_DAY_SHAPE, "yyyyMMdd", 8),
+}
+
+
+def has_day_format(stripped: str, name: str) -> str:
+    """A stripped text is a calendar day in this one format; 3/4/2024 is one in two formats."""
+    shape, pattern, size = DAY_FORMATS[name]
+    return (
+        f"({_date_candidate(stripped)} AND {stripped} RLIKE r'{shape}' "
+        f"AND try_to_date(substring({stripped}, 1, {size}), '{pattern}') IS NOT NULL)"
+    )
+
+
 def is_day(stripped: str) -> str:
     return f"({_day(stripped)} IS NOT NULL)"
 

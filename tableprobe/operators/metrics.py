@@ -64,8 +64,13 @@ def long_form(datasets: list[Dataset], refs: list[ColumnRef], value) -> DataFram
     return reduce(DataFrame.union, parts) if parts else None
 
 
-def text_metrics(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame | None:
-    """Counts of value codes, lengths and content tests of texts and of what is read as text."""
+def text_metrics(
+    datasets: list[Dataset], refs: list[ColumnRef], day_formats: bool = False
+) -> DataFrame | None:
+    """Counts of value codes, lengths and content tests of texts and of what is read as text.
+
+    With `day_formats` also `hits`, how many values are days in each of the formats.
+    """
     read = [r for r in refs if r.kind in (TEXT, OTHER) or (named_date(r.name) and r.kind != DATE)]
     values = long_form(datasets, read, text_form)
     if values is None:
@@ -75,7 +80,8 @@ def text_metrics(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame |
     if judged_by_name:
         personal = f"cid NOT IN ({listed(judged_by_name)}) AND {personal}"
     coded = values.selectExpr("cid", "v", f"{text.strip('v')} AS stripped").selectExpr(
-        "cid", "v", "char_length(v) AS length", f"{text.value_code('v', 'stripped')} AS code")
+        "cid", "v", "stripped", "char_length(v) AS length", f"{text.value_code('v', 'stripped')} AS code")
+    formats = ", ".join(f"count_if({text.has_day_format('stripped', f)})" for f in text.DAY_FORMATS)
     return coded.groupBy("cid").agg(*[F.expr(e) for e in (
         "count(1) AS texts",
         *[f"count_if(code = {k}) AS code{k}" for k in CODES],
@@ -83,9 +89,34 @@ def text_metrics(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame |
         f"coalesce(sum(CASE WHEN code > {text.BLANK} THEN length END), 0) AS length_filled",
         f"bool_or({text.has_bad_character('v')}) AS bad_character",
         f"bool_or({personal}) AS personal_text",
+        *([f"array({formats}) AS hits"] if day_formats else []),
     )])
 
 
+def in_one_format(metrics: DataFrame) -> DataFrame:
+    """Text metrics in which only days in their column's most frequent format are days.
+
+    Of formats with equally many hits the first counts. Other days are words, and numbers that are
+    days in the compact format only are numbers, unless that format is the one.
+    """
+    names = list(text.DAY_FORMATS)
+    compact = names.index("compact") + 1
+    chosen = metrics.selectExpr("*", "array_max(hits) AS dates", "array_position(hits, array_max(hits)) AS place",
+                                f"code{text.DAY} + code{text.DAY_NUMBER} AS all_dates")
+    moved = {
+        text.NUMBER: f"code{text.NUMBER} + if(place = {compact}, 0, code{text.DAY_NUMBER})",
+        text.DAY_NUMBER: f"if(place = {compact}, code{text.DAY_NUMBER}, 0)",
+        text.DAY: f"if(place = {compact}, 0, dates)",
+        text.WORDS: f"code{text.WORDS} + code{text.DAY} - if(place = {compact}, 0, dates)",
+    }
+    listed_names = ", ".join(f"'{n}'" for n in names)
+    return chosen.selectExpr(
+        *[c for c in metrics.columns if c not in ("hits", *(f"code{k}" for k in moved))],
+        *[f"{e} AS code{k}" for k, e in moved.items()],
+        f"if(dates > 0, element_at(array({listed_names}), int(place)), null) AS date_format",
+        "dates AS format_dates", "all_dates - dates AS other_dates")
+
+
 def number_metrics(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame | None:
     """Count, moments and range of numbers; NaN is left out of the range."""
     numeric = [r for r in refs if r.numeric]
@@ -117,11 +148,19 @@ def presence(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame | None
     return None if values is None else values.groupBy("cid").agg(F.expr("count(1) AS present"))
 
 
-def column_metrics(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame:
-    """One row per column of every dataset. All joined sides have one row per column."""
+def column_metrics(
+    datasets: list[Dataset], refs: list[ColumnRef], dominant_format: bool = False
+) -> DataFrame:
+    """One row per column of every dataset. All joined sides have one row per column.
+
+    With `dominant_format` one date format is chosen a column, from counts of the same scan.
+    """
     spark = datasets[0].df.sparkSession
     joined = column_dimension(spark, refs).join(row_counts(datasets), "dataset_no", "left")
-    for part in (presence(datasets, refs), text_metrics(datasets, refs), number_metrics(datasets, refs)):
+    texts = text_metrics(datasets, refs, dominant_format)
+    if texts is not None and dominant_format:
+        texts = in_one_format(texts)
+    for part in (presence(datasets, refs), texts, number_metrics(datasets, refs)):
         if part is not None:
             joined = joined.join(part, "cid", "left")
 
@@ -140,4 +179,5 @@ def column_metrics(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame:
         f"{known('personal_text', 'false')} OR {known('personal_number', 'false')} "
         "AS personal_content",
         *[f"{c if c in joined.columns else 'cast(null AS double)'} AS {c}" for c in MOMENTS],
+        *(["date_format", "format_dates", "other_dates"] if "date_format" in joined.columns else []),
     )

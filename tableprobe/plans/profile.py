@@ -32,7 +32,7 @@ class Profile:
         self, datasets: list[Dataset], objective: str | None = None,
         decimal_as_categorical: bool = False, approximate: bool = False,
         merged_rules: int | None = advice.MERGED_RULES, notes: int | None = actions.NOTES,
-        examples: int | None = 5,
+        examples: int | None = 5, dominant_format: bool = False,
     ):
         if not datasets:
             raise ValueError("nothing to profile")
@@ -42,6 +42,8 @@ class Profile:
         ]
         self.objective = objective
         self.approximate = approximate
+        # Whether only the most frequent date format of a column counts as dates.
+        self.dominant_format = dominant_format
         # Widths of the advice and the dictionary, None for all.
         self.merged_rules, self.notes, self.examples = merged_rules, notes, examples
         self.spark: SparkSession = datasets[0].df.sparkSession
@@ -56,7 +58,18 @@ class Profile:
     @property
     def metrics(self) -> DataFrame:
         return self.stage.small(
-            "metrics", lambda: metrics.column_metrics(self.datasets, self.refs))
+            "metrics", lambda: metrics.column_metrics(self.datasets, self.refs, self.dominant_format))
+
+    @property
+    def date_formats(self) -> DataFrame:
+        """Columns with dates in texts: their most frequent format, its dates, and those in others."""
+        if not self.dominant_format:
+            raise ValueError("date formats are counted with dominant_format=True only")
+        if "date_format" not in self.metrics.columns:  # no texts at all
+            none = ("string(null) AS date_format", "bigint(null) AS dates", "bigint(null) AS other_dates")
+            return self.metrics.where("false").selectExpr("dataset", "column", *none)
+        return self.metrics.where("date_format IS NOT NULL").selectExpr(
+            "dataset", "column", "date_format", "format_dates AS dates", "other_dates")
 
     def _frequencies(self, name: str, refs) -> DataFrame:
         return self.stage.table(name, lambda: frequency.value_frequencies(self.datasets, refs))

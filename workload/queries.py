@@ -816,6 +816,47 @@ def _(spark, folder):
     return paged.load_pages(spark, address, served, paged.Paging(mode="page_limit", limit=PAGE)).df
 
 
+# Order days as texts, in Spark and in DuckDB: mostly in one format, some in another.
+DAY_TEXTS = {
+    "mostly_iso": ("CASE WHEN o_orderkey % 9 = 0 THEN date_format(d, 'dd/MM/yyyy') ELSE date_format(d, 'yyyy-MM-dd') END",
+                   "CASE WHEN o_orderkey % 9 = 0 THEN strftime(d, '%d/%m/%Y') ELSE strftime(d, '%Y-%m-%d') END"),
+    "day_first": ("CASE WHEN o_orderkey % 3 = 0 THEN date_format(d, ' M/d/yyyy') ELSE date_format(d, 'd/M/yyyy ') END",
+                  "CASE WHEN o_orderkey % 3 = 0 THEN strftime(d, ' %-m/%-d/%Y') ELSE strftime(d, '%-d/%-m/%Y ') END"),
+    "compact": ("CASE WHEN o_orderkey % 4 = 0 THEN date_format(d, 'yyyy/MM/dd') ELSE date_format(d, 'yyyyMMdd') END",
+                "CASE WHEN o_orderkey % 4 = 0 THEN strftime(d, '%Y/%m/%d') ELSE strftime(d, '%Y%m%d') END"),
+    "moments": ("CASE WHEN o_orderkey % 50 = 0 THEN 'unknown' ELSE date_format(d, \"yyyy-MM-dd'T'HH:mm:ss\") END",
+                "CASE WHEN o_orderkey % 50 = 0 THEN 'unknown' ELSE strftime(d, '%Y-%m-%dT%H:%M:%S') END"),
+    "no_days": ("o_orderstatus", "o_orderstatus"),
+}
+DAY_HITS = {
+    "year-month-day": (r"\d{4}-\d{1,2}-\d{1,2}", "%Y-%m-%d"), "day/month/year": (r"\d{1,2}/\d{1,2}/\d{4}", "%d/%m/%Y"),
+    "month/day/year": (r"\d{1,2}/\d{1,2}/\d{4}", "%m/%d/%Y"), "moment": (oracle.MOMENT[1:-1], "%Y-%m-%d"),
+    "year/month/day": (r"\d{4}/\d{2}/\d{2}", "%Y/%m/%d"), "compact": (r"\d{8}", "%Y%m%d"),
+}
+
+
+def day_formats_twin() -> str:
+    values = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", trim({duck}) AS s FROM days" for c, (_, duck) in DAY_TEXTS.items())
+    hit = {f: f"(regexp_full_match(s, '{shape}') AND try_strptime(CASE WHEN '{f}' = 'moment' THEN left(s, 10) ELSE s END, "
+              f"'{pattern}') IS NOT NULL)" for f, (shape, pattern) in DAY_HITS.items()}
+    hits = " UNION ALL ".join(f"SELECT \"column\", {k} AS place, '{f}' AS date_format, count_if({test}) AS dates "
+                              f"FROM v GROUP BY \"column\"" for k, (f, test) in enumerate(hit.items()))
+    return f"""WITH days AS (SELECT *, CAST(o_orderdate AS TIMESTAMP) AS d FROM orders), v AS ({values}), h AS ({hits}),
+      n AS (SELECT "column", count_if({" OR ".join(hit.values())}) AS every, count(s) AS filled FROM v GROUP BY "column")
+    SELECT 'days' AS dataset, "column", date_format, dates, every - dates AS other_dates, dates >= 0.8 * filled AS is_date
+    FROM h JOIN n USING ("column") WHERE dates > 0
+    QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY dates DESC, place) = 1"""
+
+
+@table_query("date_formats", day_formats_twin())
+def _(spark, folder):
+    days = read(spark, folder, "orders").selectExpr("*", "o_orderdate AS d").selectExpr(
+        *[f"{own} AS {c}" for c, (own, _) in DAY_TEXTS.items()])
+    p = Profile([Dataset("days", days)], dominant_format=True)
+    types = p.column_profile.selectExpr("dataset", "column", "semantic_type = 'date' AS is_date")
+    return p.date_formats.join(types, ["dataset", "column"])
+
+
 @profile_query("stored_report", ("customer", "dirty"), COLUMN_PROFILE)
 def _(p):
     store = ReportStore(p.spark, f"{p.stage.path}/reports")
