@@ -147,10 +147,11 @@ def is_truth_token(c: str) -> str:
 
 
 def has_personal_content(c: str) -> str:
-    """An e-mail address or an eleven-digit taxpayer number anywhere in the text."""
+    """An e-mail address or an eleven-digit taxpayer number anywhere in the text. Less than eleven bytes
+    hold no such number and are not searched."""
     return (
         f"((contains({c}, '@') AND {c} RLIKE r'{EMAIL_SHAPE}') "
-        f"OR {c} RLIKE r'(?U){TAXPAYER_SHAPE}')"
+        f"OR (octet_length({c}) >= 11 AND {c} RLIKE r'(?U){TAXPAYER_SHAPE}'))"
     )
 
 
@@ -173,7 +174,7 @@ def frequency_key(c: str) -> str:
     the whole value and of its normalised form: longer than any literal, so never equal to one.
     """
     return (
-        f"(CASE WHEN char_length({c}) <= {LITERAL_LIMIT} THEN {c} "
+        f"(CASE WHEN octet_length({c}) <= {LITERAL_LIMIT} OR char_length({c}) <= {LITERAL_LIMIT} THEN {c} "
         f"ELSE concat(substring({c}, 1, {KEY_PREFIX}), '\\u0001', sha2({c}, 256), "
         f"sha2({normalise(c)}, 256)) END)"
     )

@@ -1,6 +1,7 @@
 """Mergeable column metrics.
 
-Texts and numbers are read in long form, (column, value), and aggregated by column. The map side
+Texts and numbers are read in long form, (column, value), and aggregated by column; texts from their
+frequencies, where these are there. The map side
 collapses a partition to one row per column, so hardly anything is shuffled, and the generated
 code stays small enough to be compiled however wide the tables are.
 """
@@ -21,6 +22,9 @@ from tableprobe.functions.wordlists import DATE_NAME_PARTS, SENSITIVE_NAME_PARTS
 # So many columns are turned into rows by one scan; wider tables take a pruned scan per batch.
 BATCH = 100
 
+# The collation under which only equal bytes are equal texts.
+BINARY = "UTF8_BINARY"
+
 CODES = range(text.EMPTY, text.WORDS + 1)
 MOMENTS = ("mean", "std", "skew", "min", "max", "finite_min", "finite_max")
 
@@ -64,29 +68,61 @@ def long_form(datasets: list[Dataset], refs: list[ColumnRef], value) -> DataFram
     return reduce(DataFrame.union, parts) if parts else None
 
 
+def counted_texts(
+    datasets: list[Dataset], refs: list[ColumnRef], frequencies: DataFrame | None
+) -> DataFrame | None:
+    """cid, v, n: values as texts and how often they occur; without frequencies one row a value.
+
+    Frequencies hold texts up to a length as they are, so each distinct one is looked at once. Longer
+    texts, of which they hold digests, are read again from the columns that have any. So are numbers, which
+    they do not hold as texts, and columns under a collation, whose equal texts may differ.
+    """
+    if frequencies is None:
+        values = long_form(datasets, refs, text_form)
+        return None if values is None else values.selectExpr("cid", "v", "1L AS n")
+    kept = [r.cid for r in refs if not r.numeric and getattr(r.data_type, "collation", BINARY) == BINARY]
+    parts = []
+    if kept:
+        own = frequencies.where(f"cid IN ({listed(kept)})")
+        digest = text.key_is_digest("txt")
+        parts.append(own.where(f"NOT {digest}").selectExpr("cid", "txt AS v", "cnt AS n"))
+        # One figure a column reaches the driver.
+        cut = {r["cid"] for r in own.where(digest).select("cid").distinct().collect()}
+        long = long_form(datasets, [r for r in refs if r.cid in cut], text_form)
+        if long is not None:
+            parts.append(long.where(f"char_length(v) > {text.LITERAL_LIMIT}").selectExpr("cid", "v", "1L AS n"))
+    rest = long_form(datasets, [r for r in refs if r.cid not in kept], text_form)
+    if rest is not None:
+        parts.append(rest.selectExpr("cid", "v", "1L AS n"))
+    return reduce(DataFrame.union, parts) if parts else None
+
+
 def text_metrics(
-    datasets: list[Dataset], refs: list[ColumnRef], day_formats: bool = False
+    datasets: list[Dataset], refs: list[ColumnRef], day_formats: bool = False,
+    frequencies: DataFrame | None = None,
 ) -> DataFrame | None:
     """Counts of value codes, lengths and content tests of texts and of what is read as text.
 
+    Given the frequencies of all columns that are not numeric, they are taken over distinct values.
     With `day_formats` also `hits`, how many values are days in each of the formats.
     """
     read = [r for r in refs if r.kind in (TEXT, OTHER) or (named_date(r.name) and r.kind != DATE)]
-    values = long_form(datasets, read, text_form)
+    values = counted_texts(datasets, read, frequencies)
     if values is None:
         return None
     judged_by_name = [r.cid for r in read if named_sensitive(r.name) or r.numeric]
     personal = text.has_personal_content("v")
     if judged_by_name:
         personal = f"cid NOT IN ({listed(judged_by_name)}) AND {personal}"
-    coded = values.selectExpr("cid", "v", f"{text.strip('v')} AS stripped").selectExpr(
-        "cid", "v", "stripped", "char_length(v) AS length", f"{text.value_code('v', 'stripped')} AS code")
-    formats = ", ".join(f"count_if({text.has_day_format('stripped', f)})" for f in text.DAY_FORMATS)
+    coded = values.selectExpr("cid", "v", "n", f"{text.strip('v')} AS stripped").selectExpr(
+        "cid", "v", "n", "stripped", "char_length(v) AS length", f"{text.value_code('v', 'stripped')} AS code")
+    total = "sum(CASE WHEN {} THEN n ELSE 0L END)".format
+    formats = ", ".join(total(text.has_day_format("stripped", f)) for f in text.DAY_FORMATS)
     return coded.groupBy("cid").agg(*[F.expr(e) for e in (
-        "count(1) AS texts",
-        *[f"count_if(code = {k}) AS code{k}" for k in CODES],
-        "sum(length) AS length_all",
-        f"coalesce(sum(CASE WHEN code > {text.BLANK} THEN length END), 0) AS length_filled",
+        "sum(n) AS texts",
+        *[f"{total(f'code = {k}')} AS code{k}" for k in CODES],
+        "sum(length * n) AS length_all",
+        f"coalesce(sum(CASE WHEN code > {text.BLANK} THEN length * n END), 0) AS length_filled",
         f"bool_or({text.has_bad_character('v')}) AS bad_character",
         f"bool_or({personal}) AS personal_text",
         *([f"array({formats}) AS hits"] if day_formats else []),
@@ -149,15 +185,17 @@ def presence(datasets: list[Dataset], refs: list[ColumnRef]) -> DataFrame | None
 
 
 def column_metrics(
-    datasets: list[Dataset], refs: list[ColumnRef], dominant_format: bool = False
+    datasets: list[Dataset], refs: list[ColumnRef], dominant_format: bool = False,
+    frequencies: DataFrame | None = None,
 ) -> DataFrame:
     """One row per column of every dataset. All joined sides have one row per column.
 
-    With `dominant_format` one date format is chosen a column, from counts of the same scan.
+    With `dominant_format` one date format is chosen a column, from counts of the same scan. With the
+    frequencies of the columns that are not numeric, texts are judged once for each distinct value.
     """
     spark = datasets[0].df.sparkSession
     joined = column_dimension(spark, refs).join(row_counts(datasets), "dataset_no", "left")
-    texts = text_metrics(datasets, refs, dominant_format)
+    texts = text_metrics(datasets, refs, dominant_format, frequencies)
     if texts is not None and dominant_format:
         texts = in_one_format(texts)
     for part in (presence(datasets, refs), texts, number_metrics(datasets, refs)):

@@ -57,8 +57,8 @@ class Profile:
 
     @property
     def metrics(self) -> DataFrame:
-        return self.stage.small(
-            "metrics", lambda: metrics.column_metrics(self.datasets, self.refs, self.dominant_format))
+        return self.stage.small("metrics", lambda: metrics.column_metrics(
+            self.datasets, self.refs, self.dominant_format, None if self.approximate else self.other_freq))
 
     @property
     def date_formats(self) -> DataFrame:
