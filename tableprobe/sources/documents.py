@@ -29,30 +29,39 @@ def _raw(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: A string of JSON, as a pattern without a step back.
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
 def bare(text: str) -> str:
     """The JSON text with its strings emptied."""
-    return f"regexp_replace({text}, {_raw(r'"(?:[^"\\]|\\.)*+"')}, '\"\"')"
+    return f"regexp_replace({text}, {_raw(STRING)}, '\"\"')"
 
 
 def brackets(text: str) -> str:
-    """How often a bare JSON text opens or closes an object or a list."""
-    return f"(length({text}) - length(translate({text}, '{{[]}}', '')))"
+    """How often a JSON text opens or closes an object or a list, strings aside."""
+    return f"length(regexp_replace({text}, {_raw(STRING + r'|[^"{}\[\]]++')}, ''))"
 
 
-def is_one_value(text: str) -> str:
-    """Whether a text is one JSON value and nothing else.
+def is_one_value(text: str, value: str) -> str:
+    """Whether a text is one JSON value and nothing else, `value` being what `try_parse_json` gives for it.
 
     The parser stops behind the first value. If that one is an object or a list, it has all brackets of the
     text, which ends with one; else the text is a single word.
     """
-    value = f"try_parse_json({text})"
-    nested = f"""({brackets(bare(text))} = {brackets(bare(f"to_json({value})"))} AND {text} RLIKE {_raw(r'[}\]]\s*\z')})"""
+    nested = f"""({brackets(text)} = {brackets(f"to_json({value})")} AND {text} RLIKE {_raw(r'[}\]]\s*\z')})"""
     word = f"({bare(text)} RLIKE {_raw(r'^\s*(?:""|[^\s"{}\[\],:]+)\s*\z')})"
     return f"coalesce({value} IS NOT NULL AND CASE WHEN {text} RLIKE {_raw(r'^\s*[{\[]')} THEN {nested} ELSE {word} END, false)"
 
 
+def parsed(texts: DataFrame) -> DataFrame:
+    """The texts (column `value`) with `doc`, their first JSON value or null. As a column it is made once a
+    text, however many tests look at it."""
+    return texts.selectExpr("*", "try_parse_json(value) AS doc")
+
+
 def is_object(value: str) -> str:
-    return f"(try_variant_get({value}, '$', 'map<string,variant>') IS NOT NULL)"
+    return f"(try_variant_get({value}, '$', 'struct<>') IS NOT NULL)"
 
 
 def is_filled(value: str) -> str:
@@ -70,9 +79,10 @@ def items(value: str) -> str:
 
 
 def lists_objects(value: str) -> str:
-    """Whether a value is a list whose first item that is not null is an object; or that has no such item."""
-    filled = f"filter({items(value)}, x -> {is_filled('x')})"
-    return f"coalesce({items(value)} IS NOT NULL AND (size({filled}) = 0 OR {is_object(f'{filled}[0]')}), false)"
+    """Whether a value is a list whose first item that is not null is an object; or that has no such item.
+    The lists of one item name what several tests look at, so that it is made once."""
+    first = f"get(filter(i, x -> {is_filled('x')}), 0)"
+    return f"exists(array({items(value)}), i -> i IS NOT NULL AND exists(array({first}), f -> f IS NULL OR {is_object('f')}))"
 
 
 def chosen(value: str, data_path: str | None) -> str:
@@ -86,10 +96,10 @@ def chosen(value: str, data_path: str | None) -> str:
 
 def record_texts(value: str) -> str:
     """The records in a chosen value as JSON texts: an object is one, a list of objects gives its objects, any
-    other value or item becomes the field `value`."""
+    other value or item becomes the field `value`. Only the JSON text of an object starts with a brace."""
     wrapped = lambda v: f"concat('{{\"value\":', coalesce(to_json({v}), 'null'), '}}')"
     return f"""CASE WHEN {is_object(value)} THEN array(to_json({value}))
-        WHEN {lists_objects(value)} THEN transform(filter({items(value)}, x -> {is_object('x')}), x -> to_json(x))
+        WHEN {lists_objects(value)} THEN filter(transform({items(value)}, x -> to_json(x)), t -> startswith(t, '{{'))
         WHEN {items(value)} IS NOT NULL THEN transform({items(value)}, x -> {wrapped('x')})
         ELSE array({wrapped(value)}) END"""
 
@@ -126,10 +136,9 @@ def documents(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
     """value: the JSON texts of all documents, and whether each is a line of a file and an object without any
     of the default record paths, so that Spark's own reader gives the same."""
     first_keys = sorted({p.split(".")[0] for p in RECORD_PATHS})
-    parsed = "try_parse_json(value)"
-    plain = f"({is_object(parsed)} AND " + " AND ".join(f"{at(parsed, k)} IS NULL" for k in first_keys) + ")"
-    judged = _filled_lines(spark, path).groupBy("file").agg(
-        F.expr(f"count_if(NOT {is_one_value('value')}) AS bad"), F.expr(f"bool_and({plain}) AS plain"))
+    plain = f"(doc IS NOT NULL AND value RLIKE {_raw(r'^\s*[{]')} AND " + " AND ".join(f"{at('doc', k)} IS NULL" for k in first_keys) + ")"
+    judged = parsed(_filled_lines(spark, path)).selectExpr("file", f"{is_one_value('value', 'doc')} AS one", f"{plain} AS plain")
+    judged = judged.groupBy("file").agg(F.expr("count_if(NOT one) AS bad"), F.expr("bool_and(plain) AS plain"))
     # One row a file, of which Spark's listing holds a row in the driver as well.
     files = judged.collect()
     names = lambda rows: [unquote(r.file) for r in rows]
@@ -137,14 +146,15 @@ def documents(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
     if not others:
         return _filled_lines(spark, path).select("value"), all(r.plain for r in files)
     whole = spark.read.text(others, wholetext=True).selectExpr("_metadata.file_path AS file", "value")
-    whole = Stage(spark).table("whole", lambda: whole.selectExpr("*", f"{is_one_value('value')} AS one"))
+    whole = Stage(spark).table("whole", lambda: parsed(whole).selectExpr("file", "value", f"{is_one_value('value', 'doc')} AS one"))
     parts = [whole.where("one").select("value")]
     if by_line:
         parts.append(_filled_lines(spark, by_line).select("value"))
     several = names(whole.where("NOT one").select("file").collect())
     if several:
         split = _filled_lines(spark, several).mapInArrow(_split, "file string, value string, broken boolean")
-        split = Stage(spark).table("split", lambda: split.selectExpr("file", "value", f"broken OR NOT {is_one_value('value')} AS broken"))
+        split = Stage(spark).table("split", lambda: parsed(split).selectExpr(
+            "file", "value", f"broken OR NOT {is_one_value('value', 'doc')} AS broken"))
         broken = names(split.where("broken").select("file").distinct().limit(NAMED).collect())
         if broken:
             raise ValueError(f"neither one JSON document nor JSON values in each line: {', '.join(sorted(broken))}")

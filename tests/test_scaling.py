@@ -1,7 +1,8 @@
-"""What is looked at once for each distinct value."""
+"""What is looked at once for each distinct value, and once for each document."""
 
 from tableprobe import Dataset, Profile
 from tableprobe.operators import metrics
+from tableprobe.sources import documents
 
 
 def dataset(spark):
@@ -32,3 +33,20 @@ def test_short_texts_are_not_searched_for_numbers_of_eleven_digits(spark):
     from tableprobe.functions import text
     found = spark.createDataFrame([("12345678901",), ("123.456.789-01",), ("1234567890",), ("a@b.c",), ("",)], "v string")
     assert [r[0] for r in found.selectExpr(text.has_personal_content("v")).collect()] == [True, True, False, True, False]
+
+
+def test_a_json_text_is_parsed_once(spark):
+    texts = {'{"a":"}{"}': True, '[1, "]"] ': True, '{"a":1} {"b":2}': False, '{"a":1} x': False, "1": True, '"a b"': True,
+             "1 2": False, '{"a":1}"}': False, '{"a":1': False, '["\\"]"]': True, "[]": True, "{} ]": False, "": False}
+    seen = documents.parsed(spark.createDataFrame([(t,) for t in texts], "value string"))
+    test = documents.is_one_value("value", "doc")
+    assert "parse_json" not in test
+    assert {r["value"]: r["one"] for r in seen.selectExpr("value", f"{test} AS one").collect()} == texts
+
+
+def test_a_list_of_records_is_opened_once(spark):
+    lists = {'[{"a":1}]': True, '[null,{"a":1}]': True, "[]": True, "[null]": True, '[1,{"a":1}]': False, "{}": False, "1": False}
+    test = documents.lists_objects("v")
+    assert test.count("array<variant>") == 1
+    found = spark.createDataFrame([(t,) for t in lists], "t string").selectExpr("t", "parse_json(t) AS v").selectExpr("t", f"{test} AS l")
+    assert {r["t"]: r["l"] for r in found.collect()} == lists
