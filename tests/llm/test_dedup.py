@@ -275,3 +275,32 @@ def test_registered_line_dedup(spark, awkward, rows, tmp_path):
     assert all(r.n_removed == sum(i == r.doc_id for i, _ in want) for r in found)
     sizes = Counter((i, 0 if t is None else t.count("\n") + 1) for i, t in table)
     assert Counter((r.doc_id, r.n_lines) for r in found) == sizes
+
+
+def test_lines_with_runs_of_spaces(spark):
+    """Empty words between spaces count for nothing where pairs are verified, also in rows that repeat."""
+    ten = [f"w{k}" for k in range(10)]
+    texts = [(1, "  ".join(ten)), (1, "  ".join(ten)), (2, "  ".join(ten[:8] + ["x", "y"])), (3, "  ".join(ten[:9] + ["z"])),
+             (4, " ".join(ten[:8]) + "   v"), (5, "   ")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = Counter(i for i, _, _ in repeated(sorted(set(texts))))
+    assert Counter(r.doc for r in lines.repeated_lines(df).collect() if r.doc != 1) == want
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    import time
+    from pathlib import Path
+
+    from tableprobe.llm.common import CLEANUP, staged
+
+    roots = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    held = lambda: {f.name for r in roots for f in Path(r).rglob("shuffle_*")}
+    before, setting = held(), spark.conf.get(CLEANUP, None)
+    df = spark.range(1000).selectExpr("id % 10 AS k").groupBy("k").count()
+    table = staged(df)
+    end = time.time() + 20
+    while (left := {n for n in held() - before if n.endswith(".data")}) and time.time() < end:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(CLEANUP, None) == setting
+    assert table.count() == 10
