@@ -233,6 +233,36 @@ def test_lines_of_near_copies(spark, hot, monkeypatch):
     assert got == {(i, k) for i, _, k in repeated(texts)}
 
 
+@pytest.mark.parametrize("threshold, few, hot", [(0.8, 3, 2), (0.5, 1, 2)])
+def test_lines_that_share_frequent_words(spark, threshold, few, hot, monkeypatch):
+    """Words of more than `few` lines are met as pairs, some of them large; no link is lost, also where
+    similar lines may share one word only."""
+    monkeypatch.setattr(lines, "LARGE", 30)
+    monkeypatch.setattr(lines, "FEW", few)
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(70):
+        words = [f"w{int(w)}" for w in rng.choice(14, int(rng.integers(1, 13)), replace=False)]
+        texts.append((None if k == 40 else 100 - k, " ".join([*words, *(f"own{k}_{i}" for i in range(int(rng.integers(0, 2))))])))
+    got = {(r.doc, 0) for r in lines.repeated_lines(
+        spark.createDataFrame(texts, "doc_id long, text string"), threshold=threshold, hot=hot).collect()}
+    assert got == {(i, k) for i, _, k in repeated(texts, threshold)}
+
+
+def test_a_group_of_near_copies_is_not_met_again(spark, monkeypatch):
+    """Lines that share frequent words but no later line: what joins to be verified grows with the lines."""
+    monkeypatch.setattr(lines, "FEW", 2)
+    made = []
+    plain = lines._similar
+    monkeypatch.setattr(lines, "_similar", lambda pairs, *more: made.append(pairs.count()) or plain(pairs, *more))
+    base = [f"w{k}" for k in range(30)]
+    for many in (60, 120):
+        texts = [(k, " ".join([*base, f"own{k}"])) for k in range(many)]
+        found = lines.repeated_lines(spark.createDataFrame(texts, "doc_id long, text string"), hot=4)
+        assert sorted(r.doc for r in found.collect()) == list(range(1, many))
+    assert made[1] == made[3] == 0 and made[2] <= 2.5 * made[0]
+
+
 def test_line_dedup_keeps_the_rest(awkward):
     kept = lines.deduplicate_lines(awkward)
     assert kept.columns == awkward.columns
