@@ -55,7 +55,8 @@ class Vocabulary:
     spelled: list  # by id, the bytes that a piece stands for
     penalty: float
     unit: str  # pattern of the independent parts
-    codes: np.ndarray  # sorted codes of all prefixes of pieces
+    codes: np.ndarray  # sorted mixed codes of all prefixes of pieces
+    starts: np.ndarray  # for each value of their top 20 bits, where these begin
     scores: np.ndarray  # by such a code, the piece's score, or NaN
     numbers: np.ndarray  # by such a code, the piece's id
 
@@ -68,6 +69,21 @@ def code(text: str) -> int:
     return found
 
 
+def mixed(codes: np.ndarray) -> np.ndarray:
+    """Codes with their bits spread, one to one."""
+    return (codes ^ (codes >> np.uint64(32))) * np.uint64(MULTIPLIER)
+
+
+def rows_of(v: Vocabulary, codes: np.ndarray) -> np.ndarray:
+    """Where these mixed codes stand in `v.codes`, if they do; few share their top bits."""
+    row, last = v.starts[codes >> np.uint64(44)], len(v.codes) - 1
+    later = np.flatnonzero((v.codes[row] < codes) & (row < last))
+    while len(later):
+        row[later] += 1
+        later = later[(v.codes[row[later]] < codes[later]) & (row[later] < last)]
+    return row
+
+
 def number(k: int) -> bytes:
     return k.to_bytes(4, "little")
 
@@ -96,12 +112,14 @@ def load(path: str) -> Vocabulary:
     mark = f"{SPACE}{alone}"
     unit = f"{SPACE}*[^{mark}]+|{SPACE}+" + (f"|{alone}" if alone else "")
     prefixes = sorted(table)
-    codes = np.array([code(p) for p in prefixes], np.uint64)
+    codes = mixed(np.array([code(p) for p in prefixes], np.uint64))
     order = np.argsort(codes)
     if len(np.unique(codes)) < len(codes):
         raise ValueError("two prefixes of pieces have one code")
     found = [table[p] or (float("nan"), b"\0\0\0\0") for p in prefixes]
-    return Vocabulary(table, single, spelled, low - 10.0, unit, codes[order], np.array([f[0] for f in found])[order],
+    starts = np.searchsorted(codes[order], np.arange(1 << 20, dtype=np.uint64) << np.uint64(44))
+    starts = np.minimum(starts, len(codes) - 1).astype(np.int32)
+    return Vocabulary(table, single, spelled, low - 10.0, unit, codes[order], starts, np.array([f[0] for f in found])[order],
                       np.frombuffer(b"".join([f[1] for f in found]), "<i4")[order])
 
 
@@ -190,8 +208,9 @@ def solve_many(v: Vocabulary, words: list[str]) -> list[tuple[float, float, byte
     at, codes, edges = np.arange(len(chars)), np.zeros(len(chars), np.uint64), []
     for length in range(1, len(chars) + 1):
         codes = codes * np.uint64(MULTIPLIER) + chars[at + length - 1] + np.uint64(1)
-        row = np.minimum(np.searchsorted(v.codes, codes), len(v.codes) - 1)
-        known = v.codes[row] == codes
+        sought = mixed(codes)
+        row = rows_of(v, sought)
+        known = v.codes[row] == sought
         piece = known & ~np.isnan(v.scores[row])
         if length == 1:
             odd[word[at[~piece]]] = True
@@ -203,6 +222,8 @@ def solve_many(v: Vocabulary, words: list[str]) -> list[tuple[float, float, byte
     start, length, row = (np.concatenate(x) for x in zip(*edges, strict=True))
     # Slots: one before each character and one after the last.
     step = local[start] * (length.max(initial=0) + 1) + length
+    if step.max(initial=0) < 1 << 16:  # sorted by radix
+        step = step.astype(np.uint16)
     order = np.argsort(step, kind="stable")
     source = (start + word[start])[order]
     target, score, row = source + length[order], v.scores[row][order], row[order]
@@ -211,7 +232,8 @@ def solve_many(v: Vocabulary, words: list[str]) -> list[tuple[float, float, byte
     back, by = np.zeros(total, np.int64), np.zeros(total, np.int64)
     zero = first + np.arange(len(words))
     best[zero] = 0.0
-    cuts = np.flatnonzero(np.diff(step[order], prepend=-1, append=-1))
+    step = step[order]
+    cuts = np.concatenate([[0], np.flatnonzero(step[1:] != step[:-1]) + 1, [len(step)]])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         src, dst = source[a:b], target[a:b]
         new, old = best[src] + score[a:b], best[dst]
@@ -246,34 +268,48 @@ class Solved(dict):
         super().__init__()
         self.v = v
         self.bytes = 0
+        self.listed = {}
 
     def __missing__(self, word: str):
         self[word] = found = solve(self.v, word)
         self.bytes += HELD + 6 * len(word)
         return found
 
-    def learn(self, texts: list[str]) -> None:
-        """Solves the new words of these texts together, and forgets the old ones when there are too many."""
+    def paths(self, word: str, count: int) -> list[tuple[float, bytes]]:
+        """`best_paths` of a word, remembered for words that are not long."""
+        if len(word) > SHORT:
+            return best_paths(self.v, word, count)
+        found = self.listed.get((word, count))
+        if found is None:
+            found = self.listed[word, count] = best_paths(self.v, word, count)
+            self.bytes += (count + 1) * (HELD + 6 * len(word))
+        return found
+
+    def learn(self, texts: list[str]) -> list[list[str]]:
+        """Solves the new words of these texts together, and forgets the old ones when there are too many.
+        Returns the units of each text."""
         if self.bytes > REMEMBERED:
             self.clear()
+            self.listed.clear()
             self.bytes = 0
-        new = {w for t in texts for w in units(self.v, t)}.difference(self)
+        parts = [units(self.v, t) for t in texts]
+        new = set().union(*parts).difference(self)
         short = [w for w in new if len(w) <= SHORT]
         self.update(zip(short, solve_many(self.v, short), strict=True))
         self.bytes += sum(HELD + 6 * len(w) for w in short)
+        return parts
 
 
-def segment(solved: Solved, text: str, count: int) -> tuple[list[bytes], list[float], list[tuple]]:
-    """The ids of each unit's best path, the scores of the `count` best segmentations of the text, best
-    first, and what each changes: pairs of a unit's number and its ids. The first changes nothing."""
-    words = units(solved.v, text)
+def segment(solved: Solved, words: list[str], count: int) -> tuple[list[bytes], list[float], list[tuple]]:
+    """The ids of each unit's best path, the scores of the `count` best segmentations of a text of these units,
+    best first, and what each changes: pairs of a unit's number and its ids. The first changes nothing."""
     found = list(map(solved.__getitem__, words))
     scores, losses, parts = zip(*found, strict=True) if found else ((), (), ())
     total = sum(scores)
     # (loss, changes) of the best combinations so far
     sums = [(0.0, ())]
     for _, k in heapq.nsmallest(count - 1, zip(losses, range(len(losses)), strict=True)):
-        paths = best_paths(solved.v, words[k], count)
+        paths = solved.paths(words[k], count)
         more = [(loss + paths[0][0] - score, changes + ((k, ids),) if n else changes)
                 for loss, changes in sums for n, (score, ids) in enumerate(paths)]
         sums = heapq.nsmallest(count, more, key=lambda x: x[0])
@@ -282,7 +318,7 @@ def segment(solved: Solved, text: str, count: int) -> tuple[list[bytes], list[fl
 
 def encode_all(solved: Solved, text: str, count: int) -> list[tuple[float, list[int]]]:
     """The `count` best segmentations in full."""
-    parts, scores, changed = segment(solved, text, count)
+    parts, scores, changed = segment(solved, units(solved.v, text), count)
     return [(score, np.frombuffer(b"".join([dict(changes).get(k, p) for k, p in enumerate(parts)]), "<i4").tolist())
             for score, changes in zip(scores, changed, strict=True)]
 
@@ -312,9 +348,8 @@ def segmented(documents: DataFrame, vocabulary: Vocabulary, nbest: int = 4, text
         for batch in slices(batches, limit=TOGETHER):
             ids, scores, digests, restored = [], [], [], []
             texts = utf8(batch["text"]).to_pylist()
-            solved.learn(texts)
-            for text in texts:
-                parts, best, _ = segment(solved, text, nbest)
+            for text, words in zip(texts, solved.learn(texts), strict=True):
+                parts, best, _ = segment(solved, words, nbest)
                 found = b"".join(parts)
                 scores.append(best)
                 ids.append(np.frombuffer(found, "<i4"))

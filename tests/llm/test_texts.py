@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,25 @@ def test_words_solved_together(vocabulary):
     assert pieces.solve_many(vocabulary, []) == []
 
 
+def test_repeated_words_are_listed_once(vocabulary, monkeypatch):
+    listed = []
+    plain = pieces.best_paths
+    monkeypatch.setattr(pieces, "best_paths", lambda v, word, count: listed.append(word) or plain(v, word, count))
+    solved = pieces.Solved(vocabulary)
+    text = " ".join(["the", "reading", "thereof"])
+    first = [pieces.encode_all(solved, text, 4) for _ in range(3)]
+    assert first[0] == first[1] == first[2] and len(listed) == len(set(listed)) > 0
+    long = "reading" * 20
+    assert [s for s, _ in pieces.encode_all(solved, long, 4)] == pytest.approx(all_scores(vocabulary, long, 4))
+
+
+def test_codes_of_pieces_are_found(vocabulary):
+    codes = vocabulary.codes
+    assert (pieces.rows_of(vocabulary, codes) == np.arange(len(codes))).all()
+    others = np.array([0, 2**64 - 1, *np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64)], np.uint64)
+    assert (pieces.rows_of(vocabulary, others) == np.minimum(np.searchsorted(codes, others), len(codes) - 1)).all()
+
+
 def test_segmented_table(awkward, empty, vocabulary):
     found = pieces.segmented(awkward, vocabulary).collect()
     assert len(found) == awkward.count() and all(r.restored for r in found)
