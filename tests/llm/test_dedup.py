@@ -249,6 +249,40 @@ def test_lines_that_share_frequent_words(spark, threshold, few, hot, monkeypatch
     assert got == {(i, k) for i, _, k in repeated(texts, threshold)}
 
 
+def test_words_of_some_hundred_lines_make_no_pairs(spark, monkeypatch):
+    """Only words of more than a thousand lines are met as pairs, and none in 800 lines is."""
+    made = []
+    plain = lines.staged
+
+    def spied(df):
+        if (table := plain(df)).columns[:2] == ["word", "a"]:
+            made.append(table.count())
+        return table
+
+    monkeypatch.setattr(lines, "staged", spied)
+    rng = np.random.default_rng(11)
+    texts = [(k, " ".join(f"w{w}" for w in rng.choice(24, int(rng.integers(8, 14)), replace=False))) for k in range(800)]
+    got = {(r.doc, 0) for r in lines.repeated_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {(i, k) for i, _, k in repeated(texts)}
+    assert made == [0]
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_lines_and_those_not_larger(spark, threshold):
+    """Copies that lose or gain words, up to the least similarity: each is met by the larger of the two, whichever comes first."""
+    rng = np.random.default_rng(13)
+    texts = []
+    for k in range(40):
+        base = [f"b{k}_{i}" for i in range(int(rng.integers(4, 40)))]
+        for _ in range(5):
+            words = base[int(rng.integers(0, 1 + len(base) // 3)):] + [f"n{len(texts)}_{i}" for i in range(int(rng.integers(0, 1 + len(base) // 5)))]
+            texts.append((1000 - len(texts) * 7 % 1000, " ".join(rng.permutation(words))))
+    got = {(r.doc, 0) for r in lines.repeated_lines(
+        spark.createDataFrame(texts, "doc_id long, text string"), threshold=threshold).collect()}
+    want = {(i, k) for i, _, k in repeated(texts, threshold)}
+    assert got == want and 20 < len(want) < 180
+
+
 def test_a_group_of_near_copies_is_not_met_again(spark, monkeypatch):
     """Lines that share frequent words but no later line: what joins to be verified grows with the lines."""
     monkeypatch.setattr(lines, "FEW", 2)
